@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lumispark.llm.exact_dedup import exact_duplicates
+from lumispark.llm.packing import pack
 from lumispark.llm.prefix_bpe import bpe_round_trip
 from lumispark.llm.simhash import near_duplicates
 from lumispark.llm.token_cache import count_tokens
@@ -21,6 +22,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe_round_trip(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -36,6 +41,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_best_fit_packing": op5_best_fit_packing,
         "op6_bpe_round_trip": op6_bpe_round_trip,
         "op7_token_counts": op7_token_counts,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
