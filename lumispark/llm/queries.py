@@ -13,6 +13,7 @@ from lumispark.llm.packing import pack
 from lumispark.llm.prefix_bpe import bpe_round_trip
 from lumispark.llm.simhash import near_duplicates
 from lumispark.llm.token_cache import count_tokens
+from lumispark.llm.toxicity import fit_on_labels, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_on_labels(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -46,6 +52,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_toxicity": op3_toxicity,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_bpe_round_trip": op6_bpe_round_trip,
         "op7_token_counts": op7_token_counts,
