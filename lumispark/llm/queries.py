@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lumispark.llm.additive_index import nearest_neighbours
 from lumispark.llm.exact_dedup import exact_duplicates
 from lumispark.llm.license_scan import scan_licenses
 from lumispark.llm.packing import pack
@@ -24,6 +26,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_additive_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return score_toxicity(docs, fit_on_labels(docs, _table(spark, sf_dir, "labels")))
@@ -52,6 +58,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_additive_neighbours": op2_additive_neighbours,
         "op3_toxicity": op3_toxicity,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_bpe_round_trip": op6_bpe_round_trip,
