@@ -26,7 +26,7 @@ from lumispark.llm.shared import written
 
 #: Vectors that the codebooks are trained on, at most.
 SAMPLE = 8192
-STAGES, CODEWORDS, BEAM = 8, 256, 8
+STAGES, CODEWORDS, BEAM = 16, 256, 4
 #: Rows of an index block, queries of a query block, and candidates of a block ranked exactly.
 BLOCK, QUERY_BLOCK, RERANK = 4096, 512, 100
 
@@ -77,22 +77,20 @@ class AdditiveCodes:
     def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(codes, norms of the decoded sums) of unit vectors, by beam search."""
         books, n = self.codebooks, len(vectors)
-        stages, words, _ = books.shape
-        squares = (books * books).sum(axis=2)
-        paths, errors = np.zeros((n, 1, 0), np.int32), np.zeros((n, 1), np.float32)
+        stages, words, dims = books.shape
+        vectors = np.asarray(vectors, np.float32)
+        left = vectors[:, None, :]  # what each partial sum still lacks
+        paths, row = np.zeros((n, 1, 0), np.int32), np.arange(n)[:, None]
         for stage in range(stages):
-            gain = squares[stage] - 2 * (vectors @ books[stage].T)  # of each codeword on its own
-            total = errors[:, :, None] + gain[:, None, :]
-            for before in range(stage):
-                cross = 2 * books[before] @ books[stage].T
-                total += cross[paths[:, :, before]]
-            width = min(self.beam, total.shape[1] * words)
-            flat = total.reshape(n, -1)
-            best = np.argpartition(flat, width - 1, axis=1)[:, :width] if width < flat.shape[1] else np.tile(np.arange(width), (n, 1))
-            errors = np.take_along_axis(flat, best, axis=1)
+            width = left.shape[1]
+            gain = (books[stage] ** 2).sum(axis=1) - 2 * (left.reshape(-1, dims) @ books[stage].T)
+            total = ((left * left).sum(axis=2)[:, :, None] + gain.reshape(n, width, words)).reshape(n, -1)
+            keep = min(self.beam if stage + 1 < stages else 1, total.shape[1])
+            best = np.argpartition(total, keep - 1, axis=1)[:, :keep]
             parent, word = best // words, best % words
-            paths = np.concatenate([np.take_along_axis(paths, parent[:, :, None], axis=1), word[:, :, None].astype(np.int32)], axis=2)
-        codes = paths[np.arange(n), errors.argmin(axis=1)]
+            left = left[row, parent] - books[stage][word]
+            paths = np.concatenate([paths[row, parent], word[:, :, None].astype(np.int32)], axis=2)
+        codes = paths[:, 0]
         return codes.astype(np.uint8 if words <= 256 else np.uint16), np.sqrt((self.decode(codes) ** 2).sum(axis=1))
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
