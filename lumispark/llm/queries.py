@@ -14,6 +14,7 @@ from lumispark.llm.license_scan import scan_licenses
 from lumispark.llm.packing import pack
 from lumispark.llm.prefix_bpe import bpe_round_trip
 from lumispark.llm.simhash import near_duplicates
+from lumispark.llm.suffix_repeats import dedup_report
 from lumispark.llm.token_cache import count_tokens
 from lumispark.llm.toxicity import fit_on_labels, score_toxicity
 
@@ -35,6 +36,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_on_labels(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_report(_table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_additive_neighbours": op2_additive_neighbours,
         "op3_toxicity": op3_toxicity,
+        "op4_suffix_repeats": op4_suffix_repeats,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_bpe_round_trip": op6_bpe_round_trip,
         "op7_token_counts": op7_token_counts,
