@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumispark.llm.shared import written
+from lumispark.llm.shared import hash_sample, written
 
 #: Vectors that the codebooks are trained on, at most.
 SAMPLE = 8192
@@ -140,7 +140,7 @@ def nearest_neighbours(
     if not lengths:
         return spark.createDataFrame([], result)
     rows, _ = written(rows.filter(F.size("vector") == lengths[0]["size"]).dropDuplicates(["vec_id"]), "vectors")
-    first = rows.select("vec_id", "vector").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    first = hash_sample(rows.select("vec_id", "vector"), "vec_id", sample).collect()
     model = spark.sparkContext.broadcast(AdditiveCodes.train(np.array([r.vector for r in first], np.float64)))
 
     indexed, many = _blocks(rows.select("vec_id", "vector"), BLOCK, "block")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumispark.llm.additive_index import nearest_neighbours
 from lumispark.llm.exact_dedup import exact_duplicates
+from lumispark.llm.kneser_ney import quality
 from lumispark.llm.license_scan import scan_licenses
 from lumispark.llm.packing import pack
 from lumispark.llm.prefix_bpe import bpe_round_trip
@@ -27,6 +28,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_additive_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -63,6 +68,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_kneser_ney_quality": op1_kneser_ney_quality,
         "op2_additive_neighbours": op2_additive_neighbours,
         "op3_toxicity": op3_toxicity,
         "op4_suffix_repeats": op4_suffix_repeats,

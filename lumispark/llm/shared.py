@@ -47,3 +47,15 @@ def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
     """Rows of docs whose id occurs in ids (one column); rows without an id stay, as no decision names them."""
     known = docs.filter(F.col(id_col).isNotNull()).join(ids.select(id_col).distinct(), id_col, "left_semi")
     return known.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+
+
+def hash_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The `most` rows that come first in a fixed hash order of their keys; all, if they are fewer.
+
+    Rows far behind in that order are left out before the sort, so that what tasks send on stays
+    near `most` rows in all, however many tasks there are.
+    """
+    many, space = rows.count(), 1 << 31
+    if many > 4 * most:
+        rows = rows.filter(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(space)) < F.lit(int(space * 2 * most / many)))
+    return rows.orderBy(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(space)), key).limit(most)

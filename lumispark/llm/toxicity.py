@@ -19,11 +19,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumispark.llm.shared import text_of
+from lumispark.llm.shared import hash_sample, text_of
 
 ROWS_LOG2, DIMENSIONS, SHORTEST, LONGEST, WINDOW = 17, 16, 3, 6, 8
 #: Labelled rows that the model is fitted on, at most, of each class.
@@ -195,7 +196,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_RO
     texts = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("_text"))
     taken = []
     for label, most in ((1, toxic_rows), (0, clean_rows)):
-        ids = known.filter(F.col("_toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        ids = hash_sample(known.filter(F.col("_toxic") == label), "doc_id", most)
         taken += texts.join(F.broadcast(ids), "doc_id").filter(F.length("_text") <= FIT_CHARACTERS).dropDuplicates(["doc_id"]).select("doc_id", "_text", "_toxic").collect()
     taken.sort(key=lambda r: r.doc_id)
     classes = [r["_toxic"] for r in taken]
@@ -236,12 +237,12 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", te
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        scorer, out = shared.value.scorer(), []
-        for first in range(0, len(texts), 256):
-            out += scorer.scores(texts.iloc[first : first + 256].tolist())
-        return pd.Series(out, dtype="float64")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = shared.value.scorer()
+        for texts in batches:
+            out = []
+            for first in range(0, len(texts), 256):
+                out += scorer.scores(texts.iloc[first : first + 256].tolist())
+            yield pd.Series(out, dtype="float64")
 
     return docs.filter(score(text_of(text_col)) < 0.5)
