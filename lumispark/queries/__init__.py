@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumispark.queries import measurements
+from lumispark.queries import images, measurements
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(measurements.QUERIES)
+    return measurements.QUERIES | images.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(measurements.ORACLES)
+    return measurements.ORACLES | images.ORACLES
