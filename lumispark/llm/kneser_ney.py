@@ -235,9 +235,10 @@ def perplexities(docs: DataFrame, model: KneserNey, broadcast_rows: int = BROADC
 
 
 def trusted_docs(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows labelled of good quality and not toxic."""
+    """Rows labelled of good quality and not toxic. Both sides are sorted by id at every size: labels
+    grow with the corpus, so their size has no bound to broadcast under."""
     good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(good, id_col, "left_semi")
+    return docs.join(good.hint("merge"), id_col, "left_semi")
 
 
 def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, broadcast_rows: int = BROADCAST_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
