@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumispark.queries import images, measurements
+from lumispark.queries import images, kernels, measurements
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return measurements.QUERIES | images.QUERIES
+    return measurements.QUERIES | images.QUERIES | kernels.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return measurements.ORACLES | images.ORACLES
+    return measurements.ORACLES | images.ORACLES | kernels.ORACLES
