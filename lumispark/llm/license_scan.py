@@ -36,13 +36,18 @@ def _template_words(text: str) -> list[str]:
     return [w for w in re.split(BREAKS, re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
 
 
-def template_index(spark: SparkSession, phrases: Mapping[str, str], notices: Mapping[str, str]) -> DataFrame:
+def template_rows(phrases: Mapping[str, str], notices: Mapping[str, str]) -> list[tuple[str, int, int, str, int, bool]]:
     """(pair, template, place, label, pairs, exact): a row for each pair of words of each template."""
     rows = []
     for number, (text, label, exact) in enumerate([*((p, x, True) for p, x in phrases.items()), *((n, x, False) for x, n in notices.items())]):
         words = _template_words(text)
         rows += [(f"{a} {b}", number, at, label, len(words) - 1, exact) for at, (a, b) in enumerate(zip(words, words[1:]))]
-    index = spark.createDataFrame(rows, "pair string, template int, place int, label string, pairs int, exact boolean")
+    return rows
+
+
+def template_index(spark: SparkSession, phrases: Mapping[str, str], notices: Mapping[str, str]) -> DataFrame:
+    """template_rows as a table, with the hash of each pair."""
+    index = spark.createDataFrame(template_rows(phrases, notices), "pair string, template int, place int, label string, pairs int, exact boolean")
     return index.withColumn("pair_hash", F.xxhash64("pair"))
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from lumispark.llm.additive_index import nearest_neighbours
 from lumispark.llm.exact_dedup import exact_duplicates
 from lumispark.llm.kneser_ney import quality
-from lumispark.llm.license_scan import scan_licenses
+from lumispark.llm.license_scan import scan_licenses, template_rows
+from lumispark.llm.license_templates import NOTICES, PHRASES
 from lumispark.llm.packing import pack
 from lumispark.llm.prefix_bpe import bpe_round_trip
 from lumispark.llm.simhash import near_duplicates
@@ -81,7 +82,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_TEMPLATES = ", ".join(f"('{pair}', {template}, {place}, '{label}', {pairs}, {exact})" for pair, template, place, label, pairs, exact in template_rows(PHRASES, NOTICES))
+
 ORACLES = {
+    "op8_license_scan": rf"""
+        WITH idx(pair, template, place, label, pairs, exact) AS (VALUES {_TEMPLATES}),
+        t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        p AS (SELECT r, i - 1 AS place_at, w[i] || ' ' || w[i + 1] AS pair FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM t)),
+        d AS (SELECT r, template, label, pairs, exact, place_at - place AS diagonal, count(*) AS votes, min(place_at) AS a, max(place_at) AS b FROM p JOIN idx USING (pair) GROUP BY ALL),
+        g AS (SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > 3 THEN 1 ELSE 0 END AS opens FROM d),
+        s AS (SELECT *, sum(opens) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM g),
+        m AS (SELECT r, label, exact, least(1.0::DOUBLE, sum(votes) / pairs) AS share, sum(votes) = pairs AS whole, min(diagonal) AS start, max(b) - min(a) + 1 <= 2 * pairs AS tight FROM s GROUP BY r, template, label, pairs, exact, span),
+        k AS (SELECT r, count(*) FILTER (exact AND whole) AS n_base, min(start) FILTER (exact AND whole) AS first_word, max(start) FILTER (exact AND whole) AS last_word,
+            string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact AND whole) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact AND whole OR NOT exact AND share >= 0.5 AND tight) AS labels,
+            max(CASE WHEN exact AND whole THEN 1.0::DOUBLE WHEN NOT exact AND share >= 0.5 AND tight THEN share END) AS score FROM m GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score FROM t LEFT JOIN k USING (r)
+    """,
     "op10_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
