@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lumispark.llm import suffix_repeats
-from lumispark.llm.suffix_repeats import SuffixIndex, contexts, dedup_report, drop_repeats
+from lumispark.llm.suffix_repeats import SuffixIndex, contexts, dedup_report, drop_repeats, promising
 
 SCHEMA = "doc_id long, text string, key string, spans int"
 
@@ -95,6 +95,16 @@ def test_maximal_repeats_are_those_of_the_definition():
         assert got == want
 
 
+def test_pieces_passed_over_hold_no_repeat():
+    rng = random.Random(8)
+    for length in (5, 12):
+        pieces = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(3, 40))) for _ in range(12)]
+        times = Counter(p[i : i + length] for p in pieces for i in range(len(p) - length + 1))
+        want = {k for k, p in enumerate(pieces) for i in range(len(p) - length + 1) if times[p[i : i + length]] > 1}
+        assert want <= set(promising(pieces, length).tolist())
+    assert promising([b"abc"], 5).size == 0
+
+
 def test_texts_are_cut(spark):
     shared = "é" * 60 + "shared passage of many words that comes twice"
     rows = [(1, "one " + shared + " end", "k", 1), (2, "two " + shared + " fin", "k", 2), (3, None, None, None), (None, "no id", None, None)]
