@@ -138,18 +138,23 @@ class SuffixIndex:
         size, rank = 7, self._ranks(code)
         longest = int(sizes.max()) if n else 0
         self.levels.append((size, rank))
-        while size < longest:
-            inside = left > size
-            second = np.zeros(n, np.int64)
-            second[inside] = rank[place[inside] + size].astype(np.int64) + 1
-            rank = self._ranks(rank.astype(np.uint64) * np.uint64(n + 2) + second.astype(np.uint64))
+        while 2 * size < longest:
+            rank = self._doubled(rank, size, place, left)
             size *= 2
             self.levels.append((size, rank))
         starts = np.flatnonzero(left >= length)
-        self.starts = starts[np.argsort(rank[starts], kind="stable")] if n else starts
+        self.starts = starts[np.argsort(self._doubled(rank, size, starts, left[starts]), kind="stable")]
         self.left = left
         self.common = self._common(self.starts[:-1], self.starts[1:])
 
+    @staticmethod
+    def _doubled(rank: np.ndarray, size: int, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Ranks of the strings of 2 * size bytes at some places, from the ranks of those of size bytes."""
+        inside = left > size
+        second = np.zeros(len(at), np.uint64)
+        second[inside] = rank[at[inside] + size].astype(np.uint64) + np.uint64(1)
+        return SuffixIndex._ranks(rank[at].astype(np.uint64) * np.uint64(len(rank) + 2) + second)
+
     @staticmethod
     def _ranks(keys: np.ndarray) -> np.ndarray:
         order = np.argsort(keys)
@@ -162,7 +167,7 @@ class SuffixIndex:
         """Common prefix of the suffixes at a and b, by halving steps of equal ranks, then bytes."""
         most = np.minimum(self.left[a], self.left[b])
         out = np.zeros(len(a), np.int64)
-        for size, rank in reversed(self.levels):
+        for size, rank in [*self.levels[-1:], *reversed(self.levels)]:  # the longest may fit twice
             can = np.flatnonzero(out + size <= most)
             same = can[rank[a[can] + out[can]] == rank[b[can] + out[can]]]
             out[same] += size
@@ -210,6 +215,31 @@ class SuffixIndex:
         return piece, low, low + reach[has]
 
 
+def promising(pieces: list[bytes], length: int) -> np.ndarray:
+    """Indexes of pieces that may hold a string of `length` bytes which starts anywhere else in them.
+
+    Strings are compared by three words each, at their begin, middle and end: equal strings always
+    pass, so the suffix array of the rest has every repeat, and most pieces need no sorting."""
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    word = min(8, length)
+    if len(data) < length:
+        return np.zeros(0, np.int64)
+    left = np.repeat(ends, sizes) - np.arange(len(data))
+    starts = np.flatnonzero(left >= length)
+    words = np.lib.stride_tricks.sliding_window_view(data, word)
+    mark = np.zeros(len(starts), np.uint64)
+    for at in (0, (length - word) // 2, length - word):
+        own = np.zeros((len(starts), 8), np.uint8)
+        own[:, :word] = words[starts + at]
+        mark = _mixed(mark ^ own.view(np.uint64)[:, 0])
+    order = np.argsort(mark)
+    same = mark[order[1:]] == mark[order[:-1]]
+    again = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    return np.unique(np.searchsorted(ends, starts[order[again]], side="right"))
+
+
 def _merged(spans: np.ndarray) -> np.ndarray:
     """Union of [from, to) rows as maximal runs."""
     if not len(spans):
@@ -280,7 +310,9 @@ def _indexed(bucketed: DataFrame, length: int) -> DataFrame:
 
     def settle(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         held = list({x[:2]: x for x in held}.values())  # a repeated row can bring a context twice
-        piece, low, high = SuffixIndex([x[3] for x in held], length).covered()
+        may = promising([x[3] for x in held], length)
+        piece, low, high = SuffixIndex([held[k][3] for k in may.tolist()], length).covered()
+        piece = may[piece]
         alone = np.array([k for k, x in enumerate(held) if x[2] > 1], np.int64)
         piece = np.concatenate([piece, alone])
         low = np.concatenate([low, np.zeros(len(alone), np.int64)])
