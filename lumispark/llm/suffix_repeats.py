@@ -362,7 +362,9 @@ def repeated_spans(rows: DataFrame, length: int, bucket: int = BUCKET) -> DataFr
     rows: (key, check, text) as _keyed makes them."""
     anchors = _anchors(rows, length)
     buckets = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("many"), F.min("content").alias("least"), F.max("content").alias("most")).filter("many > 1")
-    shared, _ = written(anchors.join(buckets.select("anchor", (F.col("least") == F.col("most")).alias("settled")), "anchor"), "shared-contexts")
+    # written first, so that both sides of the join are plain exchanges and a hot anchor can be split
+    buckets, _ = written(buckets.select("anchor", (F.col("least") == F.col("most")).alias("settled")), "shared-anchors")
+    shared, _ = written(anchors.join(buckets, "anchor"), "shared-contexts")
     first = F.struct("key", "check", "start", "width")
     open_contexts = shared.filter("NOT settled").groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"))
     wanted, _ = written(open_contexts.select("anchor", "content", "copies", "first.*"), "wanted-contexts")
