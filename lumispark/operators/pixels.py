@@ -132,6 +132,23 @@ def largest_objects(labelled: DataFrame, keys: list[str], label: str = "label",
     return labelled.join(top.select(*keys, label), [*keys, label], "left_semi")
 
 
+def large_objects(labelled: DataFrame, keys: list[str], least: float, label: str = "label") -> DataFrame:
+    """Rows of objects with at least `least` pixels."""
+    big = labelled.filter(F.col(label) > 0).groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_area")).filter(F.col("_area") >= least)
+    return labelled.join(big.select(*keys, label), [*keys, label], "left_semi")
+
+
+def masked(pixels: DataFrame, mask: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Values where the mask has a row, 0 elsewhere."""
+    inside = mask.select(*keys).distinct().withColumn("_in", F.lit(True))
+    return pixels.join(inside, keys, "left").withColumn(value, F.when(F.col("_in"), F.col(value)).otherwise(F.lit(0))).drop("_in")
+
+
+def with_property(labelled: DataFrame, props: DataFrame, keys: list[str], column: str, label: str = "label") -> DataFrame:
+    """Each pixel with a property of its object; null for background."""
+    return labelled.join(props.select(*keys, label, column), [*keys, label], "left")
+
+
 def clear_border(labelled: DataFrame, keys: list[str], sizes: dict[str, int], label: str = "label") -> DataFrame:
     """Rows of objects that touch no face of the image. sizes: coordinate to its extent."""
     on_face = F.lit(False)
