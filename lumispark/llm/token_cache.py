@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumispark.llm.shared import new_path, text_of
+from lumispark.llm.shared import new_path, text_of, written
 from lumispark.llm.tokens import ids_function, tokenizer_digest
 
 CACHE_SCHEMA = "content binary, n_tokens long, tokenizer string"
@@ -64,4 +64,6 @@ def count_tokens(
 
     fresh = misses.mapInArrow(encode, "content binary, n_tokens long")
     fresh.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(path)
-    return rows.join(stored_counts(spark, path, version), "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # written, so that both sides of the join are plain exchanges and a hot content can be split
+    counts, _ = written(stored_counts(spark, path, version), "token-counts")
+    return rows.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
