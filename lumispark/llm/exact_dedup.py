@@ -66,7 +66,7 @@ def drop_exact_duplicates(
     others = [c for c in docs.columns if c != text_col]
     text = text_of(text_col)
     best = docs.groupBy(hash_fn(text).alias("_hash"), text.alias("_text")).agg(
-        pick(F.struct(*(F.col(c) for c in others), F.col(text_col).isNull().alias("_null")), F.coalesce(F.col(id_col), last)).alias("_row")
+        pick(F.struct(*(F.col(c) for c in others), F.col(text_col).isNull().alias("_lumispark_null")), F.coalesce(F.col(id_col), last)).alias("_row")
     )
-    back = {c: F.col("_row").getField(c) for c in others} | {text_col: F.when(~F.col("_row._null"), F.col("_text"))}
+    back = {c: F.col("_row").getField(c) for c in others} | {text_col: F.when(~F.col("_row._lumispark_null"), F.col("_text"))}
     return best.select(*(back[c].alias(c) for c in docs.columns))

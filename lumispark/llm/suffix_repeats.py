@@ -425,7 +425,7 @@ def drop_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
 
         return pd.Series([None if t is None else kept_bytes(t.encode(), list(s))[0].decode(errors="ignore") if s is not None and len(s) else t for t, s in zip(texts, spans)])
 
-    names = {"key": "_key", "check": "_check", "spans": "_spans"}
-    marked = docs.withColumns({"_key": F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_of(text_col))), "_check": F.hash(text_of(text_col))})
-    joined = marked.join(spans.withColumnsRenamed(names), ["_key", "_check"], "left")
-    return joined.select(*(cut(F.col(c), F.col("_spans")).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    names = {"key": "_lumispark_key", "check": "_lumispark_check", "spans": "_lumispark_spans"}
+    marked = docs.withColumns({"_lumispark_key": F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_of(text_col))), "_lumispark_check": F.hash(text_of(text_col))})
+    joined = marked.join(spans.withColumnsRenamed(names), ["_lumispark_key", "_lumispark_check"], "left")
+    return joined.select(*(cut(F.col(c), F.col("_lumispark_spans")).alias(c) if c == text_col else F.col(c) for c in docs.columns))
