@@ -31,6 +31,8 @@ ROWS_LOG2, DIMENSIONS, SHORTEST, LONGEST, WINDOW = 17, 16, 3, 6, 8
 TOXIC_ROWS, CLEAN_ROWS = 1500, 2500
 #: Labelled texts of more characters than this are left out of the fit (never of the scoring).
 FIT_CHARACTERS = 100_000
+#: Length of a step of the table's rows, against that of the softmax.
+STEP = 200.0
 _BASE, _MIX = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -120,68 +122,99 @@ class TextScorer:
         return out
 
 
-def fit(texts: list[str], toxic: list[int], seed: int = 11) -> ToxicityModel:
-    """Train embedding table and softmax together by Adagrad on runs of words of labelled texts."""
-    rng = np.random.default_rng(seed)
-    rounds = int(np.clip(6 * 4000 / max(1, len(texts)), 6, 20))  # few texts are gone over more often
-    vocabulary: dict[str, int] = {}
-    split = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in split_words(t)], np.int64) for t in texts]
-    begins, rows = bags(list(vocabulary))
-    counts = np.diff(begins)
-    table = rng.normal(0, 0.1, (1 << ROWS_LOG2, DIMENSIONS)).astype(np.float32)
-    table_seen = np.full((1 << ROWS_LOG2, 1), 1e-6, np.float32)
-    softmax, softmax_seen = rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32), np.full((DIMENSIONS, 2), 1e-6, np.float32)
-    bias, bias_seen = np.zeros(2, np.float32), np.full(2, 1e-6, np.float32)
-
-    def learn(runs: list[tuple[np.ndarray, int]], rate: float) -> None:
-        nonlocal bias
-        order = rng.permutation(len(runs))
-        for part in np.array_split(order, max(1, len(order) // 128)):
+Runs = list[tuple[np.ndarray, int]]
+
+
+class _Trainer:
+    """Embedding table and softmax, trained together on labelled runs of words.
+
+    The softmax takes Adagrad steps; rows take plain ones, so that a row which many runs share moves
+    farther than one which a single run could be remembered by."""
+
+    def __init__(self, begins: np.ndarray, rows: np.ndarray, seed: int):
+        self.begins, self.rows, self.counts = begins, rows, np.diff(begins)
+        self.rng = np.random.default_rng(seed)
+        shape = (1 << ROWS_LOG2, DIMENSIONS)
+        self.table = self.rng.normal(0, 0.1, shape).astype(np.float32)
+        self.softmax = self.rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32)
+        self.bias = np.zeros(2, np.float32)
+        self.seen = [np.full((DIMENSIONS, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)]
+
+    def learn(self, runs: Runs, rate: float, batch: int = 128) -> None:
+        """One pass over the runs."""
+        order = self.rng.permutation(len(runs))
+        for part in np.array_split(order, max(1, len(order) // batch)):
             words = np.concatenate([runs[k][0] for k in part])
-            sizes = np.array([counts[runs[k][0]].sum() for k in part])
+            sizes = np.array([self.counts[runs[k][0]].sum() for k in part])
             label = np.array([runs[k][1] for k in part])
-            starts, many = begins[words], counts[words]
-            flat = rows[np.repeat(starts - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())]
+            starts, many = self.begins[words], self.counts[words]
+            flat = self.rows[np.repeat(starts - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())]
             at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            mean = np.add.reduceat(table[flat], at) / sizes[:, None].astype(np.float32)
-            score = mean @ softmax + bias
+            mean = np.add.reduceat(self.table[flat], at) / sizes[:, None].astype(np.float32)
+            score = mean @ self.softmax + self.bias
             p = np.exp(score - score.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(part)), label] -= 1
-            back = p @ softmax.T / sizes[:, None].astype(np.float32)
-            for value, seen, grad in ((softmax, softmax_seen, mean.T @ p / len(part)), (bias, bias_seen, p.mean(axis=0))):
+            back = (p @ self.softmax.T / sizes[:, None]).astype(np.float32)
+            for value, seen, grad in ((self.softmax, self.seen[0], mean.T @ p / len(part)), (self.bias, self.seen[1], p.mean(axis=0))):
                 seen += grad**2
                 value -= rate * grad / np.sqrt(seen)
-            used, inverse = np.unique(flat, return_inverse=True)
-            order_in = np.argsort(inverse, kind="stable")
-            per_use = np.repeat(np.arange(len(part)), sizes)[order_in]
-            edges = np.searchsorted(inverse[order_in], np.arange(len(used)))
-            grad = np.add.reduceat(back[per_use].astype(np.float32), edges)
-            table_seen[used] += (grad**2).mean(axis=1, keepdims=True)
-            table[used] -= rate * grad / np.sqrt(table_seen[used])
+            order_in = np.argsort(flat, kind="stable")
+            used, edges = np.unique(flat[order_in], return_index=True)
+            grad = np.add.reduceat(back[np.repeat(np.arange(len(part)), sizes)[order_in]], edges)
+            self.table[used] -= STEP * rate * grad
 
-    def collapsed() -> ToxicityModel:
-        towards = softmax[:, 1] - softmax[:, 0]
-        return ToxicityModel((table @ towards).astype(np.float64), float(bias[1] - bias[0]))
+    def model(self) -> ToxicityModel:
+        towards = self.softmax[:, 1] - self.softmax[:, 0]
+        return ToxicityModel((self.table @ towards).astype(np.float64), float(self.bias[1] - self.bias[0]))
 
-    def run_at(words: np.ndarray, start: int) -> np.ndarray:
-        return words[start : start + WINDOW]
 
-    for number in range(rounds):
-        runs, model = [], collapsed()
-        sums = np.add.reduceat(model.row_logits[rows], begins[:-1]) if len(vocabulary) else np.zeros(0)
-        for words, label in zip(split, toxic):
+def fit(texts: list[str], toxic: list[int], seed: int = 11, rounds: int = 3) -> ToxicityModel:
+    """Train on runs of words of labelled texts.
+
+    Which runs of a toxic text are its toxic ones isn't labelled. Two models are trained on a half
+    of the texts each, and each half's runs are picked by the other half's model: what a model only
+    remembers of its own texts picks nothing there, so round by round the picks settle on words
+    that are toxic elsewhere too. The last model learns from all texts; clean texts give it the runs
+    that it rates highest itself."""
+    rng = np.random.default_rng(seed)
+    vocabulary: dict[str, int] = {}
+    split = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in split_words(t)], np.int64) for t in texts]
+    begins, rows = bags(list(vocabulary))
+    counts = np.diff(begins)
+    half = rng.permutation(len(texts)) % 2
+    again = int(np.clip(round(3 * 4000 / max(1, len(texts))), 3, 12))  # few texts are gone over more often
+
+    def runs_of(model: ToxicityModel | None, which: np.ndarray, most: tuple[int, int], at_random: int) -> Runs:
+        sums = np.add.reduceat(model.row_logits[rows], begins[:-1]) if model and len(vocabulary) else np.zeros(len(vocabulary))
+        out: Runs = []
+        for k in which.tolist():
+            words, label = split[k], toxic[k]
             if not len(words):
                 continue
-            last = max(0, len(words) - WINDOW)
-            starts = rng.integers(0, last + 1, 6).tolist() if number == 0 or not label else []
-            if number:
-                logits = window_logits(sums[words], counts[words], model.bias)
-                starts += np.argsort(-logits, kind="stable")[: 3 if label else 6].tolist()
-            runs += [(run_at(words, s), label) for s in set(starts)]
-        if runs:
-            learn(runs, 0.2 if number == 0 else 0.1)
-    return collapsed()
+            starts = rng.integers(0, max(0, len(words) - WINDOW) + 1, at_random).tolist() if not label or not model else []
+            if model and most[label]:
+                starts += np.argsort(-window_logits(sums[words], counts[words], model.bias), kind="stable")[: most[label]].tolist()
+            out += [(words[s : s + WINDOW], label) for s in set(starts)]
+        return out
+
+    halves = [np.flatnonzero(half == h) for h in (0, 1)]
+    models: list[ToxicityModel | None] = [None, None]
+    for number in range(rounds):
+        trained = []
+        for h in (0, 1):
+            trainer = _Trainer(begins, rows, seed + h)
+            runs = runs_of(models[1 - h], halves[h], (4, 2), 8 if number == 0 else 2)
+            for _ in range(again if runs else 0):
+                trainer.learn(runs, 0.1)
+            trained.append(trainer.model())
+        models = trained
+    last = _Trainer(begins, rows, seed + 2)
+    picked = runs_of(models[1], halves[0], (4, 2), 2) + runs_of(models[0], halves[1], (4, 2), 2)
+    clean = np.flatnonzero(np.array(toxic) == 0)
+    for number in range(again + 1 if picked else 0):
+        last.learn(picked + (runs_of(last.model(), clean, (4, 0), 0) if number else []), 0.1)
+    return last.model()
 
 
 def fit_on_labels(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
