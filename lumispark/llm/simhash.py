@@ -86,7 +86,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots, _ = written(components(fingerprint_links(nodes.select("fp")), "fp", "other"), "roots")
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+    # written, so that both sides of the last join are plain exchanges and a hot fingerprint can be split
+    of, _ = written(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "components")
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
