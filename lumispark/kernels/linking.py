@@ -2,84 +2,80 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
-#: Points of one connected group of candidates that are assigned with the least total cost; larger
-#: groups take their closest pairs first.
-EXACT = 60
 
+def least_cost(edges: list[list[tuple[int, float]]], columns: int) -> list[int]:
+    """Column of each row with the least total cost: shortest augmenting paths over sparse edges.
 
-def assign(cost: np.ndarray) -> np.ndarray:
-    """Column of each row with the least total cost (rows <= columns): shortest augmenting paths."""
-    n, m = cost.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    row_of, way = np.zeros(m + 1, int), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        row_of[0], j0 = i, 0
-        least, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
+    edges: (column, cost >= 0) of each row, enough to give each row a column. A path is looked for only
+    as far as the nearest free column, so the work follows the connected group that a row lies in.
+    """
+    u, v = [0.0] * len(edges), [0.0] * columns
+    row_of, column_of = [-1] * columns, [-1] * len(edges)
+    for first in range(len(edges)):
+        far: dict[int, float] = {}
+        came: dict[int, int] = {}
+        done: set[int] = set()
+        heap: list[tuple[float, int]] = []
+        row, base, scanned = first, 0.0, []
         while True:
-            used[j0] = True
-            i0 = row_of[j0]
-            free = ~used[1:]
-            reduced = cost[i0 - 1] - u[i0] - v[1:]
-            better = free & (reduced < least[1:])
-            least[1:][better] = reduced[better]
-            way[1:][better] = j0
-            j1 = 1 + int(np.where(free, least[1:], np.inf).argmin())
-            delta = least[j1]
-            u[row_of[used]] += delta
-            v[used] -= delta
-            least[~used] -= delta
-            j0 = j1
-            if row_of[j0] == 0:
+            scanned.append((row, base))
+            for j, cost in edges[row]:
+                if j not in done and (d := base + cost - u[row] - v[j]) < far.get(j, np.inf):
+                    far[j], came[j] = d, row
+                    heapq.heappush(heap, (d, j))
+            base, j = heapq.heappop(heap)
+            while j in done:
+                base, j = heapq.heappop(heap)
+            if row_of[j] < 0:
                 break
-        while j0:
-            row_of[j0], j0 = row_of[way[j0]], way[j0]
-    out = np.full(n, -1)
-    for j in range(1, m + 1):
-        if row_of[j]:
-            out[row_of[j] - 1] = j - 1
-    return out
+            done.add(j)
+            row = row_of[j]
+        for r, d in scanned:
+            u[r] += base - d
+        for k in done:
+            v[k] -= base - far[k]
+        row = -1
+        while row != first:
+            row = came[j]
+            row_of[j], column_of[row], j = row, j, column_of[row]
+    return column_of
 
 
-def _groups(pairs: np.ndarray, n: int, m: int) -> list[np.ndarray]:
-    """Pairs by connected group."""
-    root = np.arange(n + m)
+def assign(cost: np.ndarray) -> np.ndarray:
+    """Column of each row with the least total cost (rows <= columns)."""
+    return np.array(least_cost([list(enumerate(row)) for row in cost.tolist()], cost.shape[1]), int)
 
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = k = root[root[k]]
-        return k
 
-    for a, b in pairs:
-        x, y = find(int(a)), find(n + int(b))
-        root[max(x, y)] = min(x, y)
-    names = np.array([find(int(a)) for a, _ in pairs])
-    return [pairs[names == k] for k in np.unique(names)]
+def _near(old: np.ndarray, new: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index in old, index in new, squared distance) of the pairs within reach, by a sort on the widest axis."""
+    axis = int(np.ptp(np.nan_to_num(new), axis=0).argmax())
+    order = np.argsort(new[:, axis], kind="stable")
+    lane, at = new[order, axis], old[:, axis]
+    slack = reach + 1e-9 * (reach + np.abs(np.nan_to_num(at)))  # the distances below decide
+    begins, ends = np.searchsorted(lane, at - slack, "left"), np.searchsorted(lane, at + slack, "right")
+    many = ends - begins
+    a = np.repeat(np.arange(len(old)), many)
+    b = order[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - begins, many)]
+    far = ((old[a] - new[b]) ** 2).sum(axis=1)
+    close = far <= reach * reach
+    return a[close], b[close], far[close]
 
 
 def match(old: np.ndarray, new: np.ndarray, reach: float) -> list[tuple[int, int]]:
     """One-to-one pairs within reach with the least sum of squares, a missing link costing reach squared."""
     if not len(old) or not len(new):
         return []
-    far = ((old[:, None] - new[None]) ** 2).sum(axis=2)
-    pairs = np.argwhere(far <= reach * reach)
-    out: list[tuple[int, int]] = []
-    for group in _groups(pairs, len(old), len(new)) if len(pairs) else []:
-        rows, columns = np.unique(group[:, 0]), np.unique(group[:, 1])
-        if len(rows) + len(columns) <= EXACT:
-            cost = np.full((len(rows), len(columns) + len(rows)), reach * reach * 1.0)
-            near = far[np.ix_(rows, columns)]
-            cost[:, : len(columns)] = np.where(near <= reach * reach, near, 1e12)
-            out += [(int(rows[i]), int(columns[j])) for i, j in enumerate(assign(cost)) if j < len(columns)]
-        else:
-            taken_a, taken_b = set(), set()
-            for a, b in group[np.argsort(far[group[:, 0], group[:, 1]], kind="stable")].tolist():
-                if a not in taken_a and b not in taken_b:
-                    taken_a.add(a)
-                    taken_b.add(b)
-                    out.append((a, b))
-    return out
+    edges: dict[int, list[tuple[int, float]]] = {}
+    for a, b, far in zip(*(x.tolist() for x in _near(old, new, reach))):
+        edges.setdefault(a, []).append((b, far))
+    rows = list(edges)
+    # a column of its own beyond the points of new is a row's missing link
+    columns = least_cost([[*edges[a], (len(new) + k, reach * reach * 1.0)] for k, a in enumerate(rows)], len(new) + len(rows))
+    return [(a, j) for a, j in zip(rows, columns) if j < len(new)]
 
 
 def link(frames: np.ndarray, points: np.ndarray, reach: float = 20.0, memory: int = 2) -> np.ndarray:

@@ -148,3 +148,25 @@ def test_linking_reach_and_memory():
     assert track([0, 1], [0, 3]) == [0, 0] and track([0, 1], [0, 4]) == [0, 1]
     crossing = linking.link(np.array([0, 0, 1, 1]), np.array([[0.0, 0], [10, 0], [9, 0], [1, 0]]), 20, 2).tolist()
     assert crossing == [0, 1, 1, 0]
+
+
+def test_every_group_is_linked_at_the_least_cost():
+    rng = np.random.default_rng(8)
+
+    def cheapest(old, new, reach):
+        """On a line some cheapest linking keeps the order, so it is a shortest path over both lists."""
+        best = np.zeros((len(old) + 1, len(new) + 1))
+        best[1:, 0] = reach * reach * np.arange(1, len(old) + 1)
+        for i, a in enumerate(old):
+            for j, b in enumerate(new):
+                pair = best[i, j] + (a - b) ** 2 if abs(a - b) <= reach else np.inf
+                best[i + 1, j + 1] = min(pair, best[i, j + 1] + reach * reach, best[i + 1, j])
+        return best[-1, -1]
+
+    for n, m in ((3, 4), (40, 50), (150, 140)):  # one group each, the larger ones of far over 60 points
+        old, new = np.sort(rng.random(n) * 6 * n), np.sort(rng.random(m) * 6 * n)
+        flat = lambda x: np.column_stack([x, np.zeros(len(x))])
+        got = linking.match(flat(old), flat(new), 20.0)
+        assert len({a for a, _ in got}) == len({b for _, b in got}) == len(got)
+        assert all(abs(old[a] - new[b]) <= 20 for a, b in got)
+        assert sum((old[a] - new[b]) ** 2 for a, b in got) + 400 * (n - len(got)) == pytest.approx(cheapest(old, new, 20.0))
