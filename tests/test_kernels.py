@@ -1,3 +1,4 @@
+import datetime as dt
 import itertools
 
 import numpy as np
@@ -170,3 +171,38 @@ def test_every_group_is_linked_at_the_least_cost():
         assert len({a for a, _ in got}) == len({b for _, b in got}) == len(got)
         assert all(abs(old[a] - new[b]) <= 20 for a, b in got)
         assert sum((old[a] - new[b]) ** 2 for a, b in got) + 400 * (n - len(got)) == pytest.approx(cheapest(old, new, 20.0))
+
+
+def test_q36_links_every_event(spark, tmp_path):
+    from lumispark.queries import queries
+
+    rng = np.random.default_rng(2)
+    rows = [(k, dt.datetime(2024, 1, 1 + int(f)), int(u), "ab"[k % 2], float(x)) for k, (f, u, x) in enumerate(zip(rng.integers(0, 6, 44), rng.choice([3, 4, 5, 21, 22, 1499], 44), rng.random(44) * 40))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.event_id: (r.movie_id, r.particle) for r in queries()["q36_linking"](spark, str(tmp_path)).collect()}
+    assert got.keys() == {r[0] for r in rows}
+    points = {k: (kind, ts.day - 1, np.array([x, u * 10.0])) for k, ts, u, kind, x in rows}
+
+    def cheapest(old, new):
+        """(cost, old of each new) over all one-to-one linkings within reach."""
+        if not new:
+            return 400.0 * len(old), ()
+        best = (np.inf, ())
+        for k in (None, *old):
+            far = 0.0 if k is None else ((points[k][2] - points[new[0]][2]) ** 2).sum()
+            if far <= 400:
+                cost, rest = cheapest([o for o in old if o != k], new[1:])
+                best = min(best, (far + cost, (k, *rest)), key=lambda x: x[0])
+        return best
+
+    for kind in "ab":
+        live, particle = {}, {}
+        for frame in range(6):
+            here = sorted(k for k, p in points.items() if p[:2] == (kind, frame))
+            live = {k: f for k, f in live.items() if frame - f <= 3}
+            for k, before in zip(here, cheapest(list(live), here)[1]):
+                particle[k] = k if before is None else particle[before]
+                live.pop(before, None)
+                live[k] = frame
+        pairs = lambda of: {(a, b) for a in particle for b in particle if of[a] == of[b]}
+        assert pairs(particle) == pairs(got)
