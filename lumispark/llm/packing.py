@@ -88,24 +88,50 @@ def _exchanges(giver: Pattern, taker: Pattern, most: int) -> tuple[int, tuple[in
     return best
 
 
-def local_search(packing: Counter[Pattern], size: int, most_looks: int = 200_000) -> Counter[Pattern]:
-    """Exchanges between underfull bins while the sum of squared fills grows and bins are more than
-    the tokens need. most_looks bounds the pairs of patterns tried; every packing on the way is whole."""
+def _offers(takers: list[Pattern], size: int) -> np.ndarray:
+    """What each taker can give back: rows (taker, its fill, its room, how many lengths, their sum)."""
+    rows = []
+    for at, taker in enumerate(takers):
+        fill, lengths = _fill(taker), [n for n, _ in taker]
+        back = {(0, 0), *((1, n) for n in lengths), *((2, a + b) for i, (a, k) in enumerate(taker) for b in (lengths[i + (k == 1) :]))}
+        rows += [(at, fill, size - fill, many, total) for many, total in sorted(back)]
+    return np.array(rows, np.int64).reshape(-1, 5)
+
+
+def _gainers(giver: Pattern, offers: np.ndarray) -> list[int]:
+    """Takers with which the giver has an exchange that makes the sum of squared fills grow, the last first."""
+    taker, fill, room, many, back = offers.T
+    least = np.maximum(_fill(giver) - fill, 0)  # the squares grow by 2 * net * (net - least) if fuller than the taker
+    lengths = [n for n, _ in giver]
+    pairs = {a + b for i, (a, k) in enumerate(giver) for b in lengths[i + (k == 1) :]}
+    found = np.zeros(len(offers), bool)
+    for given, fits in (*((n, many <= 2) for n in lengths), *((n, many == 1) for n in sorted(pairs))):
+        net = given - back
+        found |= fits & (net > least) & (net <= room)
+    return np.unique(taker[found])[::-1].tolist()
+
+
+def local_search(packing: Counter[Pattern], size: int) -> Counter[Pattern]:
+    """Exchanges between underfull bins until no pair of them has one that makes the sum of squared
+    fills grow, or bins are as few as the tokens need. Each giver looks only at takers that gain by
+    it; every packing on the way is whole."""
     packing = Counter(packing)
     need = math.ceil(sum(_fill(p) * k for p, k in packing.items()) / size)
-    looks, improved = 0, True
-    while improved and sum(packing.values()) > need and looks < most_looks:
+    improved = True
+    while improved and sum(packing.values()) > need:
         improved = False
         under = sorted((p for p in packing if _fill(p) < size), key=lambda p: (_fill(p), p))
+        offers = _offers(under, size)
         for giver in under:
-            for taker in reversed(under):
-                looks += 1
+            if not packing[giver]:
+                continue
+            for at in _gainers(giver, offers):
+                taker = under[at]
                 many = min(packing[giver], packing[taker]) if giver != taker else packing[giver] // 2
-                if not many or looks >= most_looks:
+                if not many:
                     continue
-                a, b = _fill(giver), _fill(taker)
-                net, given, returned = _exchanges(giver, taker, size - b)
-                if net <= 0 or net <= a - b:  # the squares grow by 2 * net * (b - a + net)
+                net, given, returned = _exchanges(giver, taker, size - _fill(taker))
+                if net <= 0 or net <= _fill(giver) - _fill(taker):  # the squares grow by 2 * net * (b - a + net)
                     continue
                 packing[giver] -= many
                 packing[taker] -= many

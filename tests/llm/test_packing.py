@@ -42,6 +42,20 @@ def test_search_makes_one_for_one_and_two_for_one_exchanges():
     assert packing._exchanges(((4, 1), (3, 1)), ((6, 1),), 1) == (1, (4, 3), (6,))
 
 
+def test_search_ends_only_when_no_exchange_is_left():
+    rng = np.random.default_rng(1)
+    lengths = np.clip(np.rint(rng.normal(800, 150, 20_000)), 1, 2048).astype(int).tolist()
+    first = best_fit(Counter(lengths), 2048)
+    assert sum(_fill(p) < 2048 for p in first) > 447
+    bins = local_search(first, 2048)
+    assert items(bins) == Counter(lengths) and sum(bins.values()) < sum(first.values())
+    under = sorted((p for p in bins if _fill(p) < 2048), key=_fill)
+    for giver in under[::12]:
+        for taker in under:
+            if giver != taker or bins[giver] > 1:
+                assert packing._exchanges(giver, taker, 2048 - _fill(taker))[0] <= max(0, _fill(giver) - _fill(taker))
+
+
 def test_slots_cover_each_rank_once():
     rng = random.Random(2)
     counts = Counter(rng.randrange(1, 65) for _ in range(500))
