@@ -27,23 +27,27 @@ SEED = 42
 BITS = 64
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """Unsigned 64-bit majority of XXH64 over word shingles, repeats included; 0 without words.
+def shingle_hashes(text: bytes, shingle: int) -> list[int]:
+    """XXH64 of each word shingle in order, repeats included.
 
     bytes.lower() touches A-Z only and bytes.split() cuts at space and \\x09-\\x0D only, which is the
     contract's normalisation. Fewer words than a shingle: the whole sequence is the one shingle.
     """
     words = text.lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
-        starts = [0, *(e + 1 for e in ends[:-shingle])]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :])]
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    ends = [e - 1 for e in accumulate(len(w) + 1 for w in words)]
+    starts = [0, *(e + 1 for e in ends[:-shingle])]
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :])]
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """Unsigned 64-bit majority of the shingles' hashes; 0 without words."""
+    if not text.strip():
+        return 0
+    hashes = shingle_hashes(text, shingle)
     total = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = np.array(hashes[at : at + (1 << 15)], np.uint64)
