@@ -85,17 +85,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _TEMPLATES = ", ".join(f"('{pair}', {template}, {place}, '{label}', {pairs}, {exact})" for pair, template, place, label, pairs, exact in template_rows(PHRASES, NOTICES))
 
 ORACLES = {
+    # written from the rule in scan_licenses: pairs as strings, sessions and spans named by their first
+    # word and diagonal, a vote verified where no earlier one of its span has its place or a later one
     "op8_license_scan": rf"""
         WITH idx(pair, template, place, label, pairs, exact) AS (VALUES {_TEMPLATES}),
         t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         p AS (SELECT r, i - 1 AS place_at, w[i] || ' ' || w[i + 1] AS pair FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM t)),
-        d AS (SELECT r, template, label, pairs, exact, place_at - place AS diagonal, count(*) AS votes, min(place_at) AS a, max(place_at) AS b FROM p JOIN idx USING (pair) GROUP BY ALL),
-        g AS (SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > 3 THEN 1 ELSE 0 END AS opens FROM d),
-        s AS (SELECT *, sum(opens) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM g),
-        m AS (SELECT r, label, exact, least(1.0::DOUBLE, sum(votes) / pairs) AS share, sum(votes) = pairs AS whole, min(diagonal) AS start, max(b) - min(a) + 1 <= 2 * pairs AS tight FROM s GROUP BY r, template, label, pairs, exact, span),
-        k AS (SELECT r, count(*) FILTER (exact AND whole) AS n_base, min(start) FILTER (exact AND whole) AS first_word, max(start) FILTER (exact AND whole) AS last_word,
-            string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact AND whole) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact AND whole OR NOT exact AND share >= 0.5 AND tight) AS labels,
-            max(CASE WHEN exact AND whole THEN 1.0::DOUBLE WHEN NOT exact AND share >= 0.5 AND tight THEN share END) AS score FROM m GROUP BY r)
+        v AS (SELECT r, template, label, pairs, exact, place_at, place, place_at - place AS diagonal FROM p JOIN idx USING (pair)),
+        o AS (SELECT *, place_at - coalesce(lag(place_at) OVER (PARTITION BY r, template ORDER BY place_at, place), -9) > 8 AS is_first FROM v),
+        s AS (SELECT *, max(CASE WHEN is_first THEN place_at END) OVER (PARTITION BY r, template ORDER BY place_at, place ROWS UNBOUNDED PRECEDING) AS session FROM o),
+        d AS (SELECT DISTINCT r, template, session, diagonal, exact FROM s),
+        b AS (SELECT *, exact OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, template, session ORDER BY diagonal) > 3, TRUE) AS is_first FROM d),
+        n AS (SELECT r, template, session, diagonal, max(CASE WHEN is_first THEN diagonal END) OVER (PARTITION BY r, template, session ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM b),
+        m AS (SELECT s.*, n.span FROM s JOIN n USING (r, template, session, diagonal)),
+        x AS (SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM m e WHERE e.r = m.r AND e.template = m.template AND e.session = m.session AND e.span = m.span
+            AND (e.place_at < m.place_at OR e.place_at = m.place_at AND e.place < m.place) AND e.place >= m.place)),
+        f AS (SELECT r, template, label, exact, span, count(*) / pairs AS share FROM x GROUP BY r, template, label, pairs, exact, session, span),
+        k AS (SELECT r, count(*) FILTER (exact AND share = 1) AS n_base, min(span) FILTER (exact AND share = 1) AS first_word, max(span) FILTER (exact AND share = 1) AS last_word,
+            string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact AND share = 1) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact AND share = 1 OR NOT exact AND share >= 0.5) AS labels,
+            max(CASE WHEN exact AND share = 1 THEN 1.0::DOUBLE WHEN NOT exact AND share >= 0.5 THEN share END) AS score FROM f GROUP BY r)
         SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score FROM t LEFT JOIN k USING (r)
     """,
     "op10_exact_dedup": """
