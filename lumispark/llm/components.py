@@ -3,7 +3,8 @@
 Each round points every node at the smallest neighbour it knows, first among its larger neighbours,
 then among its smaller ones; the rounds grow with the logarithm of the longest path. Every round is
 two grouped minima and two joins by key, written to the shared folder, so a lost executor costs one
-round at most and no link ever reaches the driver.
+round at most and no link ever reaches the driver. The minima are written before they are joined:
+both sides are then plain exchanges, and the many links of a hub can be split over tasks.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from pyspark.sql import functions as F
 from lumispark.llm.shared import drop_path, written
 
 
-def _to_larger(links: DataFrame) -> DataFrame:
+def _to_larger(links: DataFrame, used: list[str]) -> DataFrame:
     """Each node's larger neighbours linked with the smallest of the node and its neighbours."""
     both = links.unionByName(links.select(F.col("low").alias("high"), F.col("high").alias("low")))
-    best = both.groupBy("high").agg(F.least(F.col("high"), F.min("low")).alias("_best"))
+    best, path = written(both.groupBy("high").agg(F.least(F.col("high"), F.min("low")).alias("_best")), "least-neighbours")
+    used.append(path)
     return (
         both.filter(F.col("low") > F.col("high"))
         .join(best, "high")
@@ -26,9 +28,10 @@ def _to_larger(links: DataFrame) -> DataFrame:
     )
 
 
-def _to_smaller(links: DataFrame) -> DataFrame:
+def _to_smaller(links: DataFrame, used: list[str]) -> DataFrame:
     """Each node and its smaller neighbours linked with the smallest of those."""
-    best = links.groupBy("high").agg(F.min("low").alias("_best"))
+    best, path = written(links.groupBy("high").agg(F.min("low").alias("_best")), "least-neighbours")
+    used.append(path)
     moved = links.join(best, "high").filter(F.col("low") != F.col("_best")).select(F.col("low").alias("high"), F.col("_best").alias("low"))
     return moved.unionByName(best.select("high", F.col("_best").alias("low"))).distinct()
 
@@ -46,9 +49,12 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
     mark = F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("high", "low"))).alias("mark")
     before = state.agg(mark).first()[0]
     while before[0]:
-        following, new = written(_to_smaller(_to_larger(state)), "links")
+        used = [path]
+        larger, middle = written(_to_larger(state, used), "links")
+        following, new = written(_to_smaller(larger, used), "links")
         after = following.agg(mark).first()[0]
-        drop_path(spark, path)
+        for done in (*used, middle):
+            drop_path(spark, done)
         state, path = following, new
         if after == before:
             break

@@ -2,22 +2,47 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_folders: dict[str, str] = {}
+_open: ContextVar[list[str] | None] = ContextVar("open scratch", default=None)
 
 
-def work_folder(spark: SparkSession) -> str:
-    """The shared folder for intermediates: spark.checkpoint.dir; only where unset, one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="lumispark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint
+    folder. Only a local master may go without either: it gets a temporary folder of its own."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = _own_folders.setdefault(app, tempfile.mkdtemp(prefix="lumispark-"))
-    return f"{base.rstrip('/')}/lumispark-{app}"
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_folders.get(context.applicationId) or _own_folders.setdefault(context.applicationId, _own_folder())
+    return base.rstrip("/")
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The folder for intermediates of this application."""
+    return f"{shared_folder(spark)}/lumispark-{spark.sparkContext.applicationId}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Remove all intermediates of this application; frames that operators returned can't be read after it."""
+    drop_path(spark, work_folder(spark))
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -28,10 +53,29 @@ def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write df once as a Parquet table and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, tag)
+    if (held := _open.get()) is not None:
+        held.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[str], None]]:
+    """Remove what is written inside the block at its end, but for paths given to the function it
+    yields; those belong to the block around it, if there is one."""
+    outer, own, kept = _open.get(), [], set()
+    token = _open.set(own)
+    try:
+        yield kept.add
+    finally:
+        _open.reset(token)
+        for path in own:
+            if path not in kept:
+                drop_path(spark, path)
+        if outer is not None:
+            outer.extend(kept)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a written intermediate that nothing reads any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

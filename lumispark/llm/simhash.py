@@ -1,12 +1,15 @@
 """SimHash near-dedup with multi-index hashing.
 
-A fingerprint is split into its two 32-bit halves. Two fingerprints differ in at most two bits if
-and only if the radius-1 Hamming balls enumerated within their halves share a member whose other
-half is unchanged: one of them, or a value one flipped bit away from both. So every fingerprint
-enters one index table under its 1 + 32 + 32 ball members, matches are read off by key, and whole
-distances are verified on each match. Since the key carries both halves, a bucket holds at most 65
-distinct fingerprints, whatever is copied or shared; members of a bucket differ pairwise in at most
-two bits, so linking neighbours in fingerprint order loses no component.
+A fingerprint has two segments of 32 bits, and every distinct fingerprint enters a table under each
+of them. Two fingerprints that differ in at most two bits differ in at most one bit of some segment,
+so each probes the tables with the radius-1 Hamming ball of each of its segments, and whole
+distances are verified on the matches.
+
+A table slot that many fingerprints share (copies that differ in one segment only) is hot: matching
+it whole would meet all pairs of the slot. Its fingerprints and probes are filed under the radius-1
+ball of the other segment as well: what is left of a distance of two is at most two bits there, and
+two such balls meet in the middle. At most 33 fingerprints share such a key, so no key of either
+join holds many rows, and every pair within two bits is still found.
 """
 
 from __future__ import annotations
@@ -17,14 +20,16 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumispark.llm.components import components
-from lumispark.llm.shared import keep_ids, text_of, written
+from lumispark.llm.shared import keep_ids, scratch, text_of, written
 
 SEED = 42
-BITS = 64
+BITS, SEGMENT = 64, 32
+#: Fingerprints that share a segment up to which they are matched by that segment alone.
+HOT = 64
 
 
 def shingle_hashes(text: bytes, shingle: int) -> list[int]:
@@ -67,14 +72,41 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def fingerprint_links(fps: DataFrame) -> DataFrame:
-    """Links (fp, other) between distinct fingerprints at Hamming distance 1 or 2, enough to connect
-    every pair at such a distance. fps: one column fp, distinct."""
-    flips = [1 << k if k < 63 else -(1 << 63) for k in range(BITS)]
-    ball = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(m).cast("long")) for m in flips))
-    index = fps.select("fp", F.explode(ball).alias("member"))
-    matched = index.withColumn("other", F.lag("fp").over(Window.partitionBy("member").orderBy("fp"))).filter(F.col("other").isNotNull())
-    return matched.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2).select("fp", "other").distinct()
+def _ball(value: Column) -> Column:
+    """The 33 values of 32 bits at distance 0 or 1."""
+    return F.array(value, *(value.bitwiseXOR(F.lit(1 << k)) for k in range(SEGMENT)))
+
+
+def _segments(fp: Column) -> tuple[Column, Column]:
+    """Low and high segment, as unsigned numbers."""
+    return fp.bitwiseAND(F.lit((1 << SEGMENT) - 1)), F.shiftrightunsigned(fp, SEGMENT)
+
+
+def fingerprint_links(fps: DataFrame, hot: int = HOT) -> DataFrame:
+    """Links (fp, other), fp < other, of all pairs at Hamming distance 1 or 2. fps: one column fp, distinct.
+
+    A slot is a segment's value, the high segment's plus 2^32. hot: fingerprints of a slot from
+    which on the other segment's ball is part of the key.
+    """
+    own, fp = F.lit(1 << SEGMENT), F.col("fp")
+    low, high = _segments(fp)
+    tables = fps.select("fp", F.explode(F.array(low, high + own)).alias("slot"))
+    sizes = tables.groupBy("slot").agg(F.count(F.lit(1)).alias("many"))
+    probes = fps.select("fp", F.explode(F.concat(_ball(low), F.transform(_ball(high), lambda v: v + own))).alias("slot"))
+    alone = (F.col("many") == 1) & ((F.col("slot") == low) | (F.col("slot") == high + own))
+    hits, _ = written(probes.join(sizes, "slot").filter(~alone), "slot-hits")
+    filed = tables.withColumnRenamed("fp", "other")
+    pairs = hits.filter(F.col("many") <= hot).join(filed, "slot").select("fp", "other")
+
+    def balls(rows: DataFrame, name: str) -> DataFrame:
+        first, second = _segments(F.col(name))
+        return rows.select(name, "slot", F.explode(_ball(F.when(F.col("slot") < own, second).otherwise(first))).alias("middle"))
+
+    crowded = hits.filter(F.col("many") > hot)
+    in_crowd = filed.join(crowded.select("slot").distinct(), "slot", "left_semi")
+    met = balls(crowded.select("fp", "slot"), "fp").join(balls(in_crowd, "other"), ["slot", "middle"]).select("fp", "other")
+    near = (F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2)
+    return pairs.filter(near).unionByName(met.filter(near)).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -82,21 +114,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest doc_id reachable over links of 2 or fewer differing bits, itself
     included; null if no row of the component has an id. Null and empty texts, and texts of white
-    space, have fingerprint zero and link like any other. Repeated rows share their component. An
+    space, have fingerprint zero and link like any other. Very long texts are read whole, in blocks
+    of shingles. A bit set in exactly half the hashes is 0. Repeated rows share their component. An
     empty table gives no rows; other columns are ignored.
     """
-    rows, _ = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots, _ = written(components(fingerprint_links(nodes.select("fp")), "fp", "other"), "roots")
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    # written, so that both sides of the last join are plain exchanges and a hot fingerprint can be split
-    of, _ = written(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "components")
+    with scratch(docs.sparkSession) as keep:
+        rows, path = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+        keep(path)
+        nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+        roots, _ = written(components(fingerprint_links(nodes.select("fp")), "fp", "other"), "roots")
+        # written, so that both sides of the joins are plain exchanges and a hot root or fingerprint can be split
+        rooted, _ = written(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+        least, _ = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+        of, path = written(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "components")
+        keep(path)
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """docs with the one document of each component that has the smallest id; rows without an id stay."""
+    """docs with the one document of each component that has the smallest id.
+
+    Rows without an id stay, as no decision names them; rows that repeat the id kept all stay. Null,
+    empty and very long texts as in near_duplicates. An empty table gives no rows.
+    """
     found = near_duplicates(docs, id_col, text_col, shingle)
     kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col))
     return keep_ids(docs, kept, id_col)

@@ -60,6 +60,23 @@ def test_links_connect_like_brute_force(spark):
     assert {f: got.get(f, f) for f in signed} == want
 
 
+def test_links_of_crowded_slots_are_all_pairs(spark):
+    rng = random.Random(9)
+    half, fps = rng.getrandbits(32), set()
+    for shift in (0, 32):  # many fingerprints share one segment, some but for one bit
+        for _ in range(60):
+            rest = rng.getrandbits(6) << 3
+            for flip in (0, 1 << rng.randrange(32)):
+                fps.add(((half ^ flip) << shift) | (rest << (32 - shift)))
+    fps = sorted(fps)
+    signed = [f - 2**64 if f >= 2**63 else f for f in fps]
+    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % 2**64).bit_count() <= 2}
+    frame = spark.createDataFrame([(f,) for f in signed], "fp long")
+    for hot in (1, 8, 64, 10_000):
+        rows = [(r.fp, r.other) for r in fingerprint_links(frame, hot).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want, hot
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(200)]
     star = [(1000, 1000 + i) for i in range(1, 150)]
