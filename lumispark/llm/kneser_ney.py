@@ -1,12 +1,20 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model.
 
-Units are bytes, so the model needs no vocabulary and its size is bounded by what a language's
-spelling allows. n-grams of trusted texts are counted in their tasks, then summed by key; all lower
-orders, continuation counts, context totals, discounts and probabilities are group-bys and equi-joins
-of these count tables, sharded by key. A text's perplexity needs the probability of each of its
-n-grams. While the model's rows are under a checked bound they are broadcast and texts are scored
-where they lie; beyond it, each text's n-gram counts are joined with the sharded tables. Thresholds
-are quantiles of the trusted texts of each language.
+Units are bytes, so the model needs no vocabulary and its tables grow with what a language's spelling
+allows. Bytes alone don't see that a word is said over and over, so a word that repeats the one
+before it is one unit of its own, which is rare in trusted texts.
+
+n-grams of trusted texts are counted in their tasks, then summed by key; all lower orders,
+continuation counts, context totals, discounts and probabilities are group-bys and equi-joins of
+these count tables, sharded by key. Scoring joins the same tables, at every size of model and input:
+tasks write their texts in compressed chunks of bounded size, each with its distinct n-grams; the
+distinct n-grams of all chunks are joined with the sharded tables, order by order; the bits found go
+back to the chunks that asked, and meet the chunk's texts in one shuffle. What is joined are
+distinct n-grams of chunks, not occurrences, so the joins move a fraction of the input.
+
+Thresholds are quantiles, by language, of what trusted texts score under a model that was not trained
+on them: texts fall into folds by a hash, and beside the model of all trusted texts there is one
+without each fold. All of them are columns of the same tables, so they cost no further join.
 
 An n-gram of bytes b1..bn is the integer of those bytes, highest first; texts begin after n - 1
 zero bytes.
@@ -14,26 +22,45 @@ zero bytes.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumispark.llm.shared import text_of, written
+from lumispark.llm.shared import scratch, text_of, written
 
 ORDER = 5
-#: Rows of the model's tables up to which they are broadcast (16 bytes each).
-BROADCAST_ROWS = 6_000_000
 #: Texts with a perplexity above this quantile of their language's trusted texts are rejected.
-QUANTILE = 0.998
+QUANTILE = 0.995
+#: Folds of the trusted texts, by a hash of the text; each is judged by a model without it.
+FOLDS = 2
+#: Bytes of text in a chunk and in one of its packets; a longer text is a packet of its own.
+CHUNK, PACKET = 64 << 20, 1 << 20
+#: Labelled ids up to which they are broadcast (8 bytes each) to find their texts.
+BROADCAST_IDS = 2_000_000
 UNIFORM = 1 / 256
+#: The unit that stands for white space and the word before it once more.
+AGAIN = b"\x01"
+_REPEATS = re.compile(rb"(?<!\S)(\S+)((?:\s+\1)+)(?!\S)")
+
+
+def units(text: bytes) -> bytes:
+    """The text's units: its bytes, with a word's repetitions right after it as AGAIN each."""
+    words = text.split()
+    if not any(map(bytes.__eq__, words, words[1:])):
+        return text
+    return _REPEATS.sub(lambda m: m[1] + AGAIN * len(m[2].split()), text)
 
 
 def grams_of(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n-grams, first n-gram of each text and the end): one n-gram for each byte."""
+    """(n-grams, first n-gram of each text and the end): one n-gram for each unit."""
     pad = b"\0" * (order - 1)
     data = np.frombuffer(b"".join(pad + t for t in texts), np.uint8).astype(np.int64)
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -46,53 +73,88 @@ def grams_of(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return out[at], begins
 
 
-def _chunks(rows: Iterator, size_of, most: int = 1 << 20) -> Iterator[list]:
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += size_of(row)
-        if size >= most:
-            yield held
+def gram_blocks(texts: list[bytes], order: int, most: int = PACKET) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, n-grams, begins) of blocks of texts; a text longer than `most` comes in several
+    blocks of its own, each but the first led by the units before it."""
+    held, first, size = [], 0, 0
+    for at, text in enumerate(texts):
+        if held and size + len(text) > most:
+            yield first, *grams_of(held, order)
             held, size = [], 0
+        if len(text) > most:
+            for start in range(0, len(text), most):
+                led = text[max(0, start - order + 1) : start + most]
+                grams, _ = grams_of([led], order)
+                grams = grams[min(start, order - 1) :]
+                yield at, grams, np.array([0, len(grams)])
+            continue
+        if not held:
+            first = at
+        held.append(text)
+        size += len(text)
     if held:
-        yield held
+        yield first, *grams_of(held, order)
 
 
-def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, c) of all texts (one column, text)."""
+def _slices(rows: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about `most` bytes of text, or of one longer text."""
+    for batch in rows:
+        start, size = 0, 0
+        for at, value in enumerate(batch.column(text)):
+            size += len(value.as_buffer()) if value.is_valid else 0
+            if size >= most:
+                yield batch.slice(start, at + 1 - start)
+                start, size = at + 1, 0
+        if start < batch.num_rows:
+            yield batch.slice(start)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def flush() -> pa.RecordBatch:
-            grams, counts = np.concatenate([g for g, _ in held]), np.concatenate([c for _, c in held])
-            unique, inverse = np.unique(grams, return_inverse=True)
-            summed = np.bincount(inverse, weights=counts, minlength=len(unique)).astype(np.int64)
-            held[:] = [(unique, summed)]
-            return pa.RecordBatch.from_arrays([pa.array(unique), pa.array(summed)], ["gram", "c"])
+def fold_of(text: Column, folds: int = FOLDS) -> Column:
+    return F.pmod(F.xxhash64(text, F.lit(folds)), F.lit(folds)).cast("int")
+
 
-        rows = (value.as_py() for batch in batches for value in batch.column(0))
-        for part in _chunks(rows, len):
-            held.append(np.unique(grams_of(part, order)[0], return_counts=True))
-            if sum(len(g) for g, _ in held) > 2_000_000:
-                flush()
-                if len(held[0][0]) > 1_000_000:
-                    yield flush()
-                    held.clear()
-        if held:
-            yield flush()
+def count_grams(texts: DataFrame, order: int = ORDER, folds: int = FOLDS) -> DataFrame:
+    """(gram, c0, c1, ...) of all texts (one column, text): c0 counts all, the others all but a fold."""
 
-    one = texts.select(text_of(texts.columns[0]).cast("binary").alias("text"))
-    return one.mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {f: [] for f in range(folds)}
+
+        def merge(fold: int) -> tuple[np.ndarray, np.ndarray]:
+            grams, counts = (np.concatenate(x) for x in zip(*held[fold]))
+            unique, inverse = np.unique(grams, return_inverse=True)
+            held[fold] = [(unique, np.bincount(inverse, weights=counts, minlength=len(unique)).astype(np.int64))]
+            return held[fold][0]
+
+        def flush(fold: int) -> pa.RecordBatch:
+            grams, counts = merge(fold)
+            held[fold] = []
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), fold, np.int32)), pa.array(grams), pa.array(counts)], ["fold", "gram", "c"])
+
+        for part in _slices(batches, "text", PACKET):
+            of = part.column("fold").to_numpy()
+            for fold in range(folds):
+                own = [units(t.as_py()) for t in part.column("text").filter(pa.array(of == fold))]
+                for _, grams, _ in gram_blocks(own, order):
+                    held[fold].append(np.unique(grams, return_counts=True))
+                if sum(len(g) for g, _ in held[fold]) > 2_000_000 and len(merge(fold)[0]) > 1_000_000:
+                    yield flush(fold)
+        for fold in range(folds):
+            if held[fold]:
+                yield flush(fold)
+
+    text = text_of(texts.columns[0])
+    counted = texts.select(fold_of(text, folds).alias("fold"), text.cast("binary").alias("text")).mapInArrow(run, "fold int, gram long, c long")
+    without = (F.coalesce(F.sum(F.when(F.col("fold") != f, F.col("c"))), F.lit(0)).alias(f"c{f + 1}") for f in range(folds))
+    return counted.groupBy("gram").agg(F.sum("c").alias("c0"), *without)
 
 
 def _suffix(order: int) -> Column:
     return F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1))
 
 
-def _discounts(table: DataFrame) -> list[float]:
+def _discounts(counts: DataFrame, column: str = "c0") -> list[float]:
     """D1, D2, D3+ of the modified method from the counts of counts."""
-    n = {r.c: r["count"] for r in table.filter("c <= 4").groupBy("c").count().collect()}
+    n = {r.c: r["count"] for r in counts.filter(F.col(column).between(1, 4)).groupBy(F.col(column).alias("c")).count().collect()}
     n1, n2, n3, n4 = (n.get(k, 0) for k in (1, 2, 3, 4))
     if not n1 or not n2 or not n3:
         return [0.5, 0.75, 0.9]
@@ -103,160 +165,215 @@ def _discounts(table: DataFrame) -> list[float]:
 
 @dataclass
 class KneserNey:
-    """seen: (gram_order, gram, p), the probability of each seen gram's last byte after the others;
-    backoff: (gram_order, context, weight), what a context leaves to the order below."""
+    """seen: (gram_order, gram, p0, p1, ...), the probability of each seen gram's last byte after the
+    others; backoff: (gram_order, context, w0, w1, ...), what a context leaves to the order below.
+    Column 0 is the model of all texts, the others are those without a fold, null where unseen."""
 
     order: int
+    folds: int
     seen: DataFrame
     backoff: DataFrame
 
     @classmethod
-    def train(cls, texts: DataFrame, order: int = ORDER) -> KneserNey:
-        counts, _ = written(count_grams(texts, order), "ngram-counts")
+    def train(cls, texts: DataFrame, order: int = ORDER, folds: int = FOLDS) -> KneserNey:
+        models = range(folds + 1)
+        counts, _ = written(count_grams(texts, order, folds), "ngram-counts")
         tables = {order: counts}
         for n in range(order - 1, 0, -1):  # continuation counts: how many bytes stand before a gram
-            below = tables[n + 1].groupBy(_suffix(n).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
+            below = tables[n + 1].groupBy(_suffix(n).alias("gram")).agg(*(F.sum((F.col(f"c{k}") > 0).cast("long")).alias(f"c{k}") for k in models))
             tables[n], _ = written(below, "ngram-counts")
         seen, backoff, lower = [], [], None
         for n in range(1, order + 1):
-            d1, d2, d3 = _discounts(tables[n])
-            discount = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-            keyed = tables[n].withColumn("context", F.shiftright("gram", 8)).withColumn("discount", discount)
-            totals = keyed.groupBy("context").agg(F.sum("c").alias("total"), F.sum("discount").alias("freed"))
+            keyed = tables[n].withColumn("context", F.shiftright("gram", 8))
+            for k in models:
+                d1, d2, d3 = _discounts(tables[n], f"c{k}")
+                c = F.col(f"c{k}")
+                keyed = keyed.withColumn(f"d{k}", F.when(c == 0, 0.0).when(c == 1, d1).when(c == 2, d2).otherwise(d3))
+            sums = (F.sum(f"{kind}{k}").alias(f"{name}{k}") for k in models for kind, name in (("c", "total"), ("d", "freed")))
+            totals = keyed.groupBy("context").agg(*sums)
             joined = keyed.join(totals, "context")
-            weight = F.col("freed") / F.col("total")
-            rest = F.lit(UNIFORM)
+            rest = [F.lit(UNIFORM)] * len(models)
             if lower is not None:
-                joined = joined.withColumn("suffix", _suffix(n - 1)).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("p_below")), "suffix")
-                rest = F.col("p_below")
-            lower, _ = written(joined.select("gram", ((F.col("c") - F.col("discount")) / F.col("total") + weight * rest).alias("p")), "ngram-probabilities")
-            seen.append(lower.select(F.lit(n).alias("gram_order"), "gram", "p"))
-            backoff.append(totals.select(F.lit(n).alias("gram_order"), "context", weight.alias("weight")))
+                below = lower.select(F.col("gram").alias("suffix"), *(F.col(f"p{k}").alias(f"below{k}") for k in models))
+                joined = joined.withColumn("suffix", _suffix(n - 1)).join(below, "suffix")
+                rest = [F.col(f"below{k}") for k in models]
+            p = (F.when(F.col(f"c{k}") > 0, (F.col(f"c{k}") - F.col(f"d{k}") + F.col(f"freed{k}") * rest[k]) / F.col(f"total{k}")).alias(f"p{k}") for k in models)
+            lower, _ = written(joined.select("gram", *p), "ngram-probabilities")
+            seen.append(lower.select(F.lit(n).alias("gram_order"), "gram", *(f"p{k}" for k in models)))
+            weights = (F.when(F.col(f"total{k}") > 0, F.col(f"freed{k}") / F.col(f"total{k}")).alias(f"w{k}") for k in models)
+            backoff.append(totals.select(F.lit(n).alias("gram_order"), "context", *weights))
         union = lambda parts: parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1]), *parts[2:]])
-        return cls(order, written(union(seen), "ngram-model")[0], written(union(backoff), "ngram-model")[0])
-
-    def tables(self) -> ModelTables:
-        """Both tables in arrays; call only under a checked bound."""
-        seen, backoff = self.seen.toArrow(), self.backoff.toArrow()
-        return ModelTables(
-            self.order,
-            [_sorted(seen, n, "gram", "p") for n in range(1, self.order + 1)],
-            [_sorted(backoff, n, "context", "weight") for n in range(1, self.order + 1)],
-        )
-
-    def gram_bits(self, grams: DataFrame) -> DataFrame:
-        """grams: a column gram among others. Adds bits, -log2 of the probability, by joins with the
-        sharded tables: the longest seen suffix, times the backoff weights above it."""
-        out, p, weights = grams, F.lit(UNIFORM), []
+        return cls(order, folds, written(union(seen), "ngram-model")[0], written(union(backoff), "ngram-model")[0])
+
+    def bits(self, grams: DataFrame) -> DataFrame:
+        """(gram, b0, b1, ...) of distinct grams: -log2 of the probability of the last byte under each
+        model. Each order joins the distinct suffixes asked for with its sharded tables and with the
+        order below."""
+        models, below = range(self.folds + 1), None
         for n in range(1, self.order + 1):
-            seen = self.seen.filter(F.col("gram_order") == n).select(F.col("gram").alias(f"_g{n}"), F.col("p").alias(f"_p{n}"))
-            backoff = self.backoff.filter(F.col("gram_order") == n).select(F.col("context").alias(f"_c{n}"), F.col("weight").alias(f"_w{n}"))
-            out = out.join(seen, _suffix(n) == F.col(f"_g{n}"), "left").join(backoff, F.shiftright(_suffix(n), 8) == F.col(f"_c{n}"), "left")
-            p = F.coalesce(F.col(f"_p{n}"), F.coalesce(F.col(f"_w{n}"), F.lit(1.0)) * p)
-            weights += [f"_g{n}", f"_p{n}", f"_c{n}", f"_w{n}"]
-        return out.withColumn("bits", -F.log2(p)).drop(*weights)
+            asked = grams.select(_suffix(n).alias("gram")).distinct()
+            seen = self.seen.filter(F.col("gram_order") == n).drop("gram_order")
+            backoff = self.backoff.filter(F.col("gram_order") == n).drop("gram_order")
+            found = asked.join(seen, "gram", "left").withColumn("context", F.shiftright("gram", 8)).join(backoff, "context", "left")
+            rest = [F.lit(UNIFORM)] * len(models)
+            if below is not None:
+                found, rest = found.withColumn("suffix", _suffix(n - 1)).join(below, "suffix"), [F.col(f"below{k}") for k in models]
+            p = (F.coalesce(f"p{k}", F.coalesce(f"w{k}", F.lit(1.0)) * rest[k]).alias(f"below{k}") for k in models)
+            below, _ = written(found.select(F.col("gram").alias("suffix"), *p), "gram-probabilities")
+        return below.select(F.col("suffix").alias("gram"), *((-F.log2(f"below{k}")).alias(f"b{k}") for k in models))
+
+
+def _packed(rows: DataFrame, order: int, chunk: int) -> DataFrame:
+    """(chunk, seq, payload): rows (doc_id, others, text) in compressed packets, and, with seq -1, the
+    distinct n-grams of each chunk. A chunk is what one task read, or about `chunk` bytes of it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        base, number, seq, size = TaskContext.get().partitionId() << 24, 0, 0, 0
+        asked: list[np.ndarray] = []
+
+        def row(at: int, payload: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([base + number]), pa.array([at], pa.int32()), pa.array([payload], pa.binary())], ["chunk", "seq", "payload"])
+
+        def merge() -> np.ndarray:
+            asked[:] = [np.unique(np.concatenate(asked))] if asked else [np.zeros(0, np.int64)]
+            return asked[0]
+
+        def questions() -> pa.RecordBatch:
+            return row(-1, pack.compress(np.diff(merge(), prepend=0).tobytes()))
+
+        for part in _slices(batches, "text", PACKET):
+            texts = [units(t.as_py()) for t in part.column("text")]
+            for _, grams, _ in gram_blocks(texts, order):
+                asked.append(np.unique(grams))
+                if len(asked) > 15:
+                    merge()
+            sink = pa.BufferOutputStream()
+            names = [c for c in part.schema.names if c != "text"]
+            sizes = pc.binary_length(part.column("text")).cast(pa.int64())
+            own = pa.RecordBatch.from_arrays([*(part.column(c) for c in names), sizes, pa.array(texts, pa.large_binary())], [*names, "n_bytes", "units"])
+            with pa.ipc.new_stream(sink, own.schema) as stream:
+                stream.write_batch(own)
+            yield row(seq, pack.compress(sink.getvalue()))
+            seq, size = seq + 1, size + sum(map(len, texts))
+            if size >= chunk:
+                yield questions()
+                number, seq, size = number + 1, 0, 0
+                asked.clear()
+        if seq:
+            yield questions()
+
+    return rows.mapInArrow(run, "chunk long, seq int, payload binary")
+
+
+def _asked(packed: DataFrame) -> DataFrame:
+    """(chunk, gram): the distinct n-grams of each chunk."""
 
-def _sorted(table: pa.Table, order: int, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-    import pyarrow.compute as pc
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload")):
+                grams = np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(payload.as_py()), np.int64))
+                for at in range(0, len(grams), 1 << 16):
+                    own = grams[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk)), pa.array(own)], ["chunk", "gram"])
 
-    own = table.filter(pc.equal(table["gram_order"], order)).sort_by(key)
-    return own[key].to_numpy(), own[value].to_numpy()
+    return packed.filter("seq = -1").select("chunk", "payload").mapInArrow(run, "chunk long, gram long")
 
 
-@dataclass
-class ModelTables:
-    order: int
-    seen: list[tuple[np.ndarray, np.ndarray]]
-    backoff: list[tuple[np.ndarray, np.ndarray]]
+def _scored(met: DataFrame, order: int, models: int, kinds: str) -> DataFrame:
+    """(doc_id, others, n_bytes, units, s0, s1, ...), the bits of each text under each model: met has
+    each chunk's bits (seq -1) before its packets."""
 
-    def bits(self, grams: np.ndarray) -> np.ndarray:
-        """-log2 of the probability of each gram's last byte."""
-        p = np.full(len(grams), UNIFORM)
-        for n in range(1, self.order + 1):
-            own = grams & ((1 << 8 * n) - 1)
-            weight, found = _looked_up(*self.backoff[n - 1], own >> 8)
-            p = np.where(found, weight, 1.0) * p
-            exact, found = _looked_up(*self.seen[n - 1], own)
-            p = np.where(found, exact, p)
-        return -np.log2(p)
-
-    def text_bits(self, texts: list[bytes]) -> list[float]:
-        """Sum of bits over each text's bytes."""
-        grams, begins = grams_of(texts, self.order)
-        unique, inverse = np.unique(grams, return_inverse=True)
-        total = np.concatenate([[0.0], np.cumsum(self.bits(unique)[inverse])])
-        return (total[begins[1:]] - total[begins[:-1]]).tolist()
-
-
-def _looked_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(asked)), np.zeros(len(asked), bool)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return values[at], keys[at] == asked
-
-
-def perplexities(docs: DataFrame, model: KneserNey, broadcast_rows: int = BROADCAST_ROWS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *keep, n_bytes, perplexity) of each row; perplexity per byte, null for empty texts."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, text_of(text_col).cast("binary").alias("text"))
-    perplexity = F.when(F.col("n_bytes") > 0, F.pow(F.lit(2.0), F.col("bits") / F.col("n_bytes"))).alias("perplexity")
-    order = model.order
-    if model.seen.count() + model.backoff.count() <= broadcast_rows:
-        shared = spark.sparkContext.broadcast(model.tables())
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables = shared.value
-            for batch in batches:
-                bits, sizes = [], []
-                for part in _chunks((v.as_py() for v in batch.column("text")), len):
-                    bits += tables.text_bits(part)
-                    sizes += [len(t) for t in part]
-                others = [batch.column(c) for c in ("doc_id", *keep)]
-                yield pa.RecordBatch.from_arrays([*others, pa.array(sizes, pa.int64()), pa.array(bits, pa.float64())], ["doc_id", *keep, "n_bytes", "bits"])
-
-        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("text").schema.fields)
-        return rows.mapInArrow(score, f"{kinds}, n_bytes long, bits double").select("doc_id", *keep, "n_bytes", perplexity)
-
-    keyed = rows.withColumn("row", F.struct("doc_id", F.sha2("text", 256).alias("sha")))  # repeated rows: equal sums
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, found, grams, bits = None, [], np.zeros(0, np.int64), np.zeros((0, models))
         for batch in batches:
-            for row, text in zip(batch.column("row"), batch.column("text")):
-                grams, counts = np.unique(grams_of([text.as_py()], order)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([row.as_py()] * len(grams), batch.column("row").type), pa.array(grams), pa.array(counts)], ["row", "gram", "times"])
+            chunks, seqs = batch.column("chunk").to_numpy(), batch.column("seq").to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(chunks) != 0) | (np.diff(seqs) != 0)) + 1).tolist(), len(chunks)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if chunks[a] != current:
+                    current, found = chunks[a], []
+                if seqs[a] < 0:
+                    found.append([batch.column(c).slice(a, b - a).to_numpy() for c in ("gram", *(f"b{k}" for k in range(models)))])
+                    continue
+                if found:
+                    columns = [np.concatenate(x) for x in zip(*found)]
+                    rising = np.argsort(columns[0])
+                    grams, bits, found = columns[0][rising], np.stack([c[rising] for c in columns[1:]], axis=1), []
+                for payload in batch.column("payload").slice(a, b - a):
+                    part = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload.as_py())).read_next_batch()
+                    total = np.zeros((part.num_rows, models))
+                    texts = part.column("units").to_pylist()
+                    for first, asked, begins in gram_blocks(texts, order):
+                        some = np.flatnonzero(np.diff(begins))
+                        if len(some):
+                            total[first + some] += np.add.reduceat(bits[np.searchsorted(grams, asked)], begins[some], axis=0)
+                    yield pa.RecordBatch.from_arrays(
+                        [*part.columns[:-1], pa.array([len(t) for t in texts], pa.int64()), *(pa.array(total[:, k]) for k in range(models))],
+                        [*part.schema.names[:-1], "units", *(f"s{k}" for k in range(models))],
+                    )
+
+    return met.mapInArrow(run, f"{kinds}, n_bytes long, units long, " + ", ".join(f"s{k} double" for k in range(models)))
+
+
+def perplexities(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
+    """(doc_id, *keep, n_bytes, perplexity, without) of each row; perplexity is per unit, null for empty
+    texts, without the same under the models without each fold.
+
+    Tasks read about `chunk` bytes each where there is enough to keep all cores busy."""
+    spark, models = docs.sparkSession, range(model.folds + 1)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, text_of(text_col).cast("binary").alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    tasks = max(-(-total // chunk), spark.sparkContext.defaultParallelism)
+    packed, _ = written(_packed(rows.coalesce(tasks), model.order, chunk), "text-chunks")
+    asked, _ = written(_asked(packed), "asked-grams")
+    distinct, _ = written(asked.select("gram").distinct(), "distinct-grams")
+    none = lambda kind: F.lit(None).cast(kind)
+    answers = asked.join(model.bits(distinct), "gram").select("chunk", F.lit(-1).alias("seq"), "gram", *(f"b{k}" for k in models), none("binary").alias("payload"))
+    texts = packed.filter("seq >= 0").select("chunk", "seq", none("long").alias("gram"), *(none("double").alias(f"b{k}") for k in models), "payload")
+    met = answers.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "seq")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema.fields)
+    of = lambda k: F.when(F.col("units") > 0, F.pow(F.lit(2.0), F.col(f"s{k}") / F.col("units")))
+    return _scored(met, model.order, len(models), kinds).select("doc_id", *keep, "n_bytes", of(0).alias("perplexity"), F.array(*(of(k) for k in models[1:])).alias("without"))
 
-    kind = keyed.schema["row"].dataType.simpleString()
-    grams = keyed.select("row", "text").dropDuplicates(["row"]).mapInArrow(spread, f"row {kind}, gram long, times long")
-    bits = model.gram_bits(grams).groupBy("row").agg(F.sum(F.col("bits") * F.col("times")).alias("bits"))
-    sized = keyed.select("row", "doc_id", *keep, F.octet_length("text").cast("long").alias("n_bytes")).withColumn("sha", F.col("row.sha"))
-    bits = bits.select(F.col("row.doc_id").alias("_id"), F.col("row.sha").alias("_sha"), "bits")
-    return sized.join(bits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left").select("doc_id", *keep, "n_bytes", perplexity)
 
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(id): ids labelled of good quality and not toxic."""
+    return labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id")).distinct()
 
-def trusted_docs(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows labelled of good quality and not toxic. Both sides are sorted by id at every size: labels
-    grow with the corpus, so their size has no bound to broadcast under."""
-    good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(good.hint("merge"), id_col, "left_semi")
 
+def of_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """Rows of docs whose id is among ids: these are broadcast if no more than broadcast_ids, else
+    both sides are sorted by id."""
+    small = ids.limit(broadcast_ids + 1).count() <= broadcast_ids
+    return docs.join(ids.select(F.col("id").alias(id_col)).hint("broadcast" if small else "merge"), id_col, "left_semi")
 
-def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, broadcast_rows: int = BROADCAST_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+
+def quality(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """One row per row of docs: doc_id, lang, n_bytes, perplexity, threshold, keep.
 
-    threshold: the quantile of perplexity among the trusted rows of the language (null and unknown
-    languages are each a language); where a language has none, among all trusted rows. keep: the
-    perplexity is at most the threshold. Empty and null texts have no perplexity and aren't kept;
-    without any trusted text there is no threshold and all others are kept. Repeated rows each get
-    their row. An empty table gives no rows; other columns are ignored.
+    Trusted rows are those labelled of good quality and not toxic. threshold: the quantile of what the
+    trusted rows of the language score (null and unknown languages are each a language) under the
+    model without their fold; where a language has none, of all trusted rows. keep: the perplexity
+    under the model of all trusted texts is at most the threshold, so a tie is kept.
+
+    Empty and null texts have no perplexity and aren't kept; without any trusted text there is no
+    threshold and all others are kept. Very long texts are counted and scored whole, block by block.
+    Repeated rows each get their row. An empty table gives no rows; other columns are ignored.
     """
-    model = KneserNey.train(trusted_docs(docs, labels, id_col).select(text_col), order)
-    lang = docs.select(F.col(id_col), F.col(text_col), F.col(lang_col).cast("string").alias("lang"))
-    scored, _ = written(perplexities(lang, model, broadcast_rows, id_col, text_col, ("lang",)), "perplexities")
-    trusted = trusted_docs(scored, labels, "doc_id").filter("perplexity IS NOT NULL")
-    of = F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")
-    by_lang = trusted.groupBy(F.col("lang").alias("_lang")).agg(of)
-    overall = trusted.agg(of).first()["threshold"]
+    with scratch(docs.sparkSession) as hold:
+        ids, _ = written(trusted_ids(labels), "trusted-ids")
+        named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+        model = KneserNey.train(of_ids(named, ids, "doc_id", broadcast_ids).select("text"), order)
+        folded = named.withColumn("fold", fold_of(text_of("text"), model.folds))
+        scored, path = written(perplexities(folded, model, keep=("lang", "fold")), "perplexities")
+        hold(path)
+        judged = of_ids(scored, ids, "doc_id", broadcast_ids).select("lang", F.get("without", "fold").alias("perplexity")).filter("perplexity IS NOT NULL")
+        of = F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")
+        by_lang, path = written(judged.groupBy(F.col("lang").alias("_lang")).agg(of), "thresholds")
+        hold(path)
+        overall = judged.agg(of).first()["threshold"]
     joined = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     threshold = F.coalesce(F.col("threshold"), F.lit(overall).cast("double"))
     keep = F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= threshold, F.lit(True))
