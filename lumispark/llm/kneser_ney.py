@@ -7,10 +7,10 @@ before it is one unit of its own, which is rare in trusted texts.
 n-grams of trusted texts are counted in their tasks, then summed by key; all lower orders,
 continuation counts, context totals, discounts and probabilities are group-bys and equi-joins of
 these count tables, sharded by key. Scoring joins the same tables, at every size of model and input:
-tasks write their texts in compressed chunks of bounded size, each with its distinct n-grams; the
-distinct n-grams of all chunks are joined with the sharded tables, order by order; the bits found go
-back to the chunks that asked, and meet the chunk's texts in one shuffle. What is joined are
-distinct n-grams of chunks, not occurrences, so the joins move a fraction of the input.
+tasks write their texts in compressed chunks of bounded size, each with its distinct n-grams, as a
+table bucketed by chunk; the distinct n-grams of all chunks are joined with the sharded tables, order
+by order; the bits found go back to the chunks that asked, and meet the chunk's texts there. What is
+joined are distinct n-grams of chunks, not occurrences, and texts aren't shuffled.
 
 Thresholds are quantiles, by language, of what trusted texts score under a model that was not trained
 on them: texts fall into folds by a hash, and beside the model of all trusted texts there is one
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumispark.llm.shared import scratch, text_of, written
+from lumispark.llm.shared import new_path, scratch, text_of, written
 
 ORDER = 5
 #: Texts with a perplexity above this quantile of their language's trusted texts are rejected.
@@ -152,15 +152,19 @@ def _suffix(order: int) -> Column:
     return F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1))
 
 
-def _discounts(counts: DataFrame, column: str = "c0") -> list[float]:
-    """D1, D2, D3+ of the modified method from the counts of counts."""
-    n = {r.c: r["count"] for r in counts.filter(F.col(column).between(1, 4)).groupBy(F.col(column).alias("c")).count().collect()}
-    n1, n2, n3, n4 = (n.get(k, 0) for k in (1, 2, 3, 4))
-    if not n1 or not n2 or not n3:
-        return [0.5, 0.75, 0.9]
-    y = n1 / (n1 + 2 * n2)
-    found = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
-    return [min(max(d, 0.05), k - 0.05) for k, d in enumerate(found, 1)]
+def _discounts(counts: DataFrame, models: int = 1) -> list[list[float]]:
+    """D1, D2, D3+ of the modified method, for each model, from the counts of counts."""
+    n = counts.agg(*(F.coalesce(F.sum((F.col(f"c{k}") == c).cast("long")), F.lit(0)) for k in range(models) for c in (1, 2, 3, 4))).first()
+    out = []
+    for k in range(models):
+        n1, n2, n3, n4 = n[4 * k : 4 * k + 4]
+        if not n1 or not n2 or not n3:
+            out.append([0.5, 0.75, 0.9])
+            continue
+        y = n1 / (n1 + 2 * n2)
+        found = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+        out.append([min(max(d, 0.05), j - 0.05) for j, d in enumerate(found, 1)])
+    return out
 
 
 @dataclass
@@ -185,8 +189,7 @@ class KneserNey:
         seen, backoff, lower = [], [], None
         for n in range(1, order + 1):
             keyed = tables[n].withColumn("context", F.shiftright("gram", 8))
-            for k in models:
-                d1, d2, d3 = _discounts(tables[n], f"c{k}")
+            for k, (d1, d2, d3) in enumerate(_discounts(tables[n], len(models))):
                 c = F.col(f"c{k}")
                 keyed = keyed.withColumn(f"d{k}", F.when(c == 0, 0.0).when(c == 1, d1).when(c == 2, d2).otherwise(d3))
             sums = (F.sum(f"{kind}{k}").alias(f"{name}{k}") for k in models for kind, name in (("c", "total"), ("d", "freed")))
@@ -228,7 +231,7 @@ def _packed(rows: DataFrame, order: int, chunk: int) -> DataFrame:
     distinct n-grams of each chunk. A chunk is what one task read, or about `chunk` bytes of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=6)
         base, number, seq, size = TaskContext.get().partitionId() << 24, 0, 0, 0
         asked: list[np.ndarray] = []
 
@@ -266,13 +269,17 @@ def _packed(rows: DataFrame, order: int, chunk: int) -> DataFrame:
     return rows.mapInArrow(run, "chunk long, seq int, payload binary")
 
 
+def _unpacked(payload: pa.Scalar) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(payload.as_py())
+
+
 def _asked(packed: DataFrame) -> DataFrame:
     """(chunk, gram): the distinct n-grams of each chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload")):
-                grams = np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(payload.as_py()), np.int64))
+                grams = np.cumsum(np.frombuffer(_unpacked(payload), np.int64))
                 for at in range(0, len(grams), 1 << 16):
                     own = grams[at : at + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk)), pa.array(own)], ["chunk", "gram"])
@@ -280,41 +287,45 @@ def _asked(packed: DataFrame) -> DataFrame:
     return packed.filter("seq = -1").select("chunk", "payload").mapInArrow(run, "chunk long, gram long")
 
 
-def _scored(met: DataFrame, order: int, models: int, kinds: str) -> DataFrame:
-    """(doc_id, others, n_bytes, units, s0, s1, ...), the bits of each text under each model: met has
-    each chunk's bits (seq -1) before its packets."""
+def _answers(found: DataFrame, models: int) -> DataFrame:
+    """(chunk, answer): rows (chunk, gram, b0, ...), sorted by chunk in their partitions, as compressed blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, found, grams, bits = None, [], np.zeros(0, np.int64), np.zeros((0, models))
+        pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            chunks, seqs = batch.column("chunk").to_numpy(), batch.column("seq").to_numpy()
-            edges = [0, *(np.flatnonzero((np.diff(chunks) != 0) | (np.diff(seqs) != 0)) + 1).tolist(), len(chunks)]
-            for a, b in zip(edges, edges[1:]):
-                if a == b:
-                    continue
-                if chunks[a] != current:
-                    current, found = chunks[a], []
-                if seqs[a] < 0:
-                    found.append([batch.column(c).slice(a, b - a).to_numpy() for c in ("gram", *(f"b{k}" for k in range(models)))])
-                    continue
-                if found:
-                    columns = [np.concatenate(x) for x in zip(*found)]
-                    rising = np.argsort(columns[0])
-                    grams, bits, found = columns[0][rising], np.stack([c[rising] for c in columns[1:]], axis=1), []
-                for payload in batch.column("payload").slice(a, b - a):
-                    part = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload.as_py())).read_next_batch()
-                    total = np.zeros((part.num_rows, models))
-                    texts = part.column("units").to_pylist()
-                    for first, asked, begins in gram_blocks(texts, order):
-                        some = np.flatnonzero(np.diff(begins))
-                        if len(some):
-                            total[first + some] += np.add.reduceat(bits[np.searchsorted(grams, asked)], begins[some], axis=0)
-                    yield pa.RecordBatch.from_arrays(
-                        [*part.columns[:-1], pa.array([len(t) for t in texts], pa.int64()), *(pa.array(total[:, k]) for k in range(models))],
-                        [*part.schema.names[:-1], "units", *(f"s{k}" for k in range(models))],
-                    )
-
-    return met.mapInArrow(run, f"{kinds}, n_bytes long, units long, " + ", ".join(f"s{k} double" for k in range(models)))
+            chunks = batch.column("chunk").to_numpy()
+            grams, bits = batch.column("gram").to_numpy(), [batch.column(f"b{k}").to_numpy().astype(np.float32) for k in range(models)]
+            edges = [0, *(np.flatnonzero(np.diff(chunks)) + 1).tolist(), len(chunks)] if len(chunks) else []
+            out = [pack.compress(b"".join([np.diff(grams[a:b], prepend=0).tobytes(), *(x[a:b].tobytes() for x in bits)])) for a, b in zip(edges, edges[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(chunks[edges[:-1]] if edges else chunks), pa.array(out, pa.binary())], ["chunk", "answer"])
+
+    return found.mapInArrow(run, "chunk long, answer binary")
+
+
+def _answered(answers: pa.ChunkedArray, models: int) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, bits): grams rise, bits has a column for each model."""
+    grams, bits = [np.zeros(0, np.int64)], [np.zeros((models, 0), np.float32)]
+    for answer in answers:
+        data = _unpacked(answer)
+        many = len(data) // (8 + 4 * models)
+        grams.append(np.cumsum(np.frombuffer(data, np.int64, many)))
+        bits.append(np.frombuffer(data, np.float32, offset=8 * many).reshape(models, many))
+    found, values = np.concatenate(grams), np.concatenate(bits, axis=1)
+    rising = np.argsort(found)
+    return found[rising], np.ascontiguousarray(values[:, rising].T, np.float64)
+
+
+def _chunks_of(packed: DataFrame, tasks: int) -> DataFrame:
+    """packed, written as a table bucketed by chunk, so that reading it for a join by chunk moves nothing.
+    The table leaves the catalog at once; its files stay in the work folder."""
+    spark = packed.sparkSession
+    path = new_path(spark, "text-chunks")
+    name = "lumispark_" + path.rsplit("-", 1)[1]
+    packed.write.bucketBy(tasks, "chunk").option("path", path).saveAsTable(name)
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
 
 
 def perplexities(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), chunk: int = CHUNK) -> DataFrame:
@@ -322,20 +333,37 @@ def perplexities(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text
     texts, without the same under the models without each fold.
 
     Tasks read about `chunk` bytes each where there is enough to keep all cores busy."""
-    spark, models = docs.sparkSession, range(model.folds + 1)
+    spark, models, order = docs.sparkSession, range(model.folds + 1), model.order
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, text_of(text_col).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     tasks = max(-(-total // chunk), spark.sparkContext.defaultParallelism)
-    packed, _ = written(_packed(rows.coalesce(tasks), model.order, chunk), "text-chunks")
-    asked, _ = written(_asked(packed), "asked-grams")
+    packed = _chunks_of(_packed(rows.coalesce(tasks), order, chunk), tasks)
+    asked = _asked(packed)
     distinct, _ = written(asked.select("gram").distinct(), "distinct-grams")
-    none = lambda kind: F.lit(None).cast(kind)
-    answers = asked.join(model.bits(distinct), "gram").select("chunk", F.lit(-1).alias("seq"), "gram", *(f"b{k}" for k in models), none("binary").alias("payload"))
-    texts = packed.filter("seq >= 0").select("chunk", "seq", none("long").alias("gram"), *(none("double").alias(f"b{k}") for k in models), "payload")
-    met = answers.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "seq")
+    found = asked.join(model.bits(distinct), "gram").select("chunk", "gram", *(f"b{k}" for k in models)).sortWithinPartitions("chunk", "gram")
+    names = ["doc_id", *keep, "n_bytes"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema.fields)
+    schema = f"{kinds}, n_bytes long, units long, " + ", ".join(f"s{k} double" for k in models)
+
+    def score(packets: pa.Table, answers: pa.Table) -> pa.Table:
+        grams, bits = _answered(answers.column("answer"), len(models))
+        out = []
+        for payload in packets.column("payload"):
+            part = pa.ipc.open_stream(_unpacked(payload)).read_next_batch()
+            texts = part.column("units").to_pylist()
+            total = np.zeros((part.num_rows, len(models)))
+            for first, own, begins in gram_blocks(texts, order):
+                some = np.flatnonzero(np.diff(begins))
+                if len(some):
+                    total[first + some] += np.add.reduceat(bits[np.searchsorted(grams, own)], begins[some], axis=0)
+            columns = [*part.columns[:-1], pa.array([len(t) for t in texts], pa.int64()), *(pa.array(total[:, k]) for k in models)]
+            out.append(pa.RecordBatch.from_arrays(columns, [*names, "units", *(f"s{k}" for k in models)]))
+        return pa.Table.from_batches(out) if out else pa.table({})
+
+    texts = packed.filter("seq >= 0").groupBy("chunk")
+    scored = texts.cogroup(_answers(found, len(models)).groupBy("chunk")).applyInArrow(score, schema)
     of = lambda k: F.when(F.col("units") > 0, F.pow(F.lit(2.0), F.col(f"s{k}") / F.col("units")))
-    return _scored(met, model.order, len(models), kinds).select("doc_id", *keep, "n_bytes", of(0).alias("perplexity"), F.array(*(of(k) for k in models[1:])).alias("without"))
+    return scored.select(*names, of(0).alias("perplexity"), F.array(*(of(k) for k in models[1:])).alias("without"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -46,15 +46,17 @@ def clear_work(spark: SparkSession) -> None:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{work_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A path for one intermediate; the scratch block it is asked for in removes it."""
+    path = f"{work_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    if (held := _open.get()) is not None:
+        held.append(path)
+    return path
 
 
 def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write df once as a Parquet table and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    if (held := _open.get()) is not None:
-        held.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
