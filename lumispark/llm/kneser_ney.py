@@ -42,7 +42,7 @@ QUANTILE = 0.995
 #: Folds of the trusted texts, by a hash of the text; each is judged by a model without it.
 FOLDS = 2
 #: Bytes of text in a chunk and in one of its packets; a longer text is a packet of its own.
-CHUNK, PACKET = 64 << 20, 1 << 20
+CHUNK, PACKET = 32 << 20, 1 << 19
 #: Labelled ids up to which they are broadcast (8 bytes each) to find their texts.
 BROADCAST_IDS = 2_000_000
 UNIFORM = 1 / 256
@@ -136,7 +136,7 @@ def count_grams(texts: DataFrame, order: int = ORDER, folds: int = FOLDS) -> Dat
                 own = [units(t.as_py()) for t in part.column("text").filter(pa.array(of == fold))]
                 for _, grams, _ in gram_blocks(own, order):
                     held[fold].append(np.unique(grams, return_counts=True))
-                if sum(len(g) for g, _ in held[fold]) > 2_000_000 and len(merge(fold)[0]) > 1_000_000:
+                if sum(len(g) for g, _ in held[fold]) > 1_000_000 and len(merge(fold)[0]) > 500_000:
                     yield flush(fold)
         for fold in range(folds):
             if held[fold]:
@@ -302,26 +302,43 @@ def _answers(found: DataFrame, models: int) -> DataFrame:
     return found.mapInArrow(run, "chunk long, answer binary")
 
 
-def _answered(answers: pa.ChunkedArray, models: int) -> tuple[np.ndarray, np.ndarray]:
-    """(grams, bits): grams rise, bits has a column for each model."""
-    grams, bits = [np.zeros(0, np.int64)], [np.zeros((models, 0), np.float32)]
-    for answer in answers:
-        data = _unpacked(answer)
-        many = len(data) // (8 + 4 * models)
-        grams.append(np.cumsum(np.frombuffer(data, np.int64, many)))
-        bits.append(np.frombuffer(data, np.float32, offset=8 * many).reshape(models, many))
-    found, values = np.concatenate(grams), np.concatenate(bits, axis=1)
-    rising = np.argsort(found)
-    return found[rising], np.ascontiguousarray(values[:, rising].T, np.float64)
-
-
-def _chunks_of(packed: DataFrame, tasks: int) -> DataFrame:
+class _Answers:
+    """The bits of a chunk's n-grams under each model, found by hash: entries of a slot stand in a row,
+    and every n-gram looked up is among them."""
+
+    def __init__(self, answers: pa.ChunkedArray, models: int):
+        grams, bits = [np.zeros(0, np.int64)], [np.zeros((models, 0), np.float32)]
+        for answer in answers:
+            data = _unpacked(answer)
+            many = len(data) // (8 + 4 * models)
+            grams.append(np.cumsum(np.frombuffer(data, np.int64, many)))
+            bits.append(np.frombuffer(data, np.float32, offset=8 * many).reshape(models, many))
+        found = np.concatenate(grams)
+        self.shift = np.uint64(64 - max(8, len(found).bit_length() + 1))
+        slots = self._slots(found)
+        by_slot = np.argsort(slots, kind="stable")
+        self.grams, self.bits = found[by_slot], np.concatenate(bits, axis=1)[:, by_slot].astype(np.float64)
+        self.heads = np.concatenate([[0], np.cumsum(np.bincount(slots, minlength=1 << int(64 - self.shift)))]).astype(np.int32)
+
+    def _slots(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int32)
+
+    def at(self, asked: np.ndarray) -> np.ndarray:
+        place = self.heads[self._slots(asked)]
+        wrong = np.flatnonzero(self.grams[place] != asked)
+        while len(wrong):
+            place[wrong] += 1
+            wrong = wrong[self.grams[place[wrong]] != asked[wrong]]
+        return place
+
+
+def _chunks_of(packed: DataFrame, buckets: int) -> DataFrame:
     """packed, written as a table bucketed by chunk, so that reading it for a join by chunk moves nothing.
     The table leaves the catalog at once; its files stay in the work folder."""
     spark = packed.sparkSession
     path = new_path(spark, "text-chunks")
     name = "lumispark_" + path.rsplit("-", 1)[1]
-    packed.write.bucketBy(tasks, "chunk").option("path", path).saveAsTable(name)
+    packed.write.bucketBy(buckets, "chunk").option("path", path).saveAsTable(name)
     try:
         return spark.table(name)
     finally:
@@ -337,7 +354,7 @@ def perplexities(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, text_of(text_col).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     tasks = max(-(-total // chunk), spark.sparkContext.defaultParallelism)
-    packed = _chunks_of(_packed(rows.coalesce(tasks), order, chunk), tasks)
+    packed = _chunks_of(_packed(rows.coalesce(tasks), order, chunk), 4 * tasks)  # more buckets, so that few hold two chunks
     asked = _asked(packed)
     distinct, _ = written(asked.select("gram").distinct(), "distinct-grams")
     found = asked.join(model.bits(distinct), "gram").select("chunk", "gram", *(f"b{k}" for k in models)).sortWithinPartitions("chunk", "gram")
@@ -346,17 +363,16 @@ def perplexities(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text
     schema = f"{kinds}, n_bytes long, units long, " + ", ".join(f"s{k} double" for k in models)
 
     def score(packets: pa.Table, answers: pa.Table) -> pa.Table:
-        grams, bits = _answered(answers.column("answer"), len(models))
-        out = []
+        known, out = _Answers(answers.column("answer"), len(models)), []
         for payload in packets.column("payload"):
             part = pa.ipc.open_stream(_unpacked(payload)).read_next_batch()
             texts = part.column("units").to_pylist()
-            total = np.zeros((part.num_rows, len(models)))
+            total = np.zeros((len(models), part.num_rows))
             for first, own, begins in gram_blocks(texts, order):
-                some = np.flatnonzero(np.diff(begins))
-                if len(some):
-                    total[first + some] += np.add.reduceat(bits[np.searchsorted(grams, own)], begins[some], axis=0)
-            columns = [*part.columns[:-1], pa.array([len(t) for t in texts], pa.int64()), *(pa.array(total[:, k]) for k in models)]
+                some, place = np.flatnonzero(np.diff(begins)), known.at(own)
+                for k in models if len(some) else ():
+                    total[k, first + some] += np.add.reduceat(known.bits[k][place], begins[some])
+            columns = [*part.columns[:-1], pa.array([len(t) for t in texts], pa.int64()), *(pa.array(total[k]) for k in models)]
             out.append(pa.RecordBatch.from_arrays(columns, [*names, "units", *(f"s{k}" for k in models)]))
         return pa.Table.from_batches(out) if out else pa.table({})
 
