@@ -3,32 +3,36 @@
 A unit vector is coded as the sum of one codeword from each of several full-dimensional codebooks,
 trained stage by stage on residuals of a bounded sample. Codes come from a beam search that keeps
 the best partial sums at each stage; the norm of the decoded sum is stored with the code. A query
-scores all codes with lookup tables of its inner products with the codewords, and the best of each
-block of codes are ranked again by exact cosines of the original vectors in double precision.
-
-Both sides are blocks of bounded size: a block of queries meets every block of the index by an
-equi-join on the block's number, so tasks are many, equal and small, no vector is collected and
-nothing that grows with the data is broadcast.
+scores codes with lookup tables of its inner products with the codewords. The best rows over all
+blocks are then joined with their vectors once, and ranked by exact cosines in double precision.
+
+The stated queries meet all rows, in blocks: a block of queries and a block of the index meet by an
+equi-join on the block's number. Blocks hold codes of about 28 bytes a row, never vectors, so they
+are large and their meetings few; ids are spread over blocks by hash, so a block need only give the
+share of the best rows that can fall to it. No vector is collected and nothing that grows with the
+data is broadcast.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumispark.llm.shared import hash_sample, written
+from lumispark.llm.shared import hash_sample, scratch, written
 
 #: Vectors that the codebooks are trained on, at most.
 SAMPLE = 8192
 STAGES, CODEWORDS, BEAM = 16, 256, 4
-#: Rows of an index block, queries of a query block, and candidates of a block ranked exactly.
-BLOCK, QUERY_BLOCK, RERANK = 4096, 512, 100
+#: Rows of an index block, queries of a query block, and candidates of a query ranked exactly.
+BLOCK, QUERY_BLOCK, RERANK = 1 << 18, 1 << 12, 200
+#: Rows of a block up to which it isn't split for the sake of idle cores.
+LEAST = 1 << 12
 
 
 def usable(vector: Column) -> Column:
@@ -97,22 +101,77 @@ class AdditiveCodes:
         return sum(self.codebooks[s][codes[:, s].astype(np.int64)] for s in range(len(self.codebooks)))
 
     def scores(self, queries: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        """Approximate cosines (queries x codes) from lookup tables and stored norms."""
-        out = np.zeros((len(queries), len(codes)), np.float32)
-        for stage, book in enumerate(self.codebooks):
-            out += (queries @ book.T)[:, codes[:, stage].astype(np.int64)]
-        return out / np.maximum(norms, 1e-12).astype(np.float32)
+        """Approximate cosines (codes x queries) from lookup tables and stored norms."""
+        tables = [np.ascontiguousarray((queries @ book.T).T) for book in self.codebooks]
+        out = np.empty((len(codes), len(queries)), np.float32)
+        for at in range(0, len(codes), 1 << 12):
+            own, part = out[at : at + (1 << 12)], codes[at : at + (1 << 12)]
+            np.take(tables[0], part[:, 0], axis=0, out=own)
+            for stage in range(1, len(tables)):
+                own += tables[stage][part[:, stage]]
+            own /= np.maximum(norms[at : at + (1 << 12)], 1e-12).astype(np.float32)[:, None]
+        return out
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact cosines of rows in double precision; each is computed in the same way whatever stands beside it."""
+    return (unit(a) * unit(b)).sum(axis=1)
+
+
+def best_rows(scores: np.ndarray, many: int) -> np.ndarray:
+    """Places of the `many` highest scores; of equal ones at the edge, the first."""
+    if many >= len(scores):
+        return np.arange(len(scores))
+    least = np.partition(scores, len(scores) - many)[len(scores) - many]
+    above, level = np.flatnonzero(scores > least), np.flatnonzero(scores == least)
+    return np.concatenate([above, level[: many - len(above)]])
+
+
+def share_of(many: int, blocks: int) -> int:
+    """How many of the best `many` rows one of `blocks` blocks may hold: six standard deviations over its share."""
+    return min(many, math.ceil(many / blocks + 6 * math.sqrt(many / blocks)) + 10) if blocks > 1 else many
+
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Equally long lists as rows of doubles."""
+    return column.flatten().to_numpy().reshape(len(column), -1)
 
-def cosines(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact cosines in double precision; each row is computed in the same way whatever stands beside it."""
-    return (unit(vectors) * unit(query[None])).sum(axis=1)
 
+def _gathered(rows: DataFrame, key: str, columns: dict[str, np.dtype]) -> DataFrame:
+    """One row for each value of `key`: the columns' values, in order of vec_id, as bytes."""
+    names = list(columns)
 
-def _blocks(vectors: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows numbered into blocks of about `size` by a hash of the id: (block, vec_id, vector)."""
-    many = max(1, -(-vectors.count() // size))
-    return vectors.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(many)).cast("int")), many
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current = {c: [] for c in names}, None
+
+        def give() -> pa.RecordBatch:
+            blobs = [b"".join(held[c]) for c in names]
+            for c in names:
+                held[c].clear()
+            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs)], [key, *names])
+
+        for batch in batches:
+            keys = batch.column(key).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)] if len(keys) else []
+            for a, b in zip(edges, edges[1:]):
+                if current is not None and keys[a] != current:
+                    yield give()
+                current = int(keys[a])
+                for c, kind in columns.items():
+                    part = batch.column(c).slice(a, b - a)
+                    held[c].append(b"".join(part.to_pylist()) if kind is None else part.to_numpy().astype(kind).tobytes())
+        if current is not None:
+            yield give()
+
+    sorted_rows = rows.repartition(key).sortWithinPartitions(key, "vec_id")
+    return sorted_rows.select(key, *names).mapInArrow(run, f"{key} int, " + ", ".join(f"{c} binary" for c in names))
+
+
+def _block_of(rows: int, most: int, cores: int) -> tuple[Column, int]:
+    """(number of a row's block by a hash of its id, how many blocks): blocks of at most about `most`
+    rows, and as many as there are cores while they stay larger than LEAST."""
+    many = max(1, -(-rows // most), min(cores, rows // LEAST))
+    return F.pmod(F.xxhash64("vec_id"), F.lit(many)).cast("int"), many
 
 
 def nearest_neighbours(
@@ -128,9 +187,10 @@ def nearest_neighbours(
 
     is_query: a condition on the rows of `vectors`. Ties go to the smaller vec_id; a query with fewer
     candidates gets them all. Vectors that are null, zero, or hold null or non-finite components take
-    no part, nor do rows without an id, nor vectors whose length isn't the commonest one. Of rows
-    that repeat an id one is kept. An empty table gives no rows; other columns are ignored. The index
-    is trained on the `sample` rows first in a fixed hash order and holds every row.
+    no part, nor do rows without an id, nor vectors whose length isn't the commonest one (of lengths
+    that are equally common, the smallest). Of rows that repeat an id the smallest vector counts, and
+    it asks if any of them does. An empty table gives no rows; other columns are ignored. The index is
+    trained on the `sample` rows first in a fixed hash order and holds every row.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -139,55 +199,63 @@ def nearest_neighbours(
     result = "query_id long, rank int, vec_id long, score double"
     if not lengths:
         return spark.createDataFrame([], result)
-    rows, _ = written(rows.filter(F.size("vector") == lengths[0]["size"]).dropDuplicates(["vec_id"]), "vectors")
-    first = hash_sample(rows.select("vec_id", "vector"), "vec_id", sample).collect()
-    model = spark.sparkContext.broadcast(AdditiveCodes.train(np.array([r.vector for r in first], np.float64)))
-
-    indexed, many = _blocks(rows.select("vec_id", "vector"), BLOCK, "block")
-
-    def index(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("vec_id")
-        plain = np.array(part["vector"].tolist(), np.float64)
-        codes, norms = np.zeros((len(part), len(model.value.codebooks)), np.uint8), np.zeros(len(part))
-        for a in range(0, len(part), 512):
-            codes[a : a + 512], norms[a : a + 512] = model.value.encode(unit(plain[a : a + 512]).astype(np.float32))
-        ids = part["vec_id"].to_numpy()
-        return pd.DataFrame({"block": [int(part["block"].iloc[0])], "ids": [ids.tobytes()], "codes": [codes.tobytes()], "norms": [norms.astype(np.float32).tobytes()], "plain": [plain.tobytes()]})
-
-    index_blocks = indexed.groupBy("block").applyInPandas(index, "block int, ids binary, codes binary, norms binary, plain binary")
-    asking, _ = _blocks(rows.filter("asks").select("vec_id", "vector"), QUERY_BLOCK, "query_block")
-    asked = asking.groupBy("query_block").agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))  # about QUERY_BLOCK each
-    meetings = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).join(index_blocks, "block")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes_of = model.value
-        for batch in batches:
-            for meeting in batch.to_pylist():
-                ids = np.frombuffer(meeting["ids"], np.int64)
-                codes = np.frombuffer(meeting["codes"], np.uint8).reshape(len(ids), -1)
-                norms = np.frombuffer(meeting["norms"], np.float32)
-                plain = np.frombuffer(meeting["plain"], np.float64).reshape(len(ids), -1)
-                out = {"query_id": [], "vec_id": [], "score": []}
-                query_ids = np.array([q["vec_id"] for q in meeting["queries"]], np.int64)
-                asked_vectors = np.array([q["vector"] for q in meeting["queries"]], np.float64)
-                for a in range(0, len(query_ids), 64):
-                    rough = codes_of.scores(unit(asked_vectors[a : a + 64]).astype(np.float32), codes, norms)
-                    for query, vector, row in zip(query_ids[a : a + 64], asked_vectors[a : a + 64], rough):
-                        row[ids == query] = -np.inf
-                        if rerank < len(ids):  # ids rise within a block, so equal scores keep the smaller ones
-                            least = np.partition(row, len(ids) - rerank)[len(ids) - rerank]
-                            above, level = np.flatnonzero(row > least), np.flatnonzero(row == least)
-                            at = np.concatenate([above, level[: rerank - len(above)]])
-                        else:
-                            at = np.arange(len(ids))
-                        at = at[ids[at] != query]
-                        exact = cosines(vector, plain[at])
-                        best = np.lexsort((ids[at], -exact))[:k]
-                        out["query_id"] += [query] * len(best)
-                        out["vec_id"] += ids[at][best].tolist()
-                        out["score"] += exact[best].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out["query_id"], pa.int64()), pa.array(out["vec_id"], pa.int64()), pa.array(out["score"], pa.float64())], ["query_id", "vec_id", "score"])
-
-    found = meetings.mapInArrow(search, "query_id long, vec_id long, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    one = rows.filter(F.size("vector") == lengths[0]["size"]).groupBy("vec_id").agg(F.min("vector").alias("vector"), F.max("asks").alias("asks"))
+    with scratch(spark) as hold:
+        rows, _ = written(one, "vectors")
+        first = hash_sample(rows.select("vec_id", "vector"), "vec_id", sample).collect()
+        model = spark.sparkContext.broadcast(AdditiveCodes.train(np.array([r.vector for r in first], np.float64)))
+        counts = rows.agg(F.count(F.lit(1)).alias("all"), F.count_if("asks").alias("asking")).first()
+        block, blocks = _block_of(counts["all"], BLOCK, spark.sparkContext.defaultParallelism)
+        query_block, query_blocks = _block_of(counts["asking"], QUERY_BLOCK, 1)
+        give = share_of(rerank + 1, blocks)  # the query itself may be among them
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    codes, norms = model.value.encode(unit(_matrix(part.column("vector"))).astype(np.float32))
+                    yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("block"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], ["vec_id", "block", "codes", "norms"])
+
+        def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    plain = unit(_matrix(part.column("vector"))).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("query_block"), pa.array([v.tobytes() for v in plain], pa.binary())], ["vec_id", "query_block", "units"])
+
+        coded = rows.select("vec_id", "vector", block.alias("block")).mapInArrow(encode, "vec_id long, block int, codes binary, norms float")
+        index, _ = written(_gathered(coded.withColumn("ids", F.col("vec_id")), "block", {"ids": np.int64, "codes": None, "norms": np.float32}), "index")
+        asking = rows.filter("asks").select("vec_id", "vector", query_block.alias("query_block")).mapInArrow(units, "vec_id long, query_block int, units binary")
+        asked, _ = written(_gathered(asking.withColumn("asked", F.col("vec_id")), "query_block", {"asked": np.int64, "units": None}), "queries")
+        # numbers of partitions of our own: the blocks are few and small, but a meeting is much work
+        meetings = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(2 * blocks * query_blocks, "block", "query_block").join(index, "block")
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for meeting in range(batch.num_rows):
+                    ids, codes, norms, query_ids, plain = (np.frombuffer(batch.column(c)[meeting].as_buffer(), k) for c, k in (("ids", np.int64), ("codes", np.uint8), ("norms", np.float32), ("asked", np.int64), ("units", np.float32)))
+                    codes, plain = codes.reshape(len(ids), -1), plain.reshape(len(query_ids), -1)
+                    step = max(1, (1 << 23) // max(1, len(ids)))
+                    for at in range(0, len(query_ids), step):
+                        rough = model.value.scores(plain[at : at + step], codes, norms)
+                        for query, column in zip(query_ids[at : at + step].tolist(), np.ascontiguousarray(rough.T)):
+                            best = best_rows(column, give)  # ids rise within a block, so equal scores keep the smaller ones
+                            best = best[ids[best] != query]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), query)), pa.array(ids[best]), pa.array(column[best])], ["query_id", "vec_id", "rough"])
+
+        found = meetings.select("asked", "units", "ids", "codes", "norms").mapInArrow(search, "query_id long, vec_id long, rough float")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id"))
+        best, _ = written(found.withColumn("place", place).filter(F.col("place") <= rerank).select("query_id", "vec_id"), "candidates")
+        pairs = best.join(rows.select("vec_id", "vector"), "vec_id").join(rows.filter("asks").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("asked")), "query_id")
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2048):
+                    part = batch.slice(at, 2048)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(cosines(_matrix(part.column("asked")), _matrix(part.column("vector"))))], ["query_id", "vec_id", "score"])
+
+        exact = pairs.select("query_id", "vec_id", "asked", "vector").mapInArrow(measure, "query_id long, vec_id long, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        ranked, path = written(exact.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
+        hold(path)
+    return ranked
