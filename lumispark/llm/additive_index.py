@@ -28,9 +28,9 @@ from lumispark.llm.shared import hash_sample, scratch, written
 
 #: Vectors that the codebooks are trained on, at most.
 SAMPLE = 8192
-STAGES, CODEWORDS, BEAM = 16, 256, 4
+STAGES, CODEWORDS, BEAM = 24, 256, 4
 #: Rows of an index block, queries of a query block, and candidates of a query ranked exactly.
-BLOCK, QUERY_BLOCK, RERANK = 1 << 18, 1 << 12, 200
+BLOCK, QUERY_BLOCK, RERANK = 1 << 18, 1 << 12, 100
 #: Rows of a block up to which it isn't split for the sake of idle cores.
 LEAST = 1 << 12
 
@@ -90,7 +90,10 @@ class AdditiveCodes:
             gain = (books[stage] ** 2).sum(axis=1) - 2 * (left.reshape(-1, dims) @ books[stage].T)
             total = ((left * left).sum(axis=2)[:, :, None] + gain.reshape(n, width, words)).reshape(n, -1)
             keep = min(self.beam if stage + 1 < stages else 1, total.shape[1])
-            best = np.argpartition(total, keep - 1, axis=1)[:, :keep]
+            best = np.empty((n, keep), np.int64)
+            for k in range(keep):  # a few minima are faster than a partition
+                best[:, k] = total.argmin(axis=1)
+                total[row[:, 0], best[:, k]] = np.inf
             parent, word = best // words, best % words
             left = left[row, parent] - books[stage][word]
             paths = np.concatenate([paths[row, parent], word[:, :, None].astype(np.int32)], axis=2)
