@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumispark.llm.shared import new_path, text_of, written
+from lumispark.llm.shared import shared_folder, text_of, written
 from lumispark.llm.tokens import ids_function, tokenizer_digest
 
 CACHE_SCHEMA = "content binary, n_tokens long, tokenizer string"
@@ -25,6 +25,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def default_cache(spark: SparkSession) -> str:
+    """The cache of the shared folder; it outlives the application."""
+    return f"{shared_folder(spark)}/lumispark-token-counts"
+
+
 def stored_counts(spark: SparkSession, cache_path: str, version: str) -> DataFrame:
     """(content, n_tokens) stored for a tokenizer version; one row for each content."""
     if not _exists(spark, cache_path):
@@ -46,11 +51,12 @@ def count_tokens(
 
     Null texts count as empty: no bytes, no tokens. normalise must leave counts as they are; by
     default it changes nothing. Runs that write to one cache at once may store a count twice, which
-    changes no result. An empty table gives no rows; other columns are ignored; repeated rows each
-    get their row. Without cache_path a new cache is begun in the work folder.
+    changes no result. Very long texts are encoded whole. An empty table gives no rows; other columns
+    are ignored; repeated rows each get their row, null ids too. Without cache_path the cache is the
+    one of the shared folder, which all runs with that folder read and add to.
     """
     spark = docs.sparkSession
-    path, version = cache_path or new_path(spark, "token-cache"), tokenizer_digest(tokenizer)
+    path, version = cache_path or default_cache(spark), tokenizer_digest(tokenizer)
     text = normalise(text_of(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text_of(text_col)).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("content"))
     distinct = docs.select(F.unhex(F.sha2(text, 256)).alias("content"), text.alias("text")).groupBy("content").agg(F.first("text").alias("text"))

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumispark.llm.shared import hash_sample, text_of
@@ -29,17 +29,19 @@ from lumispark.llm.shared import hash_sample, text_of
 ROWS_LOG2, DIMENSIONS, SHORTEST, LONGEST, WINDOW = 17, 16, 3, 6, 8
 #: Labelled rows that the model is fitted on, at most, of each class.
 TOXIC_ROWS, CLEAN_ROWS = 1500, 2500
-#: Labelled texts of more characters than this are left out of the fit (never of the scoring).
-FIT_CHARACTERS = 100_000
+#: Characters of a labelled text that the fit takes, and in how many windows of a longer one, spread
+#: evenly from its begin to its end. Scoring reads texts whole.
+FIT_CHARACTERS, FIT_WINDOWS = 100_000, 50
 #: Length of a step of the table's rows, against that of the softmax.
 STEP = 200.0
 _BASE, _MIX = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15)
 
 
-def split_words(text: str) -> list[str]:
-    """Lower-case words; of a word said over and over, one, so that noise on it can't add up."""
+def split_words(text: str, collapse_repeats: bool = True) -> list[str]:
+    """Lower-case words; with collapse_repeats, of a word said over and over one, so that noise on it
+    can't add up (and an insult said twice in a row counts once)."""
     words = text.lower().split()
-    return [w for w, before in zip(words, [None, *words]) if w != before]
+    return [w for w, before in zip(words, [None, *words]) if w != before] if collapse_repeats else words
 
 
 def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,10 +77,12 @@ def window_logits(sums: np.ndarray, counts: np.ndarray, bias: float, window: int
 
 @dataclass
 class ToxicityModel:
-    """row_logits: what each embedding row adds to the logit of the toxic class, and its bias."""
+    """row_logits: what each embedding row adds to the logit of the toxic class, and its bias;
+    collapse_repeats as in split_words."""
 
     row_logits: np.ndarray
     bias: float
+    collapse_repeats: bool = True
 
     def scorer(self, most_known: int = 400_000) -> TextScorer:
         return TextScorer(self, most_known)
@@ -109,7 +113,7 @@ class TextScorer:
         """Probability that each text is toxic."""
         if len(self.known) > self.most_known:
             self._forget()
-        split = [split_words(t) for t in texts]
+        split = [split_words(t, self.model.collapse_repeats) for t in texts]
         known = self.known
         fresh = list({w for words in split for w in words if w not in known})
         if fresh:
@@ -169,7 +173,7 @@ class _Trainer:
         return ToxicityModel((self.table @ towards).astype(np.float64), float(self.bias[1] - self.bias[0]))
 
 
-def fit(texts: list[str], toxic: list[int], seed: int = 11, rounds: int = 3) -> ToxicityModel:
+def fit(texts: list[str], toxic: list[int], seed: int = 11, rounds: int = 3, collapse_repeats: bool = True) -> ToxicityModel:
     """Train on runs of words of labelled texts.
 
     Which runs of a toxic text are its toxic ones isn't labelled. Two models are trained on a half
@@ -179,7 +183,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 11, rounds: int = 3) ->
     that it rates highest itself."""
     rng = np.random.default_rng(seed)
     vocabulary: dict[str, int] = {}
-    split = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in split_words(t)], np.int64) for t in texts]
+    split = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in split_words(t, collapse_repeats)], np.int64) for t in texts]
     begins, rows = bags(list(vocabulary))
     counts = np.diff(begins)
     half = rng.permutation(len(texts)) % 2
@@ -214,15 +218,34 @@ def fit(texts: list[str], toxic: list[int], seed: int = 11, rounds: int = 3) ->
     clean = np.flatnonzero(np.array(toxic) == 0)
     for number in range(again + 1 if picked else 0):
         last.learn(picked + (runs_of(last.model(), clean, (4, 0), 0) if number else []), 0.1)
-    return last.model()
-
-
-def fit_on_labels(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+    found = last.model()
+    return ToxicityModel(found.row_logits, found.bias, collapse_repeats)
+
+
+def fitted_text(text: Column, most: int = FIT_CHARACTERS, windows: int = FIT_WINDOWS) -> Column:
+    """The text, or `windows` evenly spread windows of it, `most` characters in all, if it is longer."""
+    width = most // windows
+    step = (F.length(text) - width) / (windows - 1)
+    part = lambda i: F.substring(text, (F.floor(i * step) + 1).cast("int"), F.lit(width))
+    return F.when(F.length(text) <= most, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), part), " "))
+
+
+def fit_on_labels(
+    docs: DataFrame,
+    labels: DataFrame,
+    toxic_rows: int = TOXIC_ROWS,
+    clean_rows: int = CLEAN_ROWS,
+    fit_characters: int = FIT_CHARACTERS,
+    collapse_repeats: bool = True,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> ToxicityModel:
     """Fit on labelled rows that aren't held out, a fixed hash order of them up to the bounds.
 
-    The sample is read whole at every size of input; at most toxic_rows + clean_rows ids are
-    broadcast and as many texts come to the driver. Without rows of both classes every score is the
-    share of toxic labels among them, 0 without any.
+    At most toxic_rows + clean_rows ids are broadcast and as many texts come to the driver, each with
+    at most fit_characters characters: longer texts give windows spread over their whole length. Of
+    rows that repeat an id the smallest text counts; an id labelled both ways is toxic. Without rows
+    of both classes every score is the share of toxic labels among them, 0 without any.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
@@ -230,13 +253,14 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_RO
     taken = []
     for label, most in ((1, toxic_rows), (0, clean_rows)):
         ids = hash_sample(known.filter(F.col("_toxic") == label), "doc_id", most)
-        taken += texts.join(F.broadcast(ids), "doc_id").filter(F.length("_text") <= FIT_CHARACTERS).dropDuplicates(["doc_id"]).select("doc_id", "_text", "_toxic").collect()
+        own = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "_toxic", fitted_text(F.col("_text"), fit_characters).alias("_text"))
+        taken += own.groupBy("doc_id", "_toxic").agg(F.min("_text").alias("_text")).collect()
     taken.sort(key=lambda r: r.doc_id)
     classes = [r["_toxic"] for r in taken]
     if len(set(classes)) < 2:
         share = sum(classes) / len(classes) if classes else 0.0
         return ToxicityModel(np.zeros(1 << ROWS_LOG2), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    return fit([r["_text"] for r in taken], classes)
+    return fit([r["_text"] for r in taken], classes, collapse_repeats=collapse_repeats)
 
 
 def held_out(id_col: str):
@@ -266,7 +290,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose whole text is predicted toxic. Columns are those of docs."""
+    """docs without the rows whose whole text is predicted toxic (a score of 0.5 or more).
+
+    Null and empty texts get the score of no words; repeated rows stay or go together; very long texts
+    are read whole. An empty table stays empty. Columns are those of docs. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

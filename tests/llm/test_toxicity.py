@@ -2,9 +2,10 @@ import random
 import zlib
 
 import numpy as np
+import pyspark.sql.functions as F
 import pytest
 
-from lumispark.llm.toxicity import LONGEST, SHORTEST, bags, drop_toxic, fit, fit_on_labels, score_toxicity, split_words, window_logits
+from lumispark.llm.toxicity import LONGEST, SHORTEST, bags, drop_toxic, fit, fit_on_labels, fitted_text, score_toxicity, split_words, window_logits
 
 SCHEMA = "doc_id long, text string, score double, toxic int"
 RUDE = ["stupid", "worthless", "disgusting", "pathetic"]
@@ -83,3 +84,26 @@ def test_edges(spark, model):
     assert [r.predicted for r in score_toxicity(docs, fit_on_labels(docs, labels)).collect()] == [0] * 4
     kept = drop_toxic(docs, model)
     assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.filter("doc_id = 2 OR doc_id IS NULL").collect()))
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    rng, rows = random.Random(8), []
+    for i, (text, label) in enumerate(make(240, rng)):
+        words = (text + " ") * 40 if not label else f"{text} " + f"{rng.choice(RUDE)} {text} " * 40
+        rows.append((i, words, None, label))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, _, y in rows], "doc_id long, quality int, toxic int")
+    found = fit_on_labels(docs, labels, fit_characters=2000)
+    fresh = [t for t, _ in make(100, random.Random(9))]
+    assert np.ptp(found.scorer().scores(fresh)) > 0.5
+
+
+def test_windows_reach_from_begin_to_end(spark):
+    text = "".join(chr(0x4E00 + i) for i in range(5000))
+    row = spark.createDataFrame([(1, text, None, 0), (2, "short", None, 0)], SCHEMA).select(fitted_text(F.col("text"), 1000, 10).alias("t")).collect()
+    parts = row[0].t.split(" ")
+    assert [len(p) for p in parts] == [100] * 10 and parts[0] == text[:100] and parts[-1] == text[-100:] and row[1].t == "short"
+
+
+def test_repeats_can_be_kept(model):
+    assert split_words("a A b b a", False) == ["a", "a", "b", "b", "a"] and split_words("a A b b a") == ["a", "b", "a"]
