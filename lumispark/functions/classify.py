@@ -113,6 +113,11 @@ def cell_line(name: Column) -> Column:
     return first_match([(_has(F.lower(name), "bader"), "BadER")], "WT")
 
 
+def title_case(name: Column) -> Column:
+    """Words with a capital first letter and small ones after it, as labels of plots show them."""
+    return F.initcap(name)
+
+
 def stem(name: Column) -> Column:
     """The name without its last extension."""
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")

@@ -71,10 +71,14 @@ def area_radius(area: Column, rule: str = "code") -> Column:
 def spacing(tags: Column) -> Column:
     """z step from image tags: the third comma-separated entry after nscales= of the metadata tag,
     else what follows spacing= in the description, else null."""
-    meta = F.element_at(F.split(F.regexp_extract(F.try_element_at(tags, F.lit("IJMetadata")), r"nscales=([^\n]*)", 1), ","), -1)
-    text = F.regexp_extract(F.try_element_at(tags, F.lit("ImageDescription")), r"spacing=([0-9.eE+-]+)", 1)
-    third = F.try_element_at(F.split(F.regexp_extract(F.try_element_at(tags, F.lit("IJMetadata")), r"nscales=([^\n]*)", 1), ","), F.lit(3))
-    return F.coalesce(third.try_cast("double"), meta.try_cast("double"), text.try_cast("double"))
+    scales = F.regexp_extract(F.try_element_at(tags, F.lit("IJMetadata")), r"nscales=([^\n]*)", 1)
+    third = F.try_element_at(F.split(scales, ","), F.lit(3)).try_cast("double")
+    return F.coalesce(third, number_after(F.try_element_at(tags, F.lit("ImageDescription")), "spacing"))
+
+
+def whole_steps(value: Column) -> Column:
+    """The smallest whole number that isn't below the value."""
+    return F.ceil(value)
 
 
 def number_after(text: Column, label: str) -> Column:

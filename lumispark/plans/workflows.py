@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,24 +45,44 @@ def _range(part: pd.DataFrame) -> list[dict]:
     return [{"low": float(min(p.min() for p in own)), "high": float(max(p.max() for p in own))}]
 
 
-def per_image(planes: DataFrame, measure: Callable[[pd.DataFrame], list[dict]], schema: str, keys: tuple[str, ...] = ("image_id",)) -> tuple[DataFrame, DataFrame]:
-    """(rows that measure gives for each image, status of each image)."""
+#: Columns that may hold nulls beside numbers, so that they reach Arrow as they are.
+NULLABLE = {"int": "Int32", "bigint": "Int64", "double": "Float64", "boolean": "boolean", "string": "object"}
+
+
+def _table(names: list[str], schema: str, rows: pd.DataFrame | list[dict]) -> pd.DataFrame:
+    kinds = dict(zip(names, (f.strip().split(" ")[1] for f in schema.split(","))))
+    table = rows if isinstance(rows, pd.DataFrame) else pd.DataFrame(rows, columns=names)
+    return table.reindex(columns=names).astype({n: NULLABLE[k] for n, k in kinds.items()})
+
+
+def per_image(planes: DataFrame, measure: Callable[[pd.DataFrame], pd.DataFrame | list[dict]], schema: str, keys: tuple[str, ...] = ("image_id",)) -> tuple[DataFrame, DataFrame]:
+    """(rows that measure gives for each image, status of each image).
+
+    Both read one pass over the images, kept on the executors' disks (what a lost one held is made
+    again; spark.catalog.clearCache() frees them). measure gives few rows as dicts, many as a table."""
     fields = [f.strip().split(" ")[0] for f in schema.split(",")]
     types = {f: planes.schema[f].dataType.simpleString() for f in keys}
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         try:
-            rows, flag, error = measure(part), "ok", None
+            rows, flag, error = _table(fields, schema, measure(part)), "ok", None
         except Exception as e:  # noqa: BLE001  one bad image must not end the others
-            rows, flag, error = [], FAILED, "".join(traceback.format_exception_only(e)).strip()
-        head = {"_flag": flag, "_error": error} | dict(zip(keys, key))
-        return pd.DataFrame([{**head, "_kind": "status"}, *({**head, "_kind": "row", **r} for r in rows)], columns=["_kind", "_flag", "_error", *keys, *fields], dtype=object)
+            rows, flag, error = _table(fields, schema, []), FAILED, "".join(traceback.format_exception_only(e)).strip()
+        head = pd.DataFrame([{"_kind": "status", "_flag": flag, "_error": error}]).join(_table(fields, schema, [dict.fromkeys(fields)]))
+        out = pd.concat([head, rows.assign(_kind="row", _flag=flag, _error=error)], ignore_index=True)
+        return out.assign(**dict(zip(keys, key)))[["_kind", "_flag", "_error", *keys, *fields]]
 
     out = planes.groupBy(*keys).applyInPandas(run, "_kind string, _flag string, _error string, " + ", ".join(f"{k} {types[k]}" for k in keys) + ", " + schema)
+    out = out.persist(StorageLevel.DISK_ONLY)
     status = out.filter("_kind = 'status'").select(*keys, F.col("_flag").alias("flag"), F.col("_error").alias("error"))
     return out.filter("_kind = 'row'").select(*keys, *fields), status
 
 
+def _at(where: np.ndarray, axes: str) -> dict[str, np.ndarray]:
+    """Coordinates of the true elements, by axis."""
+    return dict(zip(axes, np.nonzero(where)))
+
+
 def _with_details(df: DataFrame, with_treatment: bool = True) -> DataFrame:
     return df.withColumns(classify.image_details(F.col("image_id"), with_treatment)).withColumnRenamed("image_id", "filename")
 
@@ -87,8 +108,8 @@ def cell_labels(planes: DataFrame, nuclear_binary: DataFrame, membrane_binary: D
         px, pz = float(plain["px_um"].iloc[0]), float(plain["pz_um"].iloc[0])
         binaries = [stack_of(part[part["c"] == k].assign(c=0))[0, :, 0] > 0 for k in (100, 101)]
         nuclei, cells, flag = recipes.cells(stack_of(plain)[0], *binaries, px, pz, nuclear, membrane, overflow)
-        at = np.argwhere((nuclei > 0) | (cells > 0))
-        return [{"z": int(z), "y": int(y), "x": int(x), "nucleus": int(nuclei[z, y, x]), "cell": int(cells[z, y, x]), "flag": flag, "px_um": px} for z, y, x in at]
+        where = (nuclei > 0) | (cells > 0)
+        return pd.DataFrame({**_at(where, "zyx"), "nucleus": nuclei[where], "cell": cells[where], "flag": flag, "px_um": px})
 
     return per_image(marked, measure, "z int, y int, x int, nucleus int, cell int, flag string, px_um double")
 
@@ -173,7 +194,7 @@ def segment_brightfield(planes: DataFrame, method: str = "intensity", pixel_size
         image = stack_of(part)[0, 0, 0]
         labels = recipes.brightfield(recipes.filters.grey(image) if image.ndim > 2 else image, method)
         sizes = recipes.morphology.areas(labels)
-        return [{"label": int(k), "area": int(sizes[k]), "eccentricity": recipes.segmentation.eccentricity(labels == k)} for k in np.flatnonzero(sizes)]
+        return [{"label": k, "area": int(sizes[k]), "eccentricity": recipes.segmentation.eccentricity(own)} for k, own in recipes.segmentation.objects(labels)]
 
     rows, status = per_image(planes, measure, "label int, area bigint, eccentricity double")
     name = F.col("image_id")
@@ -202,8 +223,8 @@ def segment_nuclei(planes: DataFrame, red: int = 1, green: int = 3) -> tuple[Dat
             colours.append(((plane - r["low"]) * (255.0 / span)).astype(np.uint8) if span else np.zeros(plane.shape, np.uint8))
         labels = recipes.frame_nuclei(recipes.filters.to_bytes(recipes.channel_sum(*colours)))
         masks = [recipes.frame_mask(c) for c in colours]
-        at = np.argwhere((labels > 0) | masks[0] | masks[1])
-        return [{"y": int(y), "x": int(x), "label": int(labels[y, x]), "red": bool(masks[0][y, x]), "green": bool(masks[1][y, x])} for y, x in at]
+        where = (labels > 0) | masks[0] | masks[1]
+        return pd.DataFrame({**_at(where, "yx"), "label": labels[where], "red": masks[0][where], "green": masks[1][where]})
 
     return per_image(own.join(ranges, ["image_id", "c"]), measure, "y int, x int, label int, red boolean, green boolean", ("image_id", "t"))
 
@@ -239,7 +260,7 @@ def segment_movie_nuclei(planes: DataFrame, channel: int = 0, z_um: float = 6.08
 
     def measure(part: pd.DataFrame) -> list[dict]:
         labels = recipes.movie_nuclei(stack_of(part)[:, :, channel], z_um, xy_um, power)
-        return [dict(zip(("t", "z", "y", "x", "label"), map(int, (*p, labels[tuple(p)])))) for p in np.argwhere(labels)]
+        return pd.DataFrame({**_at(labels > 0, "tzyx"), "label": labels[labels > 0]})
 
     return per_image(planes, measure, "t int, z int, y int, x int, label int")
 
@@ -251,10 +272,8 @@ def collagen_pixels(planes: DataFrame, order: str = "rc") -> tuple[DataFrame, Da
         stack = stack_of(part)[0, 0]
         rgb = stack[0] if stack.ndim > 3 else np.moveaxis(stack, 0, -1)
         found, scale = recipes.collagen(rgb, order=order), float(np.iinfo(rgb.dtype).max) if rgb.dtype.kind == "u" else 1.0
-        return [
-            {"y": int(y), "x": int(x), **{k: float(rgb[y, x, i]) / scale for i, k in enumerate("rgb")}, **{k: float(found[k][y, x]) for k in ("ny", "nx", "angle")}}
-            for y, x in np.argwhere(found["ring"])
-        ]
+        ring = found["ring"]
+        return pd.DataFrame({**_at(ring, "yx"), **{k: rgb[..., i][ring] / scale for i, k in enumerate("rgb")}, **{k: found[k][ring] for k in ("ny", "nx", "angle")}})
 
     rows, status = per_image(planes, measure, ", ".join(f"{k} {t}" for k, t in (("y", "int"), ("x", "int"), *((k, "double") for k in ("r", "g", "b", "ny", "nx", "angle")))))
     return rows.withColumn("alignment", pixel_ops.alignment(F.col("ny"), F.col("nx"), F.col("angle"))), status
@@ -309,8 +328,3 @@ def profile_curves(profiles: DataFrame, below: float = 0.99, window: int = 2) ->
     """Normalised mean profile of each image type, smoothed."""
     normal = stats.normalised_profile(profiles, "filename", "rounded_distance", "bm_intensity", below)
     return stats.mean_profile(normal, "image_type", window)
-
-
-def label_stain(labels: DataFrame, voxels: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """Labelled pixels with a stain's value beside them."""
-    return labels.join(voxels.select(*keys, value.alias("v")), keys)

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumispark.queries import images, kernels, measurements
+from lumispark.queries import files, images, kernels, measurements, shapes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return measurements.QUERIES | images.QUERIES | kernels.QUERIES
+    return measurements.QUERIES | images.QUERIES | kernels.QUERIES | shapes.QUERIES | files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return measurements.ORACLES | images.ORACLES | kernels.ORACLES
+    return measurements.ORACLES | images.ORACLES | kernels.ORACLES | shapes.ORACLES | files.ORACLES

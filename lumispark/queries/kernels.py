@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,16 +30,38 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def on_planes(df: DataFrame, column: str, kernel: Callable[[np.ndarray], np.ndarray], out: str, kind: str) -> DataFrame:
-    """Applies a kernel to each image's (y, x) array of a column; pixels without a row are 0."""
+def by_image(df: DataFrame, columns: list[str], kernel: Callable[..., dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """(image_id and what a kernel gives) for each image: kernel(y, x, plane of each column) returns
+    equally long columns; pixels without a row are 0. Images are gathered before Python sees them, so
+    one Arrow batch holds many."""
+    gathered = df.groupBy("image_id").agg(F.collect_list(F.struct("y", "x", *columns)).alias("_pixels"))
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+    types = [kinds[f.strip().split(" ")[1]] for f in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_pixels")
+            flat, edges = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            parts = [flat.field(k).to_numpy() for k in range(2 + len(columns))]
+            found, many = [], []
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                y, x, *values = (p[low:high] for p in parts)
+                planes = [np.zeros((y.max() + 1, x.max() + 1), v.dtype) for v in values]
+                for plane, v in zip(planes, values):
+                    plane[y, x] = v
+                found.append(kernel(y, x, *planes))
+                many.append(len(found[-1][names[0]]))
+            if found:
+                ids = np.repeat(batch.column("image_id").to_numpy(), many)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(np.concatenate([f[n] for f in found]), t) for n, t in zip(names, types))], ["image_id", *names])
+
+    return gathered.mapInArrow(run, f"image_id bigint, {schema}")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        y, x = part["y"].to_numpy(), part["x"].to_numpy()
-        plane = np.zeros((y.max() + 1, x.max() + 1), part[column].dtype)
-        plane[y, x] = part[column]
-        return pd.DataFrame({"image_id": part["image_id"], "y": y, "x": x, out: kernel(plane)[y, x]})
 
-    return df.select("image_id", "y", "x", column).groupBy("image_id").applyInPandas(run, f"image_id bigint, y int, x int, {out} {kind}")
+def on_planes(df: DataFrame, column: str, kernel: Callable[[np.ndarray], np.ndarray], out: str, kind: str) -> DataFrame:
+    """Applies a kernel to each image's (y, x) array of a column."""
+    return by_image(df, [column], lambda y, x, plane: {"y": y, "x": x, out: kernel(plane)[y, x].astype(float if kind == "double" else int)}, f"y int, x int, {out} {kind}")
 
 
 @query(

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import glob
 import os
+import uuid
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -65,8 +67,18 @@ class TiffReader(DataSourceReader):
                 yield (name, partition.value, at["t"], at["z"], at["c"], plane.shape[0], plane.shape[1], plane.shape[2] if plane.ndim > 2 else 1, plane.dtype.str, plane.tobytes())
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    """What one task wrote: (place of the part, name that it is to have)."""
+
+    parts: list[tuple[str, str]]
+
+
 class TiffWriter(DataSourceWriter):
-    """Writes one file for each image that a partition holds; repartition by image_id first."""
+    """Writes one file for each image that a partition holds; repartition by image_id first.
+
+    Tasks write parts under names of their own. They get their names once all tasks are done, so a
+    task that runs twice leaves one file, and a failed write none; two tasks with one image fail it."""
 
     def __init__(self, path: str):
         self.path = path.removeprefix("file://")
@@ -78,16 +90,31 @@ class TiffWriter(DataSourceWriter):
         for row in iterator:
             held.setdefault(row.image_id, []).append(row)
         os.makedirs(self.path, exist_ok=True)
+        parts = []
         for name, rows in held.items():
             rows.sort(key=lambda r: (r.t, r.z, r.c))
             stack = np.stack([to_array(r.dtype, r.height, r.width, r.samples, r.data) for r in rows])
             counts = [len({getattr(r, k) for r in rows}) for k in "tzc"]
             note = "ImageJ=1.53\nimages={}\nframes={}\nslices={}\nchannels={}\n".format(len(rows), *counts)
-            target = os.path.join(self.path, os.path.basename(name))
-            with open(f"{target}.part", "wb") as file:
+            part = os.path.join(self.path, f".{uuid.uuid4().hex}.part")
+            with open(part, "wb") as file:
                 file.write(tiff.write_stack(stack, note))
-            os.replace(f"{target}.part", target)
-        return WriterCommitMessage()
+            parts.append((part, os.path.basename(name)))
+        return Written(parts)
+
+    def commit(self, messages: Sequence[WriterCommitMessage | None]) -> None:
+        parts = [p for m in messages if m for p in m.parts]
+        names = [name for _, name in parts]
+        if twice := sorted({n for n in names if names.count(n) > 1})[:5] if len(set(names)) < len(names) else []:
+            self.abort(messages)
+            raise ValueError(f"more than one task or folder has {twice}: repartition by image_id, one name an image")
+        for part, name in parts:
+            os.replace(part, os.path.join(self.path, name))
+
+    def abort(self, messages: Sequence[WriterCommitMessage | None]) -> None:
+        for part, _ in (p for m in messages if m for p in m.parts):
+            if os.path.exists(part):
+                os.remove(part)
 
 
 def register(spark: SparkSession) -> None:

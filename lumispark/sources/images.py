@@ -19,6 +19,8 @@ from lumispark.sources import tiff
 
 PLANE = "image_id string, path string, t int, z int, c int, height int, width int, samples int, dtype string, data binary, px_um double, py_um double, pz_um double, tags map<string,string>"
 STATUS = "image_id string, path string, flag string, error string"
+#: Bytes of planes, and pixels, that are handed on together.
+HELD, SPREAD = 1 << 25, 1 << 18
 
 
 def files(spark: SparkSession, root: str, pattern: str = "*.tif", recursive: bool = True) -> DataFrame:
@@ -52,8 +54,7 @@ def planes(found: DataFrame, axes: str = "tzc", sizes: dict[str, int] | None = N
     axes: the order of pages, slowest first. only: frames, slices or channels to decode."""
     sizes, only = sizes or {}, only or {}
 
-    def pages_of(content: bytes) -> Iterator[tuple[int, int, int, tiff.Page]]:
-        pages = tiff.read_pages(content)
+    def pages_of(pages: list[tiff.Page]) -> Iterator[tuple[int, int, int, tiff.Page]]:
         shape = dict(zip("tzc", axes_of(pages, axes, sizes)))
         for number, page in enumerate(pages):
             at, place = {}, number
@@ -62,31 +63,45 @@ def planes(found: DataFrame, axes: str = "tzc", sizes: dict[str, int] | None = N
             if all(at[k] in wanted for k, wanted in only.items()):
                 yield at["t"], at["z"], at["c"], page
 
+    def rows_of(found: Iterator[tuple]) -> Iterator[dict]:
+        for path, name, content in found:
+            try:
+                pages = tiff.read_pages(content)
+                tags, (px, py, pz) = tiff.named_tags(pages[0]), tiff.spacing(pages[0])
+                for t, z, c, page in pages_of(pages):
+                    plane = page.array()
+                    yield {
+                        "image_id": name, "path": path, "t": t, "z": z, "c": c, "height": plane.shape[0], "width": plane.shape[1], "samples": plane.shape[2] if plane.ndim > 2 else 1,
+                        "dtype": plane.dtype.str, "data": plane.tobytes(), "px_um": px, "py_um": py, "pz_um": pz, "tags": tags,
+                    }
+            except Exception:  # noqa: BLE001  the status table has the reason
+                continue
+
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, name, content in batch.itertuples(index=False):
-                try:
-                    tags, (px, py, pz) = tiff.named_tags(tiff.read_pages(content)[0]), tiff.spacing(tiff.read_pages(content)[0])
-                    for t, z, c, page in pages_of(content):
-                        plane = page.array()
-                        yield pd.DataFrame({
-                            "image_id": [name], "path": [path], "t": [t], "z": [z], "c": [c], "height": [plane.shape[0]], "width": [plane.shape[1]],
-                            "samples": [plane.shape[2] if plane.ndim > 2 else 1], "dtype": [plane.dtype.str], "data": [plane.tobytes()],
-                            "px_um": [px], "py_um": [py], "pz_um": [pz], "tags": [tags],
-                        })
-                except Exception:  # noqa: BLE001  the status table has the reason
-                    continue
+            held, size = [], 0
+            for row in rows_of(batch.itertuples(index=False, name=None)):
+                held.append(row)
+                size += len(row["data"])
+                if size >= HELD:
+                    yield pd.DataFrame(held)
+                    held, size = [], 0
+            if held:
+                yield pd.DataFrame(held)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, name, content in batch.itertuples(index=False):
+            out = []
+            for path, name, content in batch.itertuples(index=False, name=None):
                 flag, error = "ok", None
                 try:
-                    for *_, page in pages_of(content):
+                    for *_, page in pages_of(tiff.read_pages(content)):
                         page.array()
                 except Exception as e:  # noqa: BLE001
                     flag, error = "IMAGE FAILED", f"{type(e).__name__}: {e}"
-                yield pd.DataFrame({"image_id": [name], "path": [path], "flag": [flag], "error": [error]})
+                out.append({"image_id": name, "path": path, "flag": flag, "error": error})
+            if out:
+                yield pd.DataFrame(out)
 
     return found.mapInPandas(decode, PLANE), found.mapInPandas(judge, STATUS)
 
@@ -96,25 +111,38 @@ def to_array(dtype: str, height: int, width: int, samples: int, data: bytes) ->
     return out[:, :, 0] if samples == 1 else out
 
 
+def _stacked(parts: list[dict[str, np.ndarray]]) -> pd.DataFrame:
+    return pd.DataFrame({k: np.concatenate([p[k] for p in parts]) for k in parts[0]})
+
+
 def pixels(planes_of: DataFrame) -> DataFrame:
     """One row per pixel and sample: (image_id, t, z, c, y, x, v); samples of one page count as channels."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            held, size = [], 0
             for row in batch.itertuples(index=False):
                 plane = np.frombuffer(row.data, row.dtype).reshape(row.height, row.width, row.samples)
                 y, x, s = (i.ravel() for i in np.indices(plane.shape))
-                yield pd.DataFrame({"image_id": row.image_id, "t": row.t, "z": row.z, "c": (row.c + s if row.samples > 1 else row.c), "y": y, "x": x, "v": plane.ravel().astype(float)})
+                many = plane.size
+                head = {"image_id": np.full(many, row.image_id, object), "t": np.full(many, row.t), "z": np.full(many, row.z), "c": row.c + s if row.samples > 1 else np.full(many, row.c)}
+                held.append(head | {"y": y, "x": x, "v": plane.ravel().astype(float)})
+                size += many
+                if size >= SPREAD:
+                    yield _stacked(held)
+                    held, size = [], 0
+            if held:
+                yield _stacked(held)
 
     return planes_of.select("image_id", "t", "z", "c", "height", "width", "samples", "dtype", "data").mapInPandas(spread, "image_id string, t int, z int, c int, y int, x int, v double")
 
 
 def as_movies(planes_of: DataFrame, marker: str = "T") -> DataFrame:
     """Planes of single-frame files with image_id set to their movie and t to their place in it, in
-    natural order of the number after the marker. No pixel is moved."""
+    natural order of the number after the marker; equal names go by path. No pixel is moved."""
     named = planes_of.select("path").distinct().withColumn("_name", base_name(F.col("path")))
     keyed = named.withColumn("_movie", F.regexp_replace(movie_key(F.col("_name")), r"\.[^.]*$", ""))
-    placed = keyed.withColumn("_t", (F.row_number().over(Window.partitionBy("_movie").orderBy(natural_key(F.col("_name"), marker), "_name")) - 1).cast("int"))
+    placed = keyed.withColumn("_t", (F.row_number().over(Window.partitionBy("_movie").orderBy(natural_key(F.col("_name"), marker), "_name", "path")) - 1).cast("int"))
     out = planes_of.join(placed.select("path", "_movie", "_t"), "path")
     return out.select(*(F.col("_movie").alias(c) if c == "image_id" else F.col("_t").alias(c) if c == "t" else F.col(c) for c in planes_of.columns))
 

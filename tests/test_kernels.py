@@ -206,3 +206,20 @@ def test_q36_links_every_event(spark, tmp_path):
                 live[k] = frame
         pairs = lambda of: {(a, b) for a in particle for b in particle if of[a] == of[b]}
         assert pairs(particle) == pairs(got)
+
+
+def test_objects_centroids_and_peaks_equal_plain_scans():
+    from lumispark.kernels import segmentation
+
+    rng = np.random.default_rng(3)
+    labels = rng.integers(0, 5, (7, 9, 6)) * rng.integers(0, 2, (7, 9, 6))
+    for (name, own), k in zip(segmentation.objects(labels), np.unique(labels[labels > 0]), strict=True):
+        at = np.argwhere(labels == k)
+        low, high = at.min(axis=0), at.max(axis=0) + 1
+        assert name == k and (own == (labels == k)[tuple(slice(a, b) for a, b in zip(low, high))]).all()
+    assert np.allclose(segmentation.centroids(labels), [np.argwhere(labels == k).mean(axis=0) for k in np.unique(labels[labels > 0])])
+    assert segmentation.objects(np.zeros((3, 3), int)) == [] and segmentation.centroids(np.zeros((3, 3), int)).shape == (0, 2)
+    image = rng.random((30, 31))
+    for apart in (1, 2, 3, 5):
+        tops = [(y, x) for y in range(apart, 30 - apart) for x in range(apart, 31 - apart) if image[y, x] == image[y - apart : y + apart + 1, x - apart : x + apart + 1].max()]
+        assert sorted(map(tuple, segmentation.peaks(image, apart).tolist())) == tops

@@ -79,3 +79,15 @@ def test_csv_columns_go_by_name(spark, tmp_path):
     tabular.write_csv(tabular.read_csv(spark, str(tmp_path), "acinus"), str(tmp_path / "out"))
     tabular.write_parquet(tabular.read_csv(spark, str(tmp_path), "acinus"), str(tmp_path / "pq"), ["day"])
     assert tabular.read_parquet(spark, str(tmp_path / "pq")).count() == 2
+
+
+def test_a_failed_write_leaves_nothing(tmp_path):
+    from types import SimpleNamespace
+
+    row = lambda name: SimpleNamespace(image_id=name, t=0, z=0, c=0, dtype="|u1", height=1, width=2, samples=1, data=b"\1\2")
+    writer = datasource.TiffWriter(str(tmp_path / "out"))
+    with pytest.raises(ValueError, match="a.tif"):
+        writer.commit([writer.write(iter([row("a.tif")])), writer.write(iter([row("x/a.tif"), row("b.tif")]))])
+    assert not list((tmp_path / "out").iterdir())
+    writer.commit([writer.write(iter([row("a.tif")])), None, writer.write(iter([row("b.tif")]))])
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.tif", "b.tif"]

@@ -137,3 +137,22 @@ def test_curves_and_subsets(spark):
     assert [(r.key, r.mean_vol_um, r.key_index) for r in got] == [("Yap_Vinc, well1", 3.0, 0)]
     pixels = spark.createDataFrame([("i", 0, 1, 5.0, 1.0)] * 3 + [("i", 0, 0, 9.0, 9.0)], "image_id string, frame int, label int, av double, pi double")
     assert workflows.cell_brightness(pixels, n_mean=20).select("area", "amount_av", F.round("mean_av", 2).alias("m")).collect()[0].asDict() == {"area": 3, "amount_av": 15.0, "m": 0.75}
+
+
+def test_rows_and_status_share_one_pass(spark):
+    from lumispark.plans.workflows import per_image
+    from lumispark.sources.images import PLANE
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def measure(part):
+        calls.add(1)
+        if part["image_id"].iloc[0] == "bad":
+            raise ValueError("no")
+        return [{"n": len(part), "share": None if part["image_id"].iloc[0] == "b" else 0.5}]
+
+    rows = [(k, k, 0, z, 0, 1, 1, 1, "|u1", bytearray(b"\1"), None, None, None, None) for k in ("a", "b", "bad") for z in (0, 1)]
+    found, status = per_image(spark.createDataFrame(rows, PLANE), measure, "n int, share double")
+    assert {(r.image_id, r.n, r.share) for r in found.collect()} == {("a", 2, 0.5), ("b", 2, None)}
+    assert {(r.image_id, r.flag) for r in status.collect()} == {("a", "ok"), ("b", "ok"), ("bad", "IMAGE FAILED")}
+    assert calls.value == 3
