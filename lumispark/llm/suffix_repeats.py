@@ -3,24 +3,27 @@
 Routing. Every string of `length` bytes has one anchor: the leftmost of its smallest k-gram hashes.
 Equal strings have equal anchors at equal places, so strings can only match within an anchor's
 bucket. Neighbouring strings of a text share their anchor; the text they cover is the anchor's
-context. Equal contexts are counted before they are moved, so a passage that a third of all texts
-share arrives as one row per map task; a bucket of one context only is settled by its count, and
-texts are fetched for one context each of the others.
+context. Equal contexts (anchor and content, 128 bits of hash, within one bucket) are counted before
+they are moved, so a passage that a third of all texts share arrives as one row per map task; the
+bytes of two occurrences of each are fetched, the first and the last.
 
 Buckets. The contexts of many buckets make one enhanced suffix array. A stack scan over its
 common-prefix lengths walks the interval tree; every interval of at least `length` bytes whose
 left extensions differ is a maximal repeat, and all its occurrences are covered. A bucket with too
 many contexts for one task is split by the strings themselves and counted instead.
+
+A repeat is found within the strings of one anchor: one that is longer than a context comes as
+overlapping parts, whose union is the whole.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumispark.llm.shared import text_of, written
@@ -209,11 +212,18 @@ class SuffixIndex:
         for depth, first, last in sorted(self.maximal_repeats()):
             reach[first : last + 1] = depth
         has = np.flatnonzero(reach)
-        at = self.starts[has]
-        piece = np.searchsorted(self.ends, at, side="right")
-        low = at - self.begins[piece]
+        piece, low = self._placed(self.starts[has])
         return piece, low, low + reach[has]
 
+    def _placed(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, place within it) of places in the joined bytes."""
+        piece = np.searchsorted(self.ends, at, side="right")
+        return piece, at - self.begins[piece]
+
+    def groups(self) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """(pieces, places in them, length) of all occurrences of each maximal repeat."""
+        return [(*self._placed(self.starts[first : last + 1]), depth) for depth, first, last in self.maximal_repeats()]
+
 
 def promising(pieces: list[bytes], length: int) -> np.ndarray:
     """Indexes of pieces that may hold a string of `length` bytes which starts anywhere else in them.
@@ -250,11 +260,16 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(spans) - 1]])]], axis=1)
 
 
+def _check(text: Column) -> Column:
+    """What tells texts of one id apart."""
+    return F.xxhash64(text, F.lit("check"))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows under a key of their own: the id (without one, a hash of the text) and a check of the text.
     Rows that repeat both are occurrences of each other and share one result."""
     text = text_of(text_col)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("key"), F.hash(text).alias("check"), text.cast("binary").alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("key"), _check(text).alias("check"), text.cast("binary").alias("text"))
 
 
 def _blocks(rows: Iterator[tuple[int, int, bytes]], length: int) -> Iterator[list[tuple[int, int, int, bytes]]]:
@@ -282,16 +297,16 @@ def _anchors(rows: DataFrame, length: int) -> DataFrame:
                 found = contexts([b[3] for b in block], length)
                 key, check, offset = (np.array([b[k] for b in block], np.int64)[found["text"]] for k in range(3))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found["anchor"], pa.int64()), pa.array(found["content"], pa.int64()), pa.array(key), pa.array(check, pa.int32()), pa.array(found["start"] + offset, pa.int64()), pa.array(found["width"], pa.int32())],
+                    [pa.array(found["anchor"], pa.int64()), pa.array(found["content"], pa.int64()), pa.array(key), pa.array(check), pa.array(found["start"] + offset, pa.int64()), pa.array(found["width"], pa.int32())],
                     ["anchor", "content", "key", "check", "start", "width"],
                 )
 
-    return rows.mapInArrow(run, "anchor long, content long, key long, check int, start long, width int")
+    return rows.mapInArrow(run, "anchor long, content long, key long, check long, start long, width int")
 
 
 def _context_texts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(anchor, content, copies, text) of the wanted contexts, cut from their texts."""
-    lists = wanted.groupBy("key", "check").agg(F.collect_list(F.struct("anchor", "content", "copies", "start", "width")).alias("wanted"))
+    """(anchor, content, copies, last, text) of the wanted contexts, cut from their texts."""
+    lists = wanted.groupBy("key", "check").agg(F.collect_list(F.struct("anchor", "content", "copies", "last", "start", "width")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,46 +314,71 @@ def _context_texts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame
                 text, wants = text.as_py(), wants.as_py()
                 parts = [text[w["start"] : w["start"] + w["width"] + length - 1] for w in wants]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([w[k] for w in wants], pa.int64()) for k in ("anchor", "content", "copies")), pa.array(parts, pa.binary())], ["anchor", "content", "copies", "text"]
+                    [*(pa.array([w[k] for w in wants], pa.int64()) for k in ("anchor", "content", "copies")), pa.array([w["last"] for w in wants], pa.bool_()), pa.array(parts, pa.binary())], ["anchor", "content", "copies", "last", "text"]
                 )
 
-    return rows.join(lists, ["key", "check"]).select("text", "wanted").mapInArrow(run, "anchor long, content long, copies long, text binary")
-
-
-def _indexed(bucketed: DataFrame, length: int) -> DataFrame:
-    """(anchor, content, low, high) covered in each context, by suffix indexes of whole buckets."""
-
-    def settle(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        held = list({x[:2]: x for x in held}.values())  # a repeated row can bring a context twice
-        may = promising([x[3] for x in held], length)
-        piece, low, high = SuffixIndex([held[k][3] for k in may.tolist()], length).covered()
-        piece = may[piece]
-        alone = np.array([k for k, x in enumerate(held) if x[2] > 1], np.int64)
-        piece = np.concatenate([piece, alone])
-        low = np.concatenate([low, np.zeros(len(alone), np.int64)])
-        high = np.concatenate([high, np.array([len(held[k][3]) for k in alone.tolist()], np.int64)])
-        order = np.lexsort((low, piece))
-        piece, low, high = piece[order], low[order], high[order]
-        out = []
-        for k in np.split(np.arange(len(piece)), np.flatnonzero(np.diff(piece)) + 1) if len(piece) else []:
-            out += [(*held[piece[k[0]]][:2], a, b) for a, b in _merged(np.stack([low[k], high[k]], axis=1)).tolist()]
-        columns = list(zip(*out)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["anchor", "content", "low", "high"])
+    return rows.join(lists, ["key", "check"]).select("text", "wanted").mapInArrow(run, "anchor long, content long, copies long, last boolean, text binary")
+
+
+Held = list[tuple[int, int, int, bool, bytes]]
+
+
+def _spans(held: Held, length: int) -> pa.RecordBatch:
+    """(anchor, content, low, high) that maximal repeats cover, as maximal runs of each context."""
+    may = promising([x[4] for x in held], length)
+    piece, low, high = SuffixIndex([held[k][4] for k in may.tolist()], length).covered()
+    piece = may[piece]
+    # one row that comes twice has no second occurrence to compare with
+    pairs = {x[:2] for x in held if x[3]}
+    alone = np.array([k for k, x in enumerate(held) if x[2] > 1 and x[:2] not in pairs], np.int64)
+    first = ~np.array([x[3] for x in held], bool)
+    keep = first[piece]
+    piece = np.concatenate([piece[keep], alone])
+    low = np.concatenate([low[keep], np.zeros(len(alone), np.int64)])
+    high = np.concatenate([high[keep], np.array([len(held[k][4]) for k in alone.tolist()], np.int64)])
+    order = np.lexsort((low, piece))
+    piece, low, high = piece[order], low[order], high[order]
+    out = []
+    for k in np.split(np.arange(len(piece)), np.flatnonzero(np.diff(piece)) + 1) if len(piece) else []:
+        out += [(*held[piece[k[0]]][:2], a, b) for a, b in _merged(np.stack([low[k], high[k]], axis=1)).tolist()]
+    return _longs(out, ["anchor", "content", "low", "high"])
+
+
+def _groups(held: Held, length: int) -> pa.RecordBatch:
+    """(anchor, content, low, high, lead, lead_low): each maximal repeat in each context that has it,
+    named by its smallest content and place there."""
+    out = []
+    may = promising([x[4] for x in held], length)
+    for pieces, places, size in SuffixIndex([held[k][4] for k in may.tolist()], length).groups():
+        named = sorted({(held[may[p]][1], at, held[may[p]][0]) for p, at in zip(pieces.tolist(), places.tolist())})
+        out += [(anchor, content, at, at + size, *named[0][:2]) for content, at, anchor in named]
+    pairs = {x[:2] for x in held if x[3]}
+    out += [(x[0], x[1], 0, len(x[4]), x[1], 0) for x in held if x[2] > 1 and x[:2] not in pairs]
+    return _longs(out, ["anchor", "content", "low", "high", "lead", "lead_low"])
+
+
+def _longs(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+
+
+def _indexed(bucketed: DataFrame, length: int, settle: Callable[[Held, int], pa.RecordBatch], schema: str) -> DataFrame:
+    """What `settle` reads off the suffix indexes of whole buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
+        held, size, last = {}, 0, None  # a repeated row can bring a context twice
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "copies", "text"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "copies", "last", "text"))):
                 if size >= INDEXED and row[0] != last:
-                    yield settle(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
+                    yield settle(list(held.values()), length)
+                    held, size = {}, 0
+                held[row[0], row[1], row[3]] = row
+                size += len(row[4])
                 last = row[0]
         if held:
-            yield settle(held)
+            yield settle(list(held.values()), length)
 
-    return bucketed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "anchor long, content long, low long, high long")
+    return bucketed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, schema)
 
 
 def _counted(contexts_of: DataFrame, length: int) -> DataFrame:
@@ -351,31 +391,54 @@ def _counted(contexts_of: DataFrame, length: int) -> DataFrame:
                 n = len(strings)
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.full(n, x), pa.int64()) for x in (anchor, content, copies)), pa.array(np.arange(n)), pa.array(strings)], ["anchor", "content", "copies", "low", "string"])
 
-    strings = contexts_of.dropDuplicates(["anchor", "content"]).mapInArrow(run, "anchor long, content long, copies long, low long, string long")
+    strings = contexts_of.filter("NOT last").dropDuplicates(["anchor", "content"]).mapInArrow(run, "anchor long, content long, copies long, low long, string long")
     often = strings.groupBy("anchor", "string").agg(F.sum("copies").alias("times")).filter("times > 1").select("anchor", "string")
-    return strings.join(often, ["anchor", "string"]).select("anchor", "content", "low", (F.col("low") + length).alias("high"))
-
+    return strings.join(often, ["anchor", "string"]).select("anchor", "content", "low", (F.col("low") + length).alias("high"), "string")
 
-def repeated_spans(rows: DataFrame, length: int, bucket: int = BUCKET) -> DataFrame:
-    """(key, check, spans): spans [from, to) of each text that repeated strings cover, unmerged.
 
-    rows: (key, check, text) as _keyed makes them."""
+def _found(rows: DataFrame, length: int, bucket: int, settle: Callable[[Held, int], pa.RecordBatch], schema: str) -> tuple[DataFrame, DataFrame]:
+    """(shared contexts, what repeats in them)."""
     anchors = _anchors(rows, length)
-    buckets = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("many"), F.min("content").alias("least"), F.max("content").alias("most")).filter("many > 1")
     # written first, so that both sides of the join are plain exchanges and a hot anchor can be split
-    buckets, _ = written(buckets.select("anchor", (F.col("least") == F.col("most")).alias("settled")), "shared-anchors")
+    buckets, _ = written(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("anchor"), "shared-anchors")
     shared, _ = written(anchors.join(buckets, "anchor"), "shared-contexts")
-    first = F.struct("key", "check", "start", "width")
-    open_contexts = shared.filter("NOT settled").groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"))
-    wanted, _ = written(open_contexts.select("anchor", "content", "copies", "first.*"), "wanted-contexts")
-    large, _ = written(wanted.groupBy("anchor").count().filter(F.col("count") > bucket).select("anchor"), "large-buckets")
+    place = F.struct("key", "check", "start", "width")
+    different = shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"), F.max(place).alias("final"))
+    ends = F.when(F.col("first") == F.col("final"), F.array("first")).otherwise(F.array("first", "final"))
+    both = different.select("anchor", "content", "copies", F.posexplode(ends).alias("nth", "at"))
+    wanted, _ = written(both.select("anchor", "content", "copies", (F.col("nth") > 0).alias("last"), "at.*"), "wanted-contexts")
+    large, _ = written(wanted.filter("NOT last").groupBy("anchor").count().filter(F.col("count") > bucket).select("anchor"), "large-buckets")
     texts = _context_texts(rows, wanted, length)
-    found = _indexed(texts.join(large, "anchor", "left_anti"), length)
+    found = _indexed(texts.join(large, "anchor", "left_anti"), length, settle, schema)
     if large.limit(1).count():
-        found = found.unionByName(_counted(texts.join(large, "anchor"), length))
-    whole = shared.filter("settled").select("key", "check", "start", (F.col("start") + F.col("width") + length - 1).alias("end"))
-    parts = shared.filter("NOT settled").join(found, ["anchor", "content"]).select("key", "check", (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high")).alias("end"))
-    return whole.unionByName(parts).groupBy("key", "check").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+        split = _counted(texts.join(large, "anchor"), length)
+        found = found.unionByName(split.drop("string") if settle is _spans else split.withColumnsRenamed({"string": "lead"}).withColumn("lead_low", F.lit(-1).cast("long")))
+    return shared, found
+
+
+def repeated_spans(rows: DataFrame, length: int, bucket: int = BUCKET) -> DataFrame:
+    """(key, check, spans): spans [from, to) of each text that repeated strings cover, unmerged.
+
+    rows: (key, check, text) as _keyed makes them."""
+    shared, found = _found(rows, length, bucket, _spans, "anchor long, content long, low long, high long")
+    parts = shared.join(found, ["anchor", "content"]).select("key", "check", (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high")).alias("end"))
+    return parts.groupBy("key", "check").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+
+
+def repeat_groups(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """(repeat_id, doc_id, start, length): maximal repeats of at least `length` bytes with all their
+    occurrences, start counted in bytes.
+
+    A repeat longer than a context comes as overlapping parts, and one of a bucket beyond `bucket`
+    different contexts as its strings of `length` bytes. Null texts are empty; rows without an id are
+    occurrences under a null doc_id; rows that repeat an id with the same text count once. An empty
+    table gives no rows; other columns are ignored."""
+    rows = _keyed(docs, id_col, text_col)
+    shared, found = _found(rows, length, bucket, _groups, "anchor long, content long, low long, high long, lead long, lead_low long")
+    placed = shared.join(found, ["anchor", "content"])
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_of(text_col))).alias("key"), _check(text_of(text_col)).alias("check")).distinct()
+    found = placed.select(F.xxhash64("anchor", "lead", "lead_low", F.col("high") - F.col("low")).alias("repeat_id"), "key", "check", (F.col("start") + F.col("low")).alias("start"), (F.col("high") - F.col("low")).alias("length"))
+    return found.distinct().join(named, ["key", "check"]).select("repeat_id", "doc_id", "start", "length")
 
 
 def kept_bytes(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
@@ -397,7 +460,7 @@ def dedup_report(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     rows = _keyed(docs, id_col, text_col)
     spans = repeated_spans(rows, length, bucket)
     # ids come back from keys only where there is one
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_of(text_col))).alias("key"), F.hash(text_of(text_col)).alias("check"), text_of(text_col).cast("binary").alias("text"))
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_of(text_col))).alias("key"), _check(text_of(text_col)).alias("check"), text_of(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -426,6 +489,6 @@ def drop_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", tex
         return pd.Series([None if t is None else kept_bytes(t.encode(), list(s))[0].decode(errors="ignore") if s is not None and len(s) else t for t, s in zip(texts, spans)])
 
     names = {"key": "_lumispark_key", "check": "_lumispark_check", "spans": "_lumispark_spans"}
-    marked = docs.withColumns({"_lumispark_key": F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_of(text_col))), "_lumispark_check": F.hash(text_of(text_col))})
+    marked = docs.withColumns({"_lumispark_key": F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_of(text_col))), "_lumispark_check": _check(text_of(text_col))})
     joined = marked.join(spans.withColumnsRenamed(names), ["_lumispark_key", "_lumispark_check"], "left")
     return joined.select(*(cut(F.col(c), F.col("_lumispark_spans")).alias(c) if c == text_col else F.col(c) for c in docs.columns))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from lumispark.llm import suffix_repeats
-from lumispark.llm.suffix_repeats import SuffixIndex, contexts, dedup_report, drop_repeats, promising
+from lumispark.llm.suffix_repeats import SuffixIndex, contexts, dedup_report, drop_repeats, promising, repeat_groups
 
 SCHEMA = "doc_id long, text string, key string, spans int"
 
@@ -119,3 +119,39 @@ def test_edges(spark):
     rows = [(None, "n" * 50 + str(k) * 250, None, None) for k in range(2)] + [(7, "word " * 60, None, None)] * 2 + [(7, "other", None, None)]
     got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans) for r in dedup_report(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [(0, 300, 250, 1), (0, 300, 250, 1), (7, 5, 0, 0), (7, 300, 300, 1), (7, 300, 300, 1)]
+
+
+@pytest.mark.parametrize("bucket", [4000, 1])
+def test_repeat_groups_are_equal_strings_and_cover_what_is_removed(spark, bucket):
+    texts = corpus(4)
+    length = 40
+    data = [(t or "").encode() for t in texts]
+    rows = [(i, t, "k", None) for i, t in enumerate(texts)]
+    groups = {}
+    for r in repeat_groups(spark.createDataFrame(rows, SCHEMA), length, bucket=bucket).collect():
+        groups.setdefault(r.repeat_id, []).append((r.doc_id, r.start, r.length))
+    covered = [np.zeros(len(d), bool) for d in data]
+    for places in groups.values():
+        assert len(places) == len(set(places)) > 1
+        assert len({data[d][a : a + n] for d, a, n in places}) == 1 and min(n for *_, n in places) >= length
+        for d, a, n in places:
+            covered[d][a : a + n] = True
+    assert [int(c.sum()) for c in covered] == [n for _, n, *_ in brute(texts, length)]
+    # every pair of places with one string stands together in some group
+    where = {}
+    for d, t in enumerate(data):
+        for i in range(len(t) - length + 1):
+            where.setdefault(t[i : i + length], set()).add((d, i))
+    together = {frozenset((d, a + k) for d, a, n in places) for places in groups.values() for k in range(places[0][2] - length + 1)}
+    assert all(any(w <= t for t in together) for w in where.values() if len(w) > 1)
+
+
+def test_a_hot_passage_at_the_real_length(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8)))
+    passage = " ".join(word() for _ in range(60))
+    texts = [" ".join([*(word() for _ in range(30)), passage[rng.randrange(0, 40) :], *(word() for _ in range(30))]) for _ in range(150)] + [passage] * 20
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    for bucket in (4000, 20):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in dedup_report(spark.createDataFrame(rows, SCHEMA), bucket=bucket).collect()}
+        assert got == dict(enumerate(brute(texts, 200)))
