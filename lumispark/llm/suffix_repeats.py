@@ -4,10 +4,11 @@ Routing. Every string of `length` bytes has one anchor: the leftmost of its smal
 Equal strings have equal anchors at equal places, so strings can only match within an anchor's
 bucket. Neighbouring strings of a text share their anchor; the text they cover is the anchor's
 context. Equal contexts (anchor and content, 128 bits of hash, within one bucket) are counted before
-they are moved, so a passage that a third of all texts share arrives as one row per map task; the
-bytes of two occurrences of each are fetched, the first and the last.
+they are moved, so a passage that a third of all texts share arrives as one row per map task. The
+bytes of the first occurrence of each are fetched, and compared with the last by a 128-bit digest; of
+a context that is alone in its bucket digests only, as nothing else can match it.
 
-Buckets. The contexts of many buckets make one enhanced suffix array. A stack scan over its
+Buckets. The different contexts of many buckets make one enhanced suffix array. A stack scan over its
 common-prefix lengths walks the interval tree; every interval of at least `length` bytes whose
 left extensions differ is a maximal repeat, and all its occurrences are covered. A bucket with too
 many contexts for one task is split by the strings themselves and counted instead.
@@ -305,55 +306,74 @@ def _anchors(rows: DataFrame, length: int) -> DataFrame:
 
 
 def _context_texts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(anchor, content, copies, last, text) of the wanted contexts, cut from their texts."""
-    lists = wanted.groupBy("key", "check").agg(F.collect_list(F.struct("anchor", "content", "copies", "last", "start", "width")).alias("wanted"))
+    """(anchor, content, copies, last, brief, size, text) of the wanted contexts, cut from their texts;
+    where `brief`, text is their digest."""
+    lists = wanted.groupBy("key", "check").agg(F.collect_list(F.struct("anchor", "content", "copies", "last", "brief", "start", "width")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, wants in zip(batch.column("text"), batch.column("wanted")):
                 text, wants = text.as_py(), wants.as_py()
                 parts = [text[w["start"] : w["start"] + w["width"] + length - 1] for w in wants]
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([w[k] for w in wants], pa.int64()) for k in ("anchor", "content", "copies")), pa.array([w["last"] for w in wants], pa.bool_()), pa.array(parts, pa.binary())], ["anchor", "content", "copies", "last", "text"]
-                )
+                bodies = [_digest(p) if w["brief"] else p for p, w in zip(parts, wants)]
+                numbers = [pa.array([w[k] for w in wants], pa.int64()) for k in ("anchor", "content", "copies")]
+                flags = [pa.array([w[k] for w in wants], pa.bool_()) for k in ("last", "brief")]
+                yield pa.RecordBatch.from_arrays([*numbers, *flags, pa.array([len(p) for p in parts], pa.int64()), pa.array(bodies, pa.binary())], CONTEXT)
+
+    return rows.join(lists, ["key", "check"]).select("text", "wanted").mapInArrow(run, "anchor long, content long, copies long, last boolean, brief boolean, size long, text binary")
+
 
-    return rows.join(lists, ["key", "check"]).select("text", "wanted").mapInArrow(run, "anchor long, content long, copies long, last boolean, text binary")
+def _digest(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
 
 
-Held = list[tuple[int, int, int, bool, bytes]]
+#: A context as it reaches its bucket.
+CONTEXT = ["anchor", "content", "copies", "last", "brief", "size", "text"]
+Held = dict[tuple[int, int, bool], tuple]
+
+
+def _parted(held: Held) -> tuple[list[tuple[int, int, bytes]], list[tuple[int, int, int]]]:
+    """((anchor, content, text) of contexts to index, (anchor, content, size) of those that occur again).
+
+    Equal hashes count as a repeat only where the digests of the first and last occurrence agree; a row
+    that comes twice has one occurrence only to look at, and repeats itself."""
+    different, again = [], []
+    for (anchor, content, last), (_, _, copies, _, brief, size, text) in held.items():
+        if last:
+            continue
+        if not brief:
+            different.append((anchor, content, text))
+        other = held.get((anchor, content, True))
+        if copies > 1 and (other is None or other[6] == (text if brief else _digest(text))):
+            again.append((anchor, content, size))
+    return different, again
 
 
 def _spans(held: Held, length: int) -> pa.RecordBatch:
     """(anchor, content, low, high) that maximal repeats cover, as maximal runs of each context."""
-    may = promising([x[4] for x in held], length)
-    piece, low, high = SuffixIndex([held[k][4] for k in may.tolist()], length).covered()
+    different, again = _parted(held)
+    whole, out = {x[:2] for x in again}, [(*x[:2], 0, x[2]) for x in again]
+    may = promising([x[2] for x in different], length)
+    piece, low, high = SuffixIndex([different[k][2] for k in may.tolist()], length).covered()
     piece = may[piece]
-    # one row that comes twice has no second occurrence to compare with
-    pairs = {x[:2] for x in held if x[3]}
-    alone = np.array([k for k, x in enumerate(held) if x[2] > 1 and x[:2] not in pairs], np.int64)
-    first = ~np.array([x[3] for x in held], bool)
-    keep = first[piece]
-    piece = np.concatenate([piece[keep], alone])
-    low = np.concatenate([low[keep], np.zeros(len(alone), np.int64)])
-    high = np.concatenate([high[keep], np.array([len(held[k][4]) for k in alone.tolist()], np.int64)])
     order = np.lexsort((low, piece))
     piece, low, high = piece[order], low[order], high[order]
-    out = []
     for k in np.split(np.arange(len(piece)), np.flatnonzero(np.diff(piece)) + 1) if len(piece) else []:
-        out += [(*held[piece[k[0]]][:2], a, b) for a, b in _merged(np.stack([low[k], high[k]], axis=1)).tolist()]
+        own = different[piece[k[0]]][:2]
+        if own not in whole:
+            out += [(*own, a, b) for a, b in _merged(np.stack([low[k], high[k]], axis=1)).tolist()]
     return _longs(out, ["anchor", "content", "low", "high"])
 
 
 def _groups(held: Held, length: int) -> pa.RecordBatch:
     """(anchor, content, low, high, lead, lead_low): each maximal repeat in each context that has it,
     named by its smallest content and place there."""
-    out = []
-    may = promising([x[4] for x in held], length)
-    for pieces, places, size in SuffixIndex([held[k][4] for k in may.tolist()], length).groups():
-        named = sorted({(held[may[p]][1], at, held[may[p]][0]) for p, at in zip(pieces.tolist(), places.tolist())})
+    different, again = _parted(held)
+    out = [(anchor, content, 0, size, content, 0) for anchor, content, size in again]
+    may = promising([x[2] for x in different], length)
+    for pieces, places, size in SuffixIndex([different[k][2] for k in may.tolist()], length).groups():
+        named = sorted((different[may[p]][1], at, different[may[p]][0]) for p, at in zip(pieces.tolist(), places.tolist()))
         out += [(anchor, content, at, at + size, *named[0][:2]) for content, at, anchor in named]
-    pairs = {x[:2] for x in held if x[3]}
-    out += [(x[0], x[1], 0, len(x[4]), x[1], 0) for x in held if x[2] > 1 and x[:2] not in pairs]
     return _longs(out, ["anchor", "content", "low", "high", "lead", "lead_low"])
 
 
@@ -368,15 +388,15 @@ def _indexed(bucketed: DataFrame, length: int, settle: Callable[[Held, int], pa.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = {}, 0, None  # a repeated row can bring a context twice
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "copies", "last", "text"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in CONTEXT)):
                 if size >= INDEXED and row[0] != last:
-                    yield settle(list(held.values()), length)
+                    yield settle(held, length)
                     held, size = {}, 0
                 held[row[0], row[1], row[3]] = row
-                size += len(row[4])
+                size += len(row[6])
                 last = row[0]
         if held:
-            yield settle(list(held.values()), length)
+            yield settle(held, length)
 
     return bucketed.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, schema)
 
@@ -391,7 +411,7 @@ def _counted(contexts_of: DataFrame, length: int) -> DataFrame:
                 n = len(strings)
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.full(n, x), pa.int64()) for x in (anchor, content, copies)), pa.array(np.arange(n)), pa.array(strings)], ["anchor", "content", "copies", "low", "string"])
 
-    strings = contexts_of.filter("NOT last").dropDuplicates(["anchor", "content"]).mapInArrow(run, "anchor long, content long, copies long, low long, string long")
+    strings = contexts_of.dropDuplicates(["anchor", "content"]).mapInArrow(run, "anchor long, content long, copies long, low long, string long")
     often = strings.groupBy("anchor", "string").agg(F.sum("copies").alias("times")).filter("times > 1").select("anchor", "string")
     return strings.join(often, ["anchor", "string"]).select("anchor", "content", "low", (F.col("low") + length).alias("high"), "string")
 
@@ -400,18 +420,20 @@ def _found(rows: DataFrame, length: int, bucket: int, settle: Callable[[Held, in
     """(shared contexts, what repeats in them)."""
     anchors = _anchors(rows, length)
     # written first, so that both sides of the join are plain exchanges and a hot anchor can be split
-    buckets, _ = written(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("anchor"), "shared-anchors")
+    each = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("many"), F.min("content").alias("least"), F.max("content").alias("most")).filter("many > 1")
+    buckets, _ = written(each.select("anchor", (F.col("least") == F.col("most")).alias("single")), "shared-anchors")
     shared, _ = written(anchors.join(buckets, "anchor"), "shared-contexts")
     place = F.struct("key", "check", "start", "width")
-    different = shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"), F.max(place).alias("final"))
+    different = shared.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.max("single").alias("single"), F.min(place).alias("first"), F.max(place).alias("final"))
     ends = F.when(F.col("first") == F.col("final"), F.array("first")).otherwise(F.array("first", "final"))
-    both = different.select("anchor", "content", "copies", F.posexplode(ends).alias("nth", "at"))
-    wanted, _ = written(both.select("anchor", "content", "copies", (F.col("nth") > 0).alias("last"), "at.*"), "wanted-contexts")
-    large, _ = written(wanted.filter("NOT last").groupBy("anchor").count().filter(F.col("count") > bucket).select("anchor"), "large-buckets")
+    both = different.select("anchor", "content", "copies", "single", F.posexplode(ends).alias("nth", "at"))
+    last = F.col("nth") > 0
+    wanted, _ = written(both.select("anchor", "content", "copies", last.alias("last"), (last | F.col("single")).alias("brief"), "at.*"), "wanted-contexts")
+    large, _ = written(wanted.filter("NOT brief").groupBy("anchor").count().filter(F.col("count") > bucket).select("anchor"), "large-buckets")
     texts = _context_texts(rows, wanted, length)
     found = _indexed(texts.join(large, "anchor", "left_anti"), length, settle, schema)
     if large.limit(1).count():
-        split = _counted(texts.join(large, "anchor"), length)
+        split = _counted(texts.join(large, "anchor").filter("NOT brief"), length)
         found = found.unionByName(split.drop("string") if settle is _spans else split.withColumnsRenamed({"string": "lead"}).withColumn("lead_low", F.lit(-1).cast("long")))
     return shared, found
 
