@@ -13,6 +13,7 @@ from lumispark.llm.exact_dedup import exact_duplicates
 from lumispark.llm.kneser_ney import quality
 from lumispark.llm.license_scan import scan_licenses, template_rows
 from lumispark.llm.license_templates import NOTICES, PHRASES
+from lumispark.llm.merkle import tamper_report
 from lumispark.llm.packing import pack
 from lumispark.llm.prefix_bpe import bpe_round_trip
 from lumispark.llm.simhash import near_duplicates
@@ -67,6 +68,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tamper_report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kneser_ney_quality": op1_kneser_ney_quality,
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": op8_license_scan,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
@@ -112,6 +118,31 @@ ORACLES = {
         SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.text) AS text_sha256
         FROM t JOIN g USING (text)
     """,
+    # trees level by level; steps has what stands before and after a row's node on its way to the root
+    "op11_merkle_manifest": r"""
+        WITH RECURSIVE crc AS (SELECT doc_id, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(d) + 1), lambda i: ascii(d[i])::BIGINT)),
+                lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) AS low FROM (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS d FROM documents WHERE doc_id IS NOT NULL)),
+        raw AS (SELECT row_number() OVER () AS r, doc_id, source, text, concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-')) AS head,
+                CASE WHEN xor(low, 4294967295) % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS shown FROM documents LEFT JOIN crc USING (doc_id)),
+        leaves AS (SELECT r, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(shown) || ':' || shown, '-')) AS presented FROM raw),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS grp FROM leaves),
+        node(grp, lvl, idx, many, digest) AS (SELECT grp, 0, place, count(*) OVER (PARTITION BY grp), leaf FROM placed
+            UNION ALL SELECT grp, lvl + 1, idx // 3, any_value((many + 2) // 3), sha256(string_agg(digest, '' ORDER BY idx)) FROM node WHERE many > 1 GROUP BY grp, lvl, idx // 3),
+        sub AS (SELECT grp, digest AS subroot FROM node WHERE many = 1),
+        top(lvl, idx, many, digest) AS (SELECT 0, grp, count(*) OVER (), subroot FROM sub
+            UNION ALL SELECT lvl + 1, idx // 3, any_value((many + 2) // 3), sha256(string_agg(digest, '' ORDER BY idx)) FROM top WHERE many > 1 GROUP BY lvl, idx // 3),
+        tree AS (SELECT 0 AS stage, grp, lvl, idx, many, digest FROM node UNION ALL SELECT 1, 0, lvl, idx, many, digest FROM top),
+        way AS (SELECT p.r, t.stage, t.lvl, t.grp, CASE WHEN t.stage = 0 THEN p.place ELSE p.grp END // CAST(pow(3, t.lvl) AS BIGINT) AS own FROM placed p
+            JOIN (SELECT DISTINCT stage, grp, lvl FROM tree WHERE many > 1) t ON t.grp = CASE WHEN t.stage = 0 THEN p.grp ELSE 0 END),
+        steps AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY stage, lvl) - 1 AS k, stage, lvl, coalesce(string_agg(digest, '' ORDER BY idx) FILTER (idx < own), '') AS before, coalesce(string_agg(digest, '' ORDER BY idx) FILTER (idx > own), '') AS after
+            FROM way JOIN tree USING (stage, grp, lvl) WHERE idx // 3 = own // 3 GROUP BY r, stage, lvl),
+        folded(r, k, digest) AS (SELECT r, 0::BIGINT, presented FROM placed UNION ALL SELECT f.r, f.k + 1, sha256(before || digest || after) FROM folded f JOIN steps s ON s.r = f.r AND s.k = f.k),
+        ends AS (SELECT r, arg_max(digest, k) AS folded_root FROM folded GROUP BY r),
+        proofs AS (SELECT r, string_agg(before || after, '' ORDER BY k) AS proof FROM steps GROUP BY r)
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM placed JOIN sub USING (grp) JOIN ends USING (r) LEFT JOIN proofs USING (r) CROSS JOIN (SELECT digest AS root FROM top WHERE many = 1)
+    """,
 }
 
 
