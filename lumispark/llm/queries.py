@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumispark.llm.additive_index import nearest_neighbours
+from lumispark.llm.collocations import collocations
 from lumispark.llm.exact_dedup import exact_duplicates
 from lumispark.llm.kneser_ney import quality
 from lumispark.llm.license_scan import scan_licenses, template_rows
@@ -72,6 +73,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tamper_report(_table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kneser_ney_quality": op1_kneser_ney_quality,
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_exact_dedup": op10_exact_dedup,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_collocations": op12_collocations,
     }
 
 
@@ -143,6 +149,21 @@ ORACLES = {
         SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
         FROM placed JOIN sub USING (grp) JOIN ends USING (r) LEFT JOIN proofs USING (r) CROSS JOIN (SELECT digest AS root FROM top WHERE many = 1)
     """,
+    "op12_collocations": r"""
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        piece AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM t),
+        at AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM piece),
+        gram AS (SELECT lang, w[i:i + m - 1] AS w FROM at, range(1, 4) g(m) WHERE i + m - 1 <= len(w)),
+        f AS (SELECT lang, w, count(*) AS a FROM gram GROUP BY lang, w HAVING count(*) >= 10),
+        total AS (SELECT lang, count(*) AS n FROM at GROUP BY lang),
+        cut AS (SELECT c.lang, c.w, c.a, k, x.a AS l, y.a AS r, CAST(1000000::HUGEINT * c.a * c.a // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+            FROM (SELECT *, unnest(range(1, len(w))) AS k FROM f WHERE len(w) > 1) c JOIN f x ON x.lang = c.lang AND x.w = c.w[1:k] JOIN f y ON y.lang = c.lang AND y.w = c.w[k + 1:]),
+        low AS (SELECT *, row_number() OVER (PARTITION BY lang, w ORDER BY score, k) AS nth FROM cut),
+        inside AS (SELECT lang, w[i:i + 1] AS w, max(a) AS most FROM f, range(1, 3) s(i) WHERE len(w) = 3 GROUP BY ALL),
+        kept AS (SELECT low.* FROM low LEFT JOIN inside USING (lang, w) WHERE nth = 1 AND NOT coalesce(100 * most >= 50 * a, FALSE)),
+        ranked AS (SELECT lang, array_to_string(w, ' ') AS phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+    """,
 }
 
 
