@@ -152,10 +152,10 @@ ORACLES = {
     "op12_collocations": r"""
         WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
         piece AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM t),
-        at AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM piece),
-        gram AS (SELECT lang, w[i:i + m - 1] AS w FROM at, range(1, 4) g(m) WHERE i + m - 1 <= len(w)),
+        word AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM piece),
+        gram AS (SELECT lang, w[i:i + m - 1] AS w FROM word, range(1, 4) g(m) WHERE i + m - 1 <= len(w)),
         f AS (SELECT lang, w, count(*) AS a FROM gram GROUP BY lang, w HAVING count(*) >= 10),
-        total AS (SELECT lang, count(*) AS n FROM at GROUP BY lang),
+        total AS (SELECT lang, count(*) AS n FROM word GROUP BY lang),
         cut AS (SELECT c.lang, c.w, c.a, k, x.a AS l, y.a AS r, CAST(1000000::HUGEINT * c.a * c.a // (x.a::HUGEINT * y.a) AS BIGINT) AS score
             FROM (SELECT *, unnest(range(1, len(w))) AS k FROM f WHERE len(w) > 1) c JOIN f x ON x.lang = c.lang AND x.w = c.w[1:k] JOIN f y ON y.lang = c.lang AND y.w = c.w[k + 1:]),
         low AS (SELECT *, row_number() OVER (PARTITION BY lang, w ORDER BY score, k) AS nth FROM cut),
