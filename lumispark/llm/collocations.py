@@ -29,14 +29,14 @@ from pyspark.sql import functions as F
 from lumispark.llm.shared import hash_sample, scratch, text_of, written
 
 DEPTH, LEAST, SHARE, TOP = 3, 10, 50, 2000
-#: Bytes of text in a shard's trie, and that a task holds back for all languages.
-SHARD, HELD = 6 << 20, 24 << 20
+#: Bytes of text in a shard's trie; a task holds back up to four times as much for all languages.
+SHARD = 4 << 20
 #: Bytes of text a range is made for.
-RANGE = 12 << 20
+RANGE = 6 << 20
 #: Texts read for the boundaries, and every so manieth sequence of theirs.
 SAMPLE, EVERY = 2_000, 50
 #: Added to the hash of a candidate to spread the first cut of a language's best over tasks.
-SALTS = 64
+SALTS = 16
 _FOLD = bytes(0x0A if c in b".,;:!?\x0a\x0b\x0c\x0d" else 0x20 if c == 0x09 else c for c in range(256))
 
 Path = tuple[bytes, ...]
