@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lumispark.llm.additive_index import nearest_neighbours
 from lumispark.llm.collocations import collocations
 from lumispark.llm.exact_dedup import exact_duplicates
+from lumispark.llm.hyperminhash import hyperminhash_duplicates
 from lumispark.llm.kneser_ney import quality
 from lumispark.llm.license_scan import scan_licenses, template_rows
 from lumispark.llm.license_templates import NOTICES, PHRASES
@@ -77,6 +78,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kneser_ney_quality": op1_kneser_ney_quality,
@@ -91,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_exact_dedup": op10_exact_dedup,
         "op11_merkle_manifest": op11_merkle_manifest,
         "op12_collocations": op12_collocations,
+        "op13_hyperminhash": op13_hyperminhash,
     }
 
 
