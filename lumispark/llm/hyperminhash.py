@@ -7,11 +7,13 @@ bucket borrows in it from another in an order fixed for each bucket, so small se
 too. A pair of similarity s shares a key with probability 1 - (1 - s ** ROWS) ** BANDS: at 0.8 all
 but one in ten million pairs do.
 
-Pairs go through three sieves. Of nodes with one key, each meets the NEIGHBOURS before it; where that
-leaves a key in several components, all pairs of the key in different ones meet, in blocks of bounded
-size. What their registers say, less the collisions that compressed registers of different shingles
-have, leaves out pairs six standard deviations below the percentage. Of the rest, the pair with the
-best estimate of each node is verified on whole sets first, then those still in different components.
+Of nodes with one key, each meets the NEIGHBOURS before it; where that leaves a key in several
+components, all pairs of the key in different ones are held against each other, in blocks of bounded
+size: first only to take the best partner of each node, then, when those have joined what is alike,
+to take every pair that is left. What their registers say, less the collisions that compressed
+registers of different shingles have, leaves out pairs six standard deviations below the percentage;
+so does the exact bound that bitmaps of the sets give. Pairs are verified on whole sets, the best of
+each node first, then those still in different components.
 
 Sets so small that similar ones differ in one shingle at most are linked exactly, without registers:
 one is the other less a shingle, so the names of those meet.
@@ -36,6 +38,8 @@ SHINGLE, PERCENT = 2, 80
 BANDS, ROWS, MANTISSA = 40, 5, 10
 BUCKETS, EMPTY = BANDS * ROWS, 0xFFFF
 NEIGHBOURS = 2
+#: Bits of a set's bitmap.
+BITS = 4096
 #: Nodes of a block in which all pairs of a crowded key meet, and of a task in which each meets those before it.
 BLOCK, CHAIN = 256, 4096
 _BORROW = np.argsort(np.random.default_rng(1).random((BUCKETS, BUCKETS)), axis=1)
@@ -69,6 +73,23 @@ def compressed(values: np.ndarray) -> np.ndarray:
     return ((32 - length) << MANTISSA | mantissa).astype(np.uint16)
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """BITS bits; a shingle sets the one that its hash names."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[(shingles & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def can_reach(own: np.ndarray, other: np.ndarray, many: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+    """False where bitmaps (rows of 64-bit words) show that sets of those sizes don't have the percentage.
+
+    A common shingle sets a common bit; at most as many common ones share a bit as the smaller number
+    of shingles that share one with another of their own set."""
+    slack = np.minimum(many - np.bitwise_count(own).sum(axis=-1, dtype=np.int64), others - np.bitwise_count(other).sum(axis=-1, dtype=np.int64))
+    both = np.bitwise_count(own & other).sum(axis=-1, dtype=np.int64) + slack
+    return 100 * both >= percent * (many + others - both)
+
+
 def band_keys(own: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """A key of 64 bits for each band of so many registers, empty ones filled from others."""
     full = own != EMPTY
@@ -112,7 +133,7 @@ def _small(percent: int) -> int:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, band: int = ROWS) -> DataFrame:
-    """(doc_id, text_key, node, many, registers, keys, less): keys of sets that can have a similar one which
+    """(doc_id, text_key, name, many, registers, bits, keys, less): keys of sets that can have a similar one which
     differs in more than one shingle; less are the names of small sets without one shingle."""
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("text_key"), text.cast("binary").alias("text"))
@@ -122,20 +143,21 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, percen
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                names, many, held, keys, less = [], [], [], [], []
+                names, many, held, bits, keys, less = [], [], [], [], [], []
                 for text in part.column("text"):
                     own = shingle_set(text.as_py(), shingle)
                     regs = registers(own)
                     names.append(name_of(own))
                     many.append(len(own))
                     held.append(regs.astype("<u2").tobytes())
+                    bits.append(bitmap(own))
                     keys.append(band_keys(regs, band) if len(own) and len(own) >= small - 1 else [])
                     near = 1 < len(own) <= small and 100 * (len(own) - 1) >= percent * len(own)
                     less.append([name_of(np.delete(own, k)) for k in range(len(own))] if near else [])
-                columns = [*part.columns[:2], pa.array(names, pa.binary()), pa.array(many, pa.int64()), pa.array(held, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(less, pa.list_(pa.binary()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "node", "many", "registers", "keys", "less"])
+                columns = [*part.columns[:2], pa.array(names, pa.binary()), pa.array(many, pa.int64()), pa.array(held, pa.binary()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(less, pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "name", "many", "registers", "bits", "keys", "less"])
 
-    return rows.mapInArrow(run, "doc_id long, text_key binary, node binary, many long, registers binary, keys array<long>, less array<binary>")
+    return rows.mapInArrow(run, "doc_id long, text_key binary, name binary, many long, registers binary, bits binary, keys array<long>, less array<binary>")
 
 
 def chained(by_key: DataFrame, percent: int) -> DataFrame:
@@ -149,15 +171,16 @@ def chained(by_key: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(fits).select(F.col("other.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _matrix(held: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(held), "<u2").reshape(len(held), BUCKETS)
+def _matrix(held: list[bytes], kind: str = "<u2") -> np.ndarray:
+    return np.frombuffer(b"".join(held), kind).reshape(len(held), -1)
 
 
-def across(by_key: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+def across(by_key: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, best: bool) -> DataFrame:
     """Pairs (a, b, estimate) with a key in common that lie in different components and could be similar.
 
-    Keys whose nodes were all compared already, or lie in one component, are left. The nodes of a key
-    are dealt into blocks of about BLOCK, and every two blocks meet in a group of their own."""
+    best: of each node only the pair with the best estimate in a block. Keys whose nodes were all
+    compared already, or lie in one component, are left. The nodes of a key are dealt into blocks of
+    about BLOCK, and every two blocks meet in a group of their own."""
     rooted = by_key.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     rooted, _ = written(rooted, "rooted-keys")
     mixed = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
@@ -166,42 +189,46 @@ def across(by_key: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int)
     crowd = crowd.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = crowd.select("key", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     met = met.select("key", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "node", "root")
-    met = met.join(nodes.select("node", "many", "registers"), "node")
+    met = met.join(nodes.select("node", "many", "registers", "bits"), "node")
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         one, two = key[1].as_py(), key[2].as_py()
-        node, root, many, block = (table.column(c).to_pylist() for c in ("node", "root", "many", "block"))
-        held, many = _matrix(table.column("registers").to_pylist()), np.array(many)
-        place = {r: k for k, r in enumerate(dict.fromkeys(root))}
-        root, block = np.array([place[r] for r in root]), np.array(block)
-        found: list[tuple[bytes, bytes, float]] = []
+        node, root, many, block = (table.column(c).to_numpy() for c in ("node", "root", "many", "block"))
+        held, bits = _matrix(table.column("registers").to_pylist()), _matrix(table.column("bits").to_pylist(), "<u8")
+        found: list[tuple[int, int, float]] = []
         right = np.flatnonzero(block == two)
         for i in np.flatnonzero(block == one).tolist():
             those = right[right > i] if one == two else right
             those = those[(root[those] != root[i]) & (100 * np.minimum(many[those], many[i]) >= percent * np.maximum(many[those], many[i]))]
+            those = those[can_reach(bits[i], bits[those], many[i], many[those], percent)]
             if len(those):
                 value, some = estimates(held[i][None], held[those], np.full(len(those), many[i]), many[those])
-                for j, v in zip(those[could_be(value, some, percent)].tolist(), value[could_be(value, some, percent)].tolist()):
-                    found.append((min(node[i], node[j]), max(node[i], node[j]), v))
+                kept = could_be(value, some, percent)
+                those, value = those[kept], value[kept]
+                if best and len(those):
+                    those, value = those[[value.argmax()]], value[[value.argmax()]]
+                found += [(min(node[i], n), max(node[i], n), v) for n, v in zip(node[those].tolist(), value.tolist())]
         a, b, v = zip(*found) if found else ((), (), ())
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "estimate": pa.array(v, pa.float64())})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "estimate": pa.array(v, pa.float64())})
 
-    return met.groupBy("key", "one", "two").applyInArrow(meet, "a binary, b binary, estimate double").dropDuplicates(["a", "b"])
+    return met.groupBy("key", "one", "two").applyInArrow(meet, "a long, b long, estimate double").dropDuplicates(["a", "b"])
 
 
 def sieved(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) with their estimate, without those that can't be similar."""
-    of = lambda side: nodes.select(F.col("node").alias(side), F.col("many").alias(f"many_{side}"), F.col("registers").alias(f"held_{side}"))
+    of = lambda side: nodes.select(F.col("node").alias(side), F.col("many").alias(f"many_{side}"), F.col("registers").alias(f"held_{side}"), F.col("bits").alias(f"bits_{side}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
             if batch.num_rows:
-                value, some = estimates(_matrix(at["held_a"].to_pylist()), _matrix(at["held_b"].to_pylist()), at["many_a"].to_numpy(), at["many_b"].to_numpy())
-                kept = pa.array(could_be(value, some, percent))
+                many = at["many_a"].to_numpy(), at["many_b"].to_numpy()
+                value, some = estimates(_matrix(at["held_a"].to_pylist()), _matrix(at["held_b"].to_pylist()), *many)
+                reach = can_reach(_matrix(at["bits_a"].to_pylist(), "<u8"), _matrix(at["bits_b"].to_pylist(), "<u8"), *many, percent)
+                kept = pa.array(could_be(value, some, percent) & reach)
                 yield pa.RecordBatch.from_arrays([at["a"].filter(kept), at["b"].filter(kept), pa.array(value).filter(kept)], ["a", "b", "estimate"])
 
-    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a binary, b binary, estimate double")
+    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long, estimate double")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, text_col: str, shingle: int, percent: int) -> DataFrame:
@@ -233,7 +260,7 @@ def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, text_col: str,
             kept = pa.array(alike, pa.bool_())
             yield pa.RecordBatch.from_arrays([at["a"].filter(kept), at["b"].filter(kept)], ["a", "b"])
 
-    return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").mapInArrow(compare, "a binary, b binary")
+    return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").mapInArrow(compare, "a long, b long")
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -258,38 +285,40 @@ def hyperminhash_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     with scratch(spark) as keep:
         rows, path = written(signatures(docs, id_col, text_col, shingle, percent, band), "signatures")
         keep(path)
-        nodes, _ = written(rows.filter(F.col("many") > 0).groupBy("node").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), *(F.first(c).alias(c) for c in ("many", "registers", "keys", "less"))), "nodes")
-        by_key, _ = written(nodes.select("node", "many", F.explode("keys").alias("key")), "keys")
+        sets = rows.filter(F.col("many") > 0).groupBy("name").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), *(F.first(c).alias(c) for c in ("many", "registers", "bits", "keys", "less")))
+        nodes, _ = written(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        by_key = nodes.select("node", "many", F.explode("keys").alias("key"))
         sizes = by_key.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
         by_key, _ = written(by_key.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHAIN))), "shared-keys")
-        small = nodes.select("node", F.explode("less").alias("other")).join(nodes.select(F.col("node").alias("other")), "other")
+        small = nodes.select("node", F.explode("less").alias("name")).join(nodes.select(F.col("node").alias("other"), "name"), "name")
         links, _ = written(small.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")), "links")
-
-        def joined(links: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-            """Links and components once the similar ones of the pairs are among them."""
-            pairs, _ = written(pairs, "pairs")
-            ends = pairs.select("estimate", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("end"))
-            best = ends.groupBy("end.node").agg(F.max(F.struct("estimate", "end.other")).alias("best"))
-            first = best.select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b")).distinct()
-            found, _ = written(verified(docs, first, nodes, text_col, shingle, percent), "links")
-            links = links.unionByName(found)
-            roots, _ = written(components(links, "a", "b"), "roots")
-            rest, _ = written(apart(pairs.join(first, ["a", "b"], "left_anti"), roots), "pairs")
-            if not rest.isEmpty():
-                found, _ = written(verified(docs, rest, nodes, text_col, shingle, percent), "links")
-                links = links.unionByName(found)
-                roots, _ = written(components(links, "a", "b"), "roots")
-            return links, roots
-
-        links, roots = joined(links, sieved(chained(by_key, percent), nodes, percent))
-        more, _ = written(across(by_key, nodes, roots, percent), "pairs")
-        if not more.isEmpty():
-            links, roots = joined(links, more)
-        rooted, _ = written(nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        roots, _ = written(components(links, "a", "b"), "roots")
+
+        def joined(pairs: DataFrame) -> None:
+            """Add the similar ones of the pairs to the links and follow up with the components."""
+            nonlocal links, roots
+            with scratch(spark) as hold:
+                pairs, _ = written(pairs, "pairs")
+                ends = pairs.select("estimate", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("end"))
+                best = ends.groupBy("end.node").agg(F.max(F.struct("estimate", "end.other")).alias("best"))
+                first, _ = written(best.select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b")).distinct(), "pairs")
+                for step in (lambda: first, lambda: apart(pairs.join(first, ["a", "b"], "left_anti"), roots)):
+                    asked, _ = written(step(), "pairs")
+                    if not asked.isEmpty():
+                        found, path = written(verified(docs, asked, nodes, text_col, shingle, percent), "links")
+                        hold(path)
+                        links = links.unionByName(found)
+                        roots, path = written(components(links, "a", "b"), "roots")
+                        hold(path)
+
+        joined(sieved(chained(by_key, percent), nodes, percent))
+        joined(across(by_key, nodes, roots, percent, True))
+        joined(across(by_key, nodes, roots, percent, False))
+        rooted, _ = written(nodes.select("node", "name", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
         least, _ = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-        of, path = written(rooted.join(least, "root").select("node", "component_id"), "components")
+        of, path = written(rooted.join(least, "root").select("name", "component_id"), "components")
         keep(path)
-    some = rows.filter(F.col("many") > 0).select("doc_id", "many", "node").join(of, "node").select("doc_id", "many", "component_id")
+    some = rows.filter(F.col("many") > 0).select("doc_id", "many", "name").join(of, "name").select("doc_id", "many", "component_id")
     none = rows.filter(F.col("many") == 0).select("doc_id", "many", F.col("doc_id").alias("component_id"))
     return some.unionByName(none).select("doc_id", F.col("many").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

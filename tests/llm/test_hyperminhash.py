@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lumispark.llm import hyperminhash as module
-from lumispark.llm.hyperminhash import EMPTY, compressed, could_be, drop_hyperminhash_duplicates, estimates, hyperminhash_duplicates, registers
+from lumispark.llm.hyperminhash import EMPTY, bitmap, can_reach, compressed, could_be, drop_hyperminhash_duplicates, estimates, hyperminhash_duplicates, registers
 
 SCHEMA = "doc_id long, text string, node string, many int, key string"
 
@@ -106,3 +106,16 @@ def test_registers_order_and_estimates():
         value, some = estimates(a, b, n, n)
         assert abs(value.mean() - common / (common + 2 * own)) < 0.02
         assert could_be(value, some, 80).all() or common / (common + 2 * own) < 0.8
+
+
+def test_bitmaps_never_leave_out_a_similar_pair():
+    rng = np.random.default_rng(5)
+    for n in (3, 40, 600, 9000):
+        for _ in range(30):
+            a, extra = (np.unique(rng.integers(0, 1 << 64, n, np.uint64)) for _ in range(2))
+            b = np.unique(np.concatenate([a[rng.integers(0, max(1, n // 5)) :], extra[: rng.integers(0, max(1, n // 5))]]))
+            both = len(np.intersect1d(a, b))
+            words = [np.frombuffer(bitmap(x), "<u8") for x in (a, b)]
+            seen = bool(can_reach(*words, len(a), len(b), 80))
+            assert seen or 100 * both < 80 * (len(a) + len(b) - both)
+            assert not can_reach(words[0], np.frombuffer(bitmap(extra), "<u8"), len(a), len(extra), 80) or n == 9000
