@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumispark.kernels import distance, morphology
+from lumispark.kernels import morphology
+from lumispark.operators import lines, runs
 from lumispark.operators.tracks import tracks_in_many_frames
 from lumispark.plans.workflows import link_tracks
-from lumispark.queries.images import _FOUR, _MASK, four_levels, otsu_mask
+from lumispark.queries.images import _FOUR, _MASK, IMAGE, four_levels, otsu_mask
 from lumispark.queries.measurements import rounded
 from lumispark.queries.standins import PIXELS, TRACKS, tracks
 
@@ -73,8 +74,7 @@ def on_planes(df: DataFrame, column: str, kernel: Callable[[np.ndarray], np.ndar
     SELECT image_id, CAST(p // 8 AS INT) AS y, CAST(p % 8 AS INT) AS x, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS INT) AS label FROM m""",
 )
 def q35(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = otsu_mask(spark, sf_dir).select("image_id", "y", "x", F.col("mask").cast("int").alias("mask"))
-    return on_planes(mask, "mask", lambda m: morphology.label(m > 0), "label", "int").filter("label > 0")
+    return runs.labelled_objects(otsu_mask(spark, sf_dir), IMAGE, ["y"], F.col("mask"))
 
 
 @query("q36_linking")
@@ -89,8 +89,9 @@ def q36(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT image_id, y, x, round_even(CASE WHEN mask THEN sqrt(CAST(s AS DOUBLE)) ELSE 0 END, 6) AS distance FROM d""",
 )
 def q37(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = otsu_mask(spark, sf_dir).select("image_id", "y", "x", F.col("mask").cast("int").alias("mask"))
-    return rounded(on_planes(mask, "mask", distance.distances, "distance", "double"))
+    mask = otsu_mask(spark, sf_dir)
+    far = lines.nearest_sources(mask, IMAGE, ["y", "x"], F.when(~F.col("mask"), 1))
+    return rounded(far.select("image_id", "y", "x", F.sqrt("square").alias("distance")))
 
 
 @query(
@@ -111,7 +112,7 @@ def q38(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q40(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = four_levels(spark, sf_dir).select("image_id", "y", "x", F.when(F.col("label") == 3, 3).otherwise(0).alias("seed"))
-    return on_planes(seeds, "seed", lambda s: distance.expand(s, 2), "label", "int")
+    return lines.expanded(seeds, IMAGE, ["y", "x"], "seed", 2).select("image_id", "y", "x", F.col("seed").cast("int").alias("label"))
 
 
 @query(

@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumispark.kernels import distance, filters, morphology, segmentation
+from lumispark.kernels import filters, segmentation
+from lumispark.operators import lines, runs
 from lumispark.operators import pixels as ops
 from lumispark.plans.workflows import match_nuclei
 from lumispark.queries.images import _FOUR, _MASK, _RUNS, IMAGE, four_levels, otsu_mask, row_runs
@@ -30,10 +31,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def int_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return otsu_mask(spark, sf_dir).select("image_id", "y", "x", F.col("mask").cast("int").alias("mask"))
-
-
 @query(
     "q42_small_objects_and_holes",
     f"""WITH RECURSIVE {PIXELS}, {_MASK}, c AS (SELECT image_id, y * 8 + x AS p, y, x, mask FROM msk),
@@ -43,10 +40,8 @@ def int_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT c.image_id, y, x, CAST(mask AND n >= 3 AS INT) AS without_small, CAST(mask OR n < 3 AS INT) AS without_holes FROM c JOIN m USING (image_id, p) JOIN s USING (image_id, root)""",
 )
 def q42(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def kernel(y, x, mask):
-        return {"y": y, "x": x, "without_small": morphology.without_small(mask > 0, 3)[y, x].astype(int), "without_holes": morphology.without_holes(mask > 0, 3)[y, x].astype(int)}
-
-    return by_image(int_mask(spark, sf_dir), ["mask"], kernel, "y int, x int, without_small int, without_holes int")
+    found = runs.cleaned_masks(otsu_mask(spark, sf_dir), IMAGE, ["y"], F.col("mask"), 3, 3)
+    return found.select("image_id", "y", "x", F.col("without_small").cast("int"), F.col("without_holes").cast("int"))
 
 
 @query("q43_large_objects", f"WITH {PIXELS}, {_RUNS} SELECT image_id, y, x, label FROM run WHERE label > 0 QUALIFY count(*) OVER (PARTITION BY image_id, label) >= 3")
@@ -107,10 +102,10 @@ def q47(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT image_id, y, x, CAST(coalesce(outside > 1 AND outside <= 4, FALSE) AS INT) AS ring, round_even(CASE WHEN mask THEN -sqrt(CAST(inside AS DOUBLE)) ELSE coalesce(sqrt(CAST(outside AS DOUBLE)), 1048576) END, 6) AS signed_distance FROM d""",
 )
 def q48(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def kernel(y, x, mask):
-        return {"y": y, "x": x, "ring": distance.ring(mask > 0, 1, 2)[y, x].astype(int), "signed_distance": distance.signed_distances(mask > 0)[y, x]}
-
-    return rounded(by_image(int_mask(spark, sf_dir), ["mask"], kernel, "y int, x int, ring int, signed_distance double"))
+    both = lines.signed_squares(otsu_mask(spark, sf_dir), IMAGE, ["y", "x"], "mask")
+    ring = F.coalesce((F.col("outside") > 1) & (F.col("outside") <= 4), F.lit(False)).cast("int")
+    signed = F.when(F.col("mask"), -F.sqrt("inside")).otherwise(F.coalesce(F.sqrt("outside"), F.lit(1048576.0)))
+    return rounded(both.select("image_id", "y", "x", ring.alias("ring"), signed.alias("signed_distance")))
 
 
 _PEAKS = f"""{PIXELS}, pk AS (SELECT a.image_id, a.y, a.x, a.v FROM pix a JOIN pix b ON b.image_id = a.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 JOIN (SELECT image_id, min(v) AS low FROM pix GROUP BY 1) m ON m.image_id = a.image_id
@@ -137,7 +132,8 @@ def q50(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT image_id, y, x, CAST(f.y IS NOT NULL AS INT) AS outside FROM msk LEFT JOIN f USING (image_id, y, x)""",
 )
 def q51(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return on_planes(int_mask(spark, sf_dir), "mask", lambda m: morphology.filled_from_corners(m == 0), "outside", "int")
+    flooded = runs.flooded_from_corners(otsu_mask(spark, sf_dir), IMAGE, ~F.col("mask"))
+    return flooded.select("image_id", "y", "x", F.col("outside").cast("int"))
 
 
 @query(
