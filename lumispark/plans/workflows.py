@@ -29,7 +29,9 @@ FAILED = "IMAGE FAILED"
 
 
 def stack_of(part: pd.DataFrame) -> np.ndarray:
-    """(t, z, c, y, x[, sample]) array of an image's planes."""
+    """(t, z, c, y, x[, sample]) array of an image's planes; raises where planes are missing or repeated."""
+    if len(part) != np.prod([part[k].nunique() for k in "tzc"]) or part.duplicated(["t", "z", "c"]).any():
+        raise ValueError(f"{len(part)} planes don't fill their frames, slices and channels")
     shape = [int(part[k].max()) + 1 for k in "tzc"]
     first = part.iloc[0]
     plane = to_array(first["dtype"], first["height"], first["width"], first["samples"], first["data"])

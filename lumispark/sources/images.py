@@ -7,6 +7,8 @@ out are not decoded.
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +53,8 @@ def axes_of(pages: list[tiff.Page], axes: str, sizes: dict[str, int]) -> tuple[i
 def planes(found: DataFrame, axes: str = "tzc", sizes: dict[str, int] | None = None, only: dict[str, set[int]] | None = None) -> tuple[DataFrame, DataFrame]:
     """(planes, status) of files(): one row per page, and one per file with flag "ok" or "IMAGE FAILED".
 
-    axes: the order of pages, slowest first. only: frames, slices or channels to decode."""
+    axes: the order of pages, slowest first. only: frames, slices or channels to decode. A file of which a
+    wanted page can't be decoded gives no plane, so nothing is measured on part of it."""
     sizes, only = sizes or {}, only or {}
 
     def pages_of(pages: list[tiff.Page]) -> Iterator[tuple[int, int, int, tiff.Page]]:
@@ -68,14 +71,15 @@ def planes(found: DataFrame, axes: str = "tzc", sizes: dict[str, int] | None = N
             try:
                 pages = tiff.read_pages(content)
                 tags, (px, py, pz) = tiff.named_tags(pages[0]), tiff.spacing(pages[0])
-                for t, z, c, page in pages_of(pages):
-                    plane = page.array()
-                    yield {
-                        "image_id": name, "path": path, "t": t, "z": z, "c": c, "height": plane.shape[0], "width": plane.shape[1], "samples": plane.shape[2] if plane.ndim > 2 else 1,
-                        "dtype": plane.dtype.str, "data": plane.tobytes(), "px_um": px, "py_um": py, "pz_um": pz, "tags": tags,
-                    }
-            except Exception:  # noqa: BLE001  the status table has the reason
-                continue
+                # all of a file before any of it: a file with one damaged page gives no plane at all
+                whole = [(t, z, c, page.array()) for t, z, c, page in pages_of(pages)]
+            except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error):
+                continue  # the status table has the reason
+            for t, z, c, plane in whole:
+                yield {
+                    "image_id": name, "path": path, "t": t, "z": z, "c": c, "height": plane.shape[0], "width": plane.shape[1], "samples": plane.shape[2] if plane.ndim > 2 else 1,
+                    "dtype": plane.dtype.str, "data": plane.tobytes(), "px_um": px, "py_um": py, "pz_um": pz, "tags": tags,
+                }
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -1,8 +1,10 @@
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from lumispark.plans.workflows import stack_of
 from lumispark.sources import datasource, images, tabular, tiff
 
 
@@ -39,6 +41,24 @@ def test_byte_orders_prediction_and_packing():
         tiff.read_pages(b"PK\3\4 not an image")
 
 
+def test_a_damaged_last_page_leaves_no_plane(spark, tmp_path):
+    whole = tiff.write_stack(stack(np.uint8, (4, 8, 8)), "slices=4")
+    (tmp_path / "good.tif").write_bytes(whole)
+    last = int(tiff._one(tiff.read_pages(whole)[3].tags[tiff.STRIP_OFFSETS]))
+    (tmp_path / "bad.tif").write_bytes(whole.replace(struct.pack("<I", last), struct.pack("<I", len(whole) - 3)))
+    planes, status = images.planes(images.files(spark, str(tmp_path)))
+    assert {r.image_id: r.flag for r in status.collect()} == {"good.tif": "ok", "bad.tif": "IMAGE FAILED"}
+    assert [r.image_id for r in planes.collect()] == ["good.tif"] * 4
+
+
+def test_stacks_with_missing_planes_are_refused():
+    plane = {"t": 0, "c": 0, "dtype": "|u1", "height": 1, "width": 1, "samples": 1, "data": b"x"}
+    rows = pd.DataFrame([plane | {"z": z, "c": c} for z, c in ((0, 0), (0, 1), (1, 0))])
+    with pytest.raises(ValueError):
+        stack_of(rows)
+    assert stack_of(rows[rows["c"] == 0]).shape == (1, 2, 1, 1, 1)
+
+
 def test_files_to_planes_pixels_and_movies(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     data = stack(np.uint8)
