@@ -10,20 +10,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumispark.functions.numbers import clipped, rescaled
-from lumispark.operators.stats import with_group
+from lumispark.operators.selection import percentiles
 
 BINS = 256
 
 
 def rescale_images(pixels: DataFrame, keys: list[str], value: str, out: str, top: int = 255) -> DataFrame:
     """Each image's values from its own range to [0, top], truncated; null for a constant image."""
-    ranged = with_group(pixels, keys, _low=F.min(value), _high=F.max(value))
-    return ranged.withColumn(out, rescaled(F.col(value), F.col("_low"), F.col("_high"), top)).drop("_low", "_high")
+    ranges = pixels.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    return pixels.join(ranges, keys).withColumn(out, rescaled(F.col(value), F.col("_low"), F.col("_high"), top)).drop("_low", "_high")
 
 
 def clip_quantiles(pixels: DataFrame, keys: list[str], value: str, low: float, high: float, out: str) -> DataFrame:
     """Each image's values held between two of its own quantiles."""
-    limits = pixels.groupBy(*keys).agg(F.percentile(value, low).alias("_low"), F.percentile(value, high).alias("_high"))
+    limits = percentiles(pixels, keys, value, {"_low": low, "_high": high})
     return pixels.join(limits, keys).withColumn(out, clipped(F.col(value), F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumispark.operators.selection import ranked_values
+
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """Equi-join on all columns the two have in common."""
@@ -28,12 +30,8 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 
 
 def factorize(df: DataFrame, column: str, code: str) -> DataFrame:
-    """Adds the rank of the column's value among its distinct values, from 0; null for null.
-
-    Distinct values are ranked, not rows: the one ordered task sees each value once.
-    """
-    values = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    codes = values.withColumn(code, (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
+    """Adds the rank of the column's value among its distinct values, from 0; null for null."""
+    codes = ranked_values(df, column, code).withColumn(code, F.col(code).cast("int"))
     return df.join(codes, column, "left").select(*df.columns, code)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumispark.kernels import morphology
 from lumispark.operators import lines, runs
+from lumispark.operators.tiles import by_tile
 from lumispark.operators.tracks import tracks_in_many_frames
 from lumispark.plans.workflows import link_tracks
 from lumispark.queries.images import _FOUR, _MASK, IMAGE, four_levels, otsu_mask
@@ -101,8 +102,8 @@ def q37(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q38(spark: SparkSession, sf_dir: str) -> DataFrame:
     disk = morphology.ball(2, 2)
-    mask = otsu_mask(spark, sf_dir).select("image_id", "y", "x", F.col("mask").cast("int").alias("mask"))
-    return on_planes(mask, "mask", lambda m: morphology.dilate(m, disk) * 2 + morphology.erode(m, disk), "state", "int")
+    mask = otsu_mask(spark, sf_dir).withColumn("mask", F.col("mask").cast("int"))
+    return by_tile(mask, IMAGE, ["y", "x"], ["mask"], lambda m: {"state": morphology.dilate(m, disk) * 2 + morphology.erode(m, disk)}, 2, "state int")
 
 
 @query(

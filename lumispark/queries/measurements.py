@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumispark.functions import classify
 from lumispark.functions.numbers import number_after, sphere_volume
+from lumispark.operators.selection import percentiles
 from lumispark.operators import stats, tables
 from lumispark.operators import tracks as tracking
 from lumispark.queries.standins import TRACKS, table, tracks
@@ -154,8 +155,9 @@ def q09(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = F.col("o_totalprice")
     some = F.when(F.col("o_orderpriority") != "5-LOW", price)
-    out = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(*(F.percentile(price, q / 100).alias(f"p{q}") for q in (10, 50, 95)), F.percentile(some, 0.25).alias("safe"))
-    return rounded(out)
+    orders = table(spark, sf_dir, "orders").select("o_orderpriority", price.cast("double").alias("price"), some.cast("double").alias("some"))
+    out = percentiles(orders, ["o_orderpriority"], "price", {f"p{q}": q / 100 for q in (10, 50, 95)})
+    return rounded(out.join(percentiles(orders, ["o_orderpriority"], "some", {"safe": 0.25}), "o_orderpriority", "left"))
 
 
 @query(

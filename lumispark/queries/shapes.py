@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumispark.kernels import filters, segmentation
 from lumispark.operators import lines, runs
 from lumispark.operators import pixels as ops
+from lumispark.operators.tiles import by_tile, resampled
+from lumispark.operators.watershed import watershed
 from lumispark.plans.workflows import match_nuclei
 from lumispark.queries.images import _FOUR, _MASK, _RUNS, IMAGE, four_levels, otsu_mask, row_runs
 from lumispark.queries.kernels import by_image, on_planes
@@ -59,7 +61,7 @@ def _blurred(source: str, values: list[str], name: str) -> str:
 
 @query("q44_gaussian", f"WITH {PIXELS}, {_blurred('pix', ['v'], 'blur')} SELECT image_id, y, x, round_even(v, 6) AS smooth FROM blur")
 def q44(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(on_planes(pixels(spark, sf_dir), "v", lambda v: filters.gaussian(v, 1.0), "smooth", "double"))
+    return rounded(by_tile(pixels(spark, sf_dir), IMAGE, ["y", "x"], ["v"], lambda v: {"smooth": filters.gaussian(v, 1.0)}, 4, "smooth double"))
 
 
 @query(
@@ -68,7 +70,7 @@ def q44(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM pix WINDOW h AS (PARTITION BY image_id, y ORDER BY x), k AS (PARTITION BY image_id, x ORDER BY y)""",
 )
 def q45(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(on_planes(pixels(spark, sf_dir), "v", filters.laplace, "edge", "double"))
+    return rounded(by_tile(pixels(spark, sf_dir), IMAGE, ["y", "x"], ["v"], lambda v: {"edge": filters.laplace(v)}, 1, "edge double"))
 
 
 @query(
@@ -78,7 +80,7 @@ def q45(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a.image_id, a.y, a.x, round_even(max(b.v + z), 6) AS background FROM t a CROSS JOIN cap JOIN t b ON b.image_id = a.image_id AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL""",
 )
 def q46(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(on_planes(pixels(spark, sf_dir), "v", lambda v: filters.rolling_ball(v, 2), "background", "double"))
+    return rounded(by_tile(pixels(spark, sf_dir), IMAGE, ["y", "x"], ["v"], lambda v: {"background": filters.rolling_ball(v, 2)}, 4, "background double"))
 
 
 @query(
@@ -88,12 +90,7 @@ def q46(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a.image_id, g.y, g.x, round_even((a.v * (1 - sy) + b.v * sy) * (1 - sx) + (c.v * (1 - sy) + d.v * sy) * sx, 6) AS v FROM g JOIN pix a ON a.y = y0 AND a.x = x0 JOIN pix b ON b.image_id = a.image_id AND b.y = y1 AND b.x = x0 JOIN pix c ON c.image_id = a.image_id AND c.y = y0 AND c.x = x1 JOIN pix d ON d.image_id = a.image_id AND d.y = y1 AND d.x = x1""",
 )
 def q47(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def kernel(y, x, plane):
-        small = filters.rescale(plane, (0.75, 0.5))
-        at = np.indices(small.shape).reshape(2, -1)
-        return {"y": at[0], "x": at[1], "v": small.ravel()}
-
-    return rounded(by_image(pixels(spark, sf_dir), ["v"], kernel, "y int, x int, v double"))
+    return rounded(resampled(pixels(spark, sf_dir), IMAGE, ["y", "x"], [0.75, 0.5], "v"))
 
 
 @query(
@@ -144,7 +141,7 @@ def q51(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT image_id, y, x, round_even(0.5 * atan2(2 * axy, axx - ayy), 6) AS angle FROM ten""",
 )
 def q52(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(on_planes(pixels(spark, sf_dir), "v", lambda v: segmentation.orientation(v, 1.0), "angle", "double"))
+    return rounded(by_tile(pixels(spark, sf_dir), IMAGE, ["y", "x"], ["v"], lambda v: {"angle": segmentation.orientation(v, 1.0)}, 5, "angle double"))
 
 
 @query(
@@ -205,3 +202,22 @@ def q55(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = voxels(spark, sf_dir).withColumns({"px_um": F.lit(0.25), "flag": F.lit("None")})
     matched = match_nuclei(grid.filter("cell > 0 OR nucleus > 0"))
     return matched.select(*(_four(c).alias(c) if t == "double" else F.col(c) for c, t in matched.dtypes))
+
+
+@query(
+    "q71_watershed",
+    f"""WITH RECURSIVE {PIXELS}, low AS (SELECT a.image_id, a.y, a.x, a.v, a.v = min(b.v) AS pit FROM pix a JOIN pix b ON b.image_id = a.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY a.image_id, a.y, a.x, a.v),
+    sed AS (SELECT image_id, y * 8 + x AS p, v, CASE WHEN pit THEN row_number() OVER (PARTITION BY image_id, pit ORDER BY y, x) ELSE 0 END AS seed FROM low),
+    e AS (SELECT a.image_id, a.p AS a, b.p AS b, greatest(a.v, b.v) AS top, a.p * 2 + CAST(b.p = a.p + 1 AS INT) AS nth FROM sed a JOIN sed b ON b.image_id = a.image_id AND (b.p = a.p + 8 OR b.p = a.p + 1 AND a.p % 8 < 7)),
+    f(image_id, lab) AS (SELECT image_id, list(seed ORDER BY p) FROM sed GROUP BY 1 UNION ALL
+        SELECT image_id, list_transform(range(64), lambda i: CASE WHEN i = got.p THEN got.seed ELSE lab[i + 1] END) FROM (SELECT f.image_id, f.lab, arg_min(CASE WHEN lab[a + 1] > 0 THEN {{'p': b, 'seed': lab[a + 1]}} ELSE {{'p': a, 'seed': lab[b + 1]}} END, (top, nth)) AS got
+            FROM f JOIN e ON e.image_id = f.image_id AND (lab[a + 1] > 0) <> (lab[b + 1] > 0) GROUP BY f.image_id, f.lab)),
+    r AS (SELECT image_id, lab, unnest(range(64)) AS p FROM f WHERE NOT list_contains(lab, 0))
+    SELECT image_id, CAST(p // 8 AS INT) AS y, CAST(p % 8 AS INT) AS x, CAST(lab[p + 1] AS INT) AS label FROM r""",
+)
+def q71(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Basins of the pixels that are the lowest among their neighbours, flooded over the values."""
+    near = lambda c, other: F.min(c).over(Window.partitionBy("image_id", other).orderBy("x" if other == "y" else "y").rowsBetween(-1, 1))
+    low = pixels(spark, sf_dir).withColumn("_row", near("v", "y")).withColumn("_low", near("_row", "x")).withColumn("pit", F.col("v") == F.col("_low"))
+    nth = F.row_number().over(Window.partitionBy("image_id", "pit").orderBy("y", "x"))
+    return watershed(low.withColumn("seed", F.when(F.col("pit"), nth).otherwise(0)), IMAGE, ["y", "x"], "v", "seed")
