@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lumispark.kernels import filters, segmentation
 from lumispark.operators import lines, runs
 from lumispark.operators import pixels as ops
+from lumispark.operators.hulls import solidities
 from lumispark.operators.tiles import by_tile, resampled
 from lumispark.operators.watershed import watershed
 from lumispark.plans.workflows import match_nuclei
@@ -221,3 +222,22 @@ def q71(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = pixels(spark, sf_dir).withColumn("_row", near("v", "y")).withColumn("_low", near("_row", "x")).withColumn("pit", F.col("v") == F.col("_low"))
     nth = F.row_number().over(Window.partitionBy("image_id", "pit").orderBy("y", "x"))
     return watershed(low.withColumn("seed", F.when(F.col("pit"), nth).otherwise(0)), IMAGE, ["y", "x"], "v", "seed")
+
+
+@query(
+    "q72_solidity",
+    f"""WITH RECURSIVE {PIXELS}, {_MASK}, fg AS (SELECT image_id, y * 8 + x AS p, y, x FROM msk WHERE mask),
+    e AS (SELECT a.image_id, a.p AS a, b.p AS b FROM fg a JOIN fg b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+    r(image_id, p, root) AS (SELECT image_id, p, p FROM fg UNION SELECT e.image_id, e.b, r.root FROM r JOIN e ON e.image_id = r.image_id AND e.a = r.p WHERE r.root < e.b),
+    m AS (SELECT image_id, p, min(root) AS root FROM r GROUP BY ALL), o AS (SELECT image_id, root, p // 8 AS y, p % 8 AS x FROM m),
+    c AS (SELECT image_id, root, y + dy AS y, min(x - dx) AS lo, max(x + dx) AS hi FROM o CROSS JOIN (VALUES (-0.5::DOUBLE, 0.0::DOUBLE), (0.5, 0), (0, 0.5)) AS d(dy, dx) GROUP BY image_id, root, y + dy),
+    h AS (SELECT a.image_id, a.root, t.y, min(CASE WHEN b.y = a.y THEN least(a.lo, b.lo) ELSE a.lo + (b.lo - a.lo) * (t.y - a.y) / (b.y - a.y) END) AS lo, max(CASE WHEN b.y = a.y THEN greatest(a.hi, b.hi) ELSE a.hi + (b.hi - a.hi) * (t.y - a.y) / (b.y - a.y) END) AS hi
+        FROM c a JOIN c b ON b.image_id = a.image_id AND b.root = a.root JOIN (SELECT unnest(range(8)) AS y) t ON a.y <= t.y AND b.y >= t.y GROUP BY ALL),
+    n AS (SELECT image_id, root, sum(floor(hi + 1e-9::DOUBLE) - ceil(lo - 1e-9::DOUBLE) + 1) AS hull FROM h GROUP BY ALL), k AS (SELECT image_id, root, count(*) AS area FROM o GROUP BY ALL)
+    SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY root) AS INT) AS label, area, CAST(hull AS BIGINT) AS hull_area, round_even(area / hull, 6) AS solidity FROM k JOIN n USING (image_id, root)""",
+)
+def q72(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = runs.runs_of(otsu_mask(spark, sf_dir), IMAGE, ["y"], F.when(F.col("mask"), True))
+    found = runs.run_objects(mask, IMAGE, ["y"])
+    labels = runs.object_table(found, IMAGE, ["y"]).select("image_id", "object", "label")
+    return rounded(solidities(found, IMAGE).join(labels, ["image_id", "object"]).select("image_id", "label", "area", "hull_area", "solidity"))
