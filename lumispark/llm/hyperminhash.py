@@ -12,8 +12,8 @@ components, all pairs of the key in different ones are held against each other,
 size: first only to take the best partner of each node, then, when those have joined what is alike,
 to take every pair that is left. What their registers say, less the collisions that compressed
 registers of different shingles have, leaves out pairs six standard deviations below the percentage;
-so does the exact bound that bitmaps of the sets give. Pairs are verified on whole sets, the best of
-each node first, then those still in different components.
+so does the exact bound that bitmaps of the sets give. Pairs are verified on whole sets; of the first
+sieve the best of each node, then those still in different components.
 
 Sets so small that similar ones differ in one shingle at most are linked exactly, without registers:
 one is the other less a shingle, so the names of those meet.
@@ -292,26 +292,37 @@ def hyperminhash_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
         by_key, _ = written(by_key.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHAIN))), "shared-keys")
         small = nodes.select("node", F.explode("less").alias("name")).join(nodes.select(F.col("node").alias("other"), "name"), "name")
         links, _ = written(small.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")), "links")
-        roots, _ = written(components(links, "a", "b"), "roots")
+        roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)  # none known yet
 
-        def joined(pairs: DataFrame) -> None:
-            """Add the similar ones of the pairs to the links and follow up with the components."""
+        def joined(pairs: DataFrame, best_first: bool = False) -> None:
+            """Add the similar ones of the pairs to the links and follow up with the components.
+
+            best_first: the best pair of each node, then what still lies apart; else all pairs at once."""
             nonlocal links, roots
             with scratch(spark) as hold:
                 pairs, _ = written(pairs, "pairs")
+
+                def add(asked: DataFrame) -> None:
+                    nonlocal links, roots
+                    found, path = written(verified(docs, asked, nodes, text_col, shingle, percent), "links")
+                    hold(path)
+                    links = links.unionByName(found)
+                    roots, path = written(components(links, "a", "b"), "roots")
+                    hold(path)
+
+                if not best_first:
+                    if not pairs.isEmpty():
+                        add(pairs)
+                    return
                 ends = pairs.select("estimate", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("end"))
                 best = ends.groupBy("end.node").agg(F.max(F.struct("estimate", "end.other")).alias("best"))
                 first, _ = written(best.select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b")).distinct(), "pairs")
-                for step in (lambda: first, lambda: apart(pairs.join(first, ["a", "b"], "left_anti"), roots)):
-                    asked, _ = written(step(), "pairs")
-                    if not asked.isEmpty():
-                        found, path = written(verified(docs, asked, nodes, text_col, shingle, percent), "links")
-                        hold(path)
-                        links = links.unionByName(found)
-                        roots, path = written(components(links, "a", "b"), "roots")
-                        hold(path)
-
-        joined(sieved(chained(by_key, percent), nodes, percent))
+                add(first)
+                rest, _ = written(apart(pairs.join(first, ["a", "b"], "left_anti"), roots), "pairs")
+                if not rest.isEmpty():
+                    add(rest)
+
+        joined(sieved(chained(by_key, percent), nodes, percent), True)
         joined(across(by_key, nodes, roots, percent, True))
         joined(across(by_key, nodes, roots, percent, False))
         rooted, _ = written(nodes.select("node", "name", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
