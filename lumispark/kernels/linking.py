@@ -65,17 +65,23 @@ def _near(old: np.ndarray, new: np.ndarray, reach: float) -> tuple[np.ndarray, n
     return a[close], b[close], far[close]
 
 
+def chosen(a: list[int], b: list[int], cost: list[float], missing: float) -> list[tuple[int, int]]:
+    """Of candidate pairs (a, b >= 0) the one-to-one choice with the least total cost, an a without a pair costing `missing`."""
+    edges: dict[int, list[tuple[int, float]]] = {}
+    for i, j, c in zip(a, b, cost):
+        edges.setdefault(i, []).append((j, c))
+    wide = max(b, default=-1) + 1
+    rows = list(edges)
+    # a column of its own beyond those of b is a row's missing link
+    columns = least_cost([[*edges[i], (wide + k, missing)] for k, i in enumerate(rows)], wide + len(rows))
+    return [(i, j) for i, j in zip(rows, columns) if j < wide]
+
+
 def match(old: np.ndarray, new: np.ndarray, reach: float) -> list[tuple[int, int]]:
     """One-to-one pairs within reach with the least sum of squares, a missing link costing reach squared."""
     if not len(old) or not len(new):
         return []
-    edges: dict[int, list[tuple[int, float]]] = {}
-    for a, b, far in zip(*(x.tolist() for x in _near(old, new, reach))):
-        edges.setdefault(a, []).append((b, far))
-    rows = list(edges)
-    # a column of its own beyond the points of new is a row's missing link
-    columns = least_cost([[*edges[a], (len(new) + k, reach * reach * 1.0)] for k, a in enumerate(rows)], len(new) + len(rows))
-    return [(a, j) for a, j in zip(rows, columns) if j < len(new)]
+    return chosen(*(x.tolist() for x in _near(old, new, reach)), reach * reach * 1.0)
 
 
 def link(frames: np.ndarray, points: np.ndarray, reach: float = 20.0, memory: int = 2) -> np.ndarray:

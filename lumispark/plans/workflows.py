@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 
 from lumispark.functions import classify
 from lumispark.functions.numbers import hue, sphere_volume
-from lumispark.kernels import linking
 from lumispark.operators import pixels as pixel_ops
-from lumispark.operators import stats, tables, tracks
+from lumispark.operators import links, stats, tables, tracks
 from lumispark.plans import recipes
 from lumispark.sources.images import to_array
 
@@ -231,15 +230,9 @@ def segment_nuclei(planes: DataFrame, red: int = 1, green: int = 3) -> tuple[Dat
     return per_image(own.join(ranges, ["image_id", "c"]), measure, "y int, x int, label int, red boolean, green boolean", ("image_id", "t"))
 
 
-def link_tracks(points: DataFrame, search_range: float = 20.0, memory: int = 2, movie: str = "movie_id") -> DataFrame:
-    """points (movie_id, frame, x, y, ...) with particle: one movie a task, one-to-one between frames."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["frame", "y", "x"], kind="stable")
-        return part.assign(particle=linking.link(part["frame"].to_numpy(), part[["x", "y"]].to_numpy(float), search_range, memory))
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
-    return points.groupBy(movie).applyInPandas(run, f"{kinds}, particle bigint")
+def link_tracks(points: DataFrame, search_range: float = 20.0, memory: int = 2, movie: str = "movie_id", point: str | None = None) -> DataFrame:
+    """points (movie_id, frame, x, y, ...) with particle, the id of its first point: one-to-one between frames."""
+    return links.linked(points, movie, "frame", ("x", "y"), search_range, memory, point)
 
 
 def cycle_tracks(nuclei: DataFrame, n_frames: int, proportion: float = 0.2, search_range: float = 20.0, memory: int = 2) -> DataFrame:

@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumispark.kernels import morphology
 from lumispark.operators import lines, runs
+from lumispark.operators.links import candidates
 from lumispark.operators.tiles import by_tile
 from lumispark.operators.tracks import tracks_in_many_frames
 from lumispark.plans.workflows import link_tracks
@@ -81,7 +82,24 @@ def q35(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q36_linking")
 def q36(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = tracks(spark, sf_dir).select(F.col("event_type").alias("movie_id"), "frame", "event_id", F.col("value").alias("x"), (F.col("label") * 10.0).alias("y"))
-    return link_tracks(points)
+    return link_tracks(points, point="event_id")
+
+
+@query(
+    "q73_clear_links",
+    f"""WITH {TRACKS}, c AS (SELECT a.event_id AS event_id, b.event_id AS next_id FROM trk a JOIN trk b ON a.event_type = b.event_type AND b.frame = a.frame + 1 AND (a.value - b.value) * (a.value - b.value) + (a.label * 10.0::DOUBLE - b.label * 10.0::DOUBLE) * (a.label * 10.0::DOUBLE - b.label * 10.0::DOUBLE) <= 400),
+    k AS (SELECT *, count(*) OVER (PARTITION BY event_id) AS ahead, count(*) OVER (PARTITION BY next_id) AS behind FROM c)
+    SELECT t.event_id, k.next_id FROM trk t LEFT JOIN k USING (event_id) WHERE k.next_id IS NULL OR ahead = 1 AND behind = 1""",
+)
+def q73(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links from frame to frame of the events that leave no choice: one partner that has no other, or none."""
+    points = tracks(spark, sf_dir).select(F.col("event_type").alias("movie_id"), "frame", "event_id", F.col("value").alias("x"), (F.col("label") * 10.0).alias("y"))
+    near = candidates(points, ["movie_id"], "frame", ["x", "y"], "event_id", 20.0, 0)
+    ahead = near.groupBy(F.col("early").alias("event_id")).agg(F.count(F.lit(1)).alias("ahead"), F.max("late").alias("_late"))
+    behind = near.groupBy(F.col("late").alias("_late")).agg(F.count(F.lit(1)).alias("behind"))
+    choice = ahead.join(behind, "_late").filter("ahead > 1 OR behind > 1").select("event_id")
+    following = F.lead("event_id").over(Window.partitionBy("particle").orderBy("frame"))
+    return link_tracks(points, memory=0, point="event_id").select("event_id", following.alias("next_id")).join(choice, "event_id", "left_anti")
 
 
 @query(
