@@ -80,25 +80,35 @@ def linked(points: DataFrame, movie: str = "movie_id", frame: str = "frame", axe
     (None: ids are dealt, and differ between runs). A column called particle is replaced. Points without
     movie, frame or place are particles of their own; of points at one place ties go by id.
 
-    Points that candidates connect, over all frames, can be linked without the rest of the movie. Groups
-    of up to `fit` points go to tasks together; larger ones go frame by frame, where only pairs of one
-    frame need to meet. Neither the results nor what is linked depends on `fit`, and no task holds a
-    movie. The table is kept in the shared folder."""
+    A movie of up to `fit` points goes to a task as it is. In longer ones, points that candidates connect
+    over all frames are linked without the rest of the movie: groups of up to `fit` points go to tasks
+    together; larger ones go frame by frame, where only pairs of one frame need to meet. Results don't
+    depend on `fit`, which bounds what a task holds. The table is kept in the shared folder."""
     spark = points.sparkSession
     fields = [f"_p{k}" for k in range(len(axes))]
     with intermediates(spark) as keep:
         rows = keep(points.drop("particle").withColumn("_id", F.col(point).cast("long") if point else F.monotonically_increasing_id()), "points")
         places = rows.select(F.col(movie).alias("_movie"), F.col(frame).cast("long").alias("_frame"), *(F.col(a).cast("double").alias(f) for a, f in zip(axes, fields)), "_id")
-        near = keep(candidates(places, ["_movie"], "_frame", fields, "_id", reach, memory), "near")
-        nodes = near.select(F.col("early").alias("_id")).union(near.select("late")).distinct()
-        roots = connected(near.select(F.col("early").alias("a"), F.col("late").alias("b")))
-        groups = keep(nodes.join(roots, F.col("_id") == F.col("node"), "left").select("_id", F.coalesce("root", "_id").alias("_group")), "groups")
-        large = keep(groups.groupBy("_group").count().filter(F.col("count") > fit).select("_group"), "large")
-        near_large = near.join(groups.join(large, "_group", "left_semi").select(F.col("_id").alias("early")), "early", "left_semi")
-
-        placed = places.join(groups.join(large, "_group", "left_anti"), "_id")
-        shares = placed.groupBy("_movie").agg(F.ceil(F.count(F.lit(1)) / max(fit, 1)).alias("_shares"))
-        dealt = placed.join(shares, "_movie").withColumn("_share", F.pmod(F.xxhash64("_group"), F.col("_shares")))
+        fit_ = max(fit, 1)
+        real = ["_movie IS NOT NULL AND _frame IS NOT NULL", *(f"{f} IS NOT NULL AND NOT isnan({f})" for f in fields)]
+        places = keep(places.filter(" AND ".join(real)), "places")
+        movies = keep(places.groupBy("_movie").agg(F.count(F.lit(1)).alias("_many")), "movies")
+        dealt = places.join(movies.filter(F.col("_many") <= fit), "_movie").withColumn("_share", F.lit(0).cast("long"))
+        in_turn = None
+        if movies.filter(F.col("_many") > fit).limit(1).count():
+            long_ones = places.join(movies.filter(F.col("_many") > fit).select("_movie"), "_movie", "left_semi")
+            near = keep(candidates(long_ones, ["_movie"], "_frame", fields, "_id", reach, memory), "near")
+            nodes = near.select(F.col("early").alias("_id")).union(near.select("late")).distinct()
+            roots = connected(near.select(F.col("early").alias("a"), F.col("late").alias("b")))
+            groups = keep(nodes.join(roots, F.col("_id") == F.col("node"), "left").select("_id", F.coalesce("root", "_id").alias("_group")), "groups")
+            large = keep(groups.groupBy("_group").count().filter(F.col("count") > fit).select("_group"), "large")
+            placed = long_ones.join(groups.join(large, "_group", "left_anti"), "_id")
+            shares = placed.groupBy("_movie").agg(F.ceil(F.count(F.lit(1)) / fit_).alias("_shares"))
+            cut = placed.join(shares, "_movie").withColumn("_share", F.pmod(F.xxhash64("_group"), F.col("_shares")))
+            dealt = dealt.drop("_many").unionByName(cut.drop("_group", "_shares"))
+            if large.limit(1).count():
+                hard = near.join(groups.join(large, "_group", "left_semi").select(F.col("_id").alias("early")), "early", "left_semi")
+                in_turn = _in_turn(hard, reach, memory, fit, keep)
 
         def run(part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values(["_frame", *reversed(fields), "_id"])
@@ -107,7 +117,7 @@ def linked(points: DataFrame, movie: str = "movie_id", frame: str = "frame", axe
             return pd.DataFrame({"_id": ids, "particle": ids[first][numbers]})
 
         found = dealt.groupBy("_movie", "_share").applyInPandas(run, "_id long, particle long")
-        if large.limit(1).count():
-            found = found.unionByName(_in_turn(near_large, reach, memory, fit, keep).select(F.col("node").alias("_id"), F.col("root").alias("particle")))
+        if in_turn is not None:
+            found = found.unionByName(in_turn.select(F.col("node").alias("_id"), F.col("root").alias("particle")))
         out = rows.join(found, "_id", "left").withColumn("particle", F.coalesce("particle", "_id")).drop("_id")
         return kept(out, "tracks")[0]

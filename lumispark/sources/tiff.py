@@ -11,6 +11,7 @@ from __future__ import annotations
 import struct
 import zlib
 from dataclasses import dataclass, field
+from typing import BinaryIO
 
 import numpy as np
 
@@ -22,11 +23,29 @@ X_RESOLUTION, Y_RESOLUTION, PREDICTOR, SAMPLE_FORMAT, METADATA = 282, 283, 317,
 FIELDS = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 7: ("B", 1), 8: ("h", 2), 9: ("i", 4), 10: ("ii", 8), 11: ("f", 4), 12: ("d", 8)}
 
 
+class Ranges:
+    """A file as bytes of which only the slices that are asked for are read; `bytes_read` adds them up."""
+
+    def __init__(self, file: BinaryIO):
+        self.file, self.bytes_read = file, 0
+        self.size = file.seek(0, 2)
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at: slice) -> bytes:
+        low, high, _ = at.indices(self.size)
+        self.file.seek(low)
+        out = self.file.read(max(0, high - low))
+        self.bytes_read += len(out)
+        return out
+
+
 @dataclass
 class Page:
     tags: dict[int, object]
     order: str
-    data: bytes = field(repr=False)
+    data: bytes | Ranges = field(repr=False)
 
     @property
     def shape(self) -> tuple[int, int]:
@@ -82,37 +101,43 @@ def _unpacked(raw: bytes, compression: int) -> bytes:
     raise ValueError(f"compression {compression}")
 
 
-def read_pages(data: bytes) -> list[Page]:
-    """Directories of a file, in order."""
+def _fields(form: str, data: bytes | Ranges, at: int) -> tuple:
+    return struct.unpack(form, data[at : at + struct.calcsize(form)])
+
+
+def read_pages(data: bytes | Ranges) -> list[Page]:
+    """Directories of a file, in order. Samples are read when a page's array is asked for."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
+    if order is None or _fields(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
-    pages, at, seen = [], struct.unpack(order + "I", data[4:8])[0], set()
+    pages, at, seen = [], _fields(order + "I", data, 4)[0], set()
     while at and at not in seen:
         seen.add(at)
-        (count,) = struct.unpack_from(order + "H", data, at)
+        (count,) = _fields(order + "H", data, at)
+        directory = data[at + 2 : at + 6 + 12 * count]
         tags: dict[int, object] = {}
         for k in range(count):
-            tag, kind, many = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
+            tag, kind, many = struct.unpack_from(order + "HHI", directory, 12 * k)
             if kind not in FIELDS:
                 continue
             code, size = FIELDS[kind]
-            place = at + 10 + 12 * k
+            raw = directory[12 * k + 8 : 12 * k + 12]
             if size * many > 4:
-                (place,) = struct.unpack_from(order + "I", data, place)
+                (place,) = struct.unpack(order + "I", raw)
+                raw = data[place : place + size * many]
             if kind == 2:
-                tags[tag] = data[place : place + many].split(b"\0")[0].decode("latin-1")
+                tags[tag] = raw[:many].split(b"\0")[0].decode("latin-1")
             elif kind in (5, 10):
-                flat = struct.unpack_from(order + code * many, data, place)
+                flat = struct.unpack_from(order + code * many, raw)
                 tags[tag] = tuple(zip(flat[::2], flat[1::2]))
             else:
-                tags[tag] = struct.unpack_from(f"{order}{many}{code}", data, place)
+                tags[tag] = struct.unpack_from(f"{order}{many}{code}", raw)
         pages.append(Page(tags, order, data))
-        (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * count)
+        (at,) = struct.unpack_from(order + "I", directory, 12 * count)
     return pages + _appended(pages, data)
 
 
-def _appended(pages: list[Page], data: bytes) -> list[Page]:
+def _appended(pages: list[Page], data: bytes | Ranges) -> list[Page]:
     """Further planes that follow the only page's samples without directories of their own."""
     text = description(pages[0]) if len(pages) == 1 else ""
     many = int(next((line[7:] for line in text.splitlines() if line.startswith("images=") and line[7:].isdigit()), 1))

@@ -1,3 +1,4 @@
+import os
 import struct
 
 import numpy as np
@@ -111,3 +112,50 @@ def test_a_failed_write_leaves_nothing(tmp_path):
     assert not list((tmp_path / "out").iterdir())
     writer.commit([writer.write(iter([row("a.tif")])), None, writer.write(iter([row("b.tif")]))])
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.tif", "b.tif"]
+
+
+def test_only_the_wanted_pages_are_read(tmp_path):
+    big = np.random.default_rng(0).integers(0, 256, (40, 64, 64)).astype(np.uint8)
+    (tmp_path / "big.tif").write_bytes(tiff.write_stack(big, "slices=10\nchannels=4", 0.5))
+    whole = (tmp_path / "big.tif").stat().st_size
+    with open(tmp_path / "big.tif", "rb") as file:
+        data = tiff.Ranges(file)
+        pages = tiff.read_pages(data)
+        directories = data.bytes_read
+        assert len(pages) == 40 and tiff.spacing(pages[0])[0] == 0.5 and directories < 40 * 200
+        rows = list(datasource.Pages({"only_c": "1", "only_z": "2,3"}).rows(data, datasource.Share("big.tif")))
+    assert [(r[3], r[4]) for r in rows] == [(2, 1), (3, 1)] and rows[1][-1] == big[13].tobytes()
+    assert data.bytes_read - 2 * directories < whole * 2.1 / 40
+
+
+def test_large_files_are_split_and_filtered_twice(spark, tmp_path):
+    datasource.register(spark)
+    (tmp_path / "s.tif").write_bytes(tiff.write_stack(stack(), "slices=3\nchannels=2"))
+    load = spark.read.format("tiff_pages").option("split_bytes", "100")
+    pages = load.load(str(tmp_path))
+    assert pages.rdd.getNumPartitions() > 6 and sorted((r.z, r.c) for r in pages.collect()) == [(z, c) for z in range(3) for c in range(2)]
+    both = pages.filter("c = 1").select("z", "c").union(pages.filter("z = 0").select("z", "c"))
+    assert sorted(map(tuple, both.collect())) == [(0, 0), (0, 1), (0, 1), (1, 1), (2, 1)] and pages.count() == 6
+
+
+def test_a_stream_of_files_reads_each_once_over_restarts(spark, tmp_path):
+    datasource.register(spark)
+    seen, out = tmp_path / "in", tmp_path / "out"
+    seen.mkdir()
+
+    def run():
+        source = spark.readStream.format("tiff_pages").option("log", str(tmp_path / "log")).option("files_a_batch", "2").load(str(seen))
+        query = source.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).start(str(out))
+        query.processAllAvailable()
+        query.stop()
+        return sorted(((r.image_id, r.z, r.flag) for r in spark.read.parquet(str(out)).collect()), key=str)
+
+    pages = lambda name: [(name, z, "ok") for z in range(3)]
+    for name in "abc":
+        (seen / f"{name}.tif").write_bytes(tiff.write_stack(stack(np.uint8, (3, 4, 4)), "slices=3"))
+    assert run() == pages("a.tif") + pages("b.tif") + pages("c.tif")
+    (seen / "0.tif").write_bytes(tiff.write_stack(stack(np.uint8, (3, 4, 4)), "slices=3"))
+    os.utime(seen / "0.tif", (1, 1))  # older than all the others, and first by name
+    (seen / "d.tif").write_bytes(b"II*\0junk")
+    failed = ("d.tif", None, "IMAGE FAILED")
+    assert run() == sorted(pages("0.tif") + pages("a.tif") + pages("b.tif") + pages("c.tif") + [failed], key=str) == run()
