@@ -15,7 +15,7 @@ from lumispark.operators import stats, tables
 from lumispark.plans import workflows
 from lumispark.queries.measurements import _NAMES, _name_table, rounded
 from lumispark.queries.standins import PIXELS, TRACKS, pixels, table
-from lumispark.sources import images, tabular
+from lumispark.sources import datasource, images, tabular
 from lumispark.streaming import crossings
 from lumispark.streaming.runs import shared_path, table_stream, to_end
 
@@ -209,3 +209,22 @@ def q70(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table_stream(spark, f"{sf_dir}/events.parquet")
     cells = events.select(F.col("user_id").alias("label"), F.col("event_id").cast("int").alias("frame"), F.when(F.col("event_type") == "purchase", F.col("value")).alias("mean_av"), F.when(F.col("event_type") == "error", F.col("value")).alias("mean_pi"))
     return to_end(crossings.crossing_events(cells, 100, 60, ("label",)), "crossings")
+
+
+@query("q74_tiff_stream", f"WITH {PIXELS}, f AS (SELECT vec_id, 'movie ' || vec_id // 50 || '.tif' AS image_id, CAST(row_number() OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) - 1 AS INT) AS t FROM embeddings) SELECT f.image_id, t, y, x, v FROM pix JOIN f ON f.vec_id = pix.image_id")
+def q74(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images written as movies of up to 50 frames by the TIFF writer, and the folder streamed to its end."""
+    values = F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda p: p["v"])
+    frames = pixels(spark, sf_dir).groupBy("image_id").agg(values.alias("values"))
+    columns = ["image_id", "path", "t", "z", "c", "height", "width", "samples", "dtype", "data"]
+
+    def planes(batches):
+        for batch in batches:
+            yield type(batch)([(f"movie {r.image_id // 50}.tif", "", r.image_id % 50, 0, 0, 8, 8, 1, "<f8", np.asarray(r.values).tobytes()) for r in batch.itertuples()], columns=columns)
+
+    datasource.register(spark)
+    path = shared_path(spark, "movies")
+    frames.mapInPandas(planes, datasource.SCHEMA).repartition("image_id").write.format("tiff_pages").mode("append").save(path)
+    stream = spark.readStream.format("tiff_pages").option("log", f"{path}-log").load(path)
+    found = to_end(stream, "planes").filter("flag = 'ok'")
+    return images.pixels(found).select("image_id", "t", "y", "x", "v")

@@ -71,7 +71,7 @@ class Pages:
         self.only = {k: {int(v) for v in options[f"only_{k}"].split(",")} for k in "tzc" if options.get(f"only_{k}")}
 
     def found(self) -> list[str]:
-        path = self.options["path"].removeprefix("file://")
+        path = self.options["path"].removeprefix("file://").removeprefix("file:")
         return [path] if os.path.isfile(path) else sorted(glob.glob(os.path.join(path, "**", self.options.get("pattern", "*.tif")), recursive=True))
 
     def rows(self, data: bytes | tiff.Ranges, share: Share) -> Iterator[tuple]:
@@ -112,7 +112,7 @@ class TiffStream(DataSourceStreamReader):
     to one stream and its checkpoint."""
 
     def __init__(self, options: dict[str, str]):
-        self.pages, self.log = Pages(options), options["log"].removeprefix("file://")
+        self.pages, self.log = Pages(options), options["log"].removeprefix("file://").removeprefix("file:")
 
     def initialOffset(self) -> dict:
         return {"batches": 0}
@@ -166,7 +166,7 @@ class TiffWriter(DataSourceWriter):
     task that runs twice leaves one file, and a failed write none; two tasks with one image fail it."""
 
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+        self.path = path.removeprefix("file://").removeprefix("file:")
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         import numpy as np
