@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumispark.kernels import filters, segmentation
-from lumispark.operators import lines, runs
+from lumispark.operators import lines, outlines, runs
 from lumispark.operators import pixels as ops
 from lumispark.operators.hulls import solidities
 from lumispark.operators.tiles import by_tile, resampled
@@ -241,3 +241,19 @@ def q72(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = runs.run_objects(mask, IMAGE, ["y"])
     labels = runs.object_table(found, IMAGE, ["y"]).select("image_id", "object", "label")
     return rounded(solidities(found, IMAGE).join(labels, ["image_id", "object"]).select("image_id", "label", "area", "hull_area", "solidity"))
+
+
+@query("q75_outlines", f"WITH {PIXELS}, k AS (SELECT image_id, y, count(*) FILTER (v > 0) AS n FROM pix GROUP BY ALL) SELECT image_id, CAST(y AS BIGINT) AS y, CAST(0 AS BIGINT) AS x0, CAST(n AS BIGINT) AS x1 FROM k")
+def q75(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each image's counts of positive values as a shape of bars, traced and filled again."""
+    bars = pixels(spark, sf_dir).groupBy("image_id", "y").agg(F.count(F.when(F.col("v") > 0, 1)).alias("n"))
+    shape = bars.select("image_id", "y", F.explode(F.sequence(F.lit(0).cast("long"), "n")).alias("x"))
+    return outlines.filled(outlines.outlines(shape, ["image_id"]), ["image_id"])
+
+
+@query("q76_smoothed_outlines")
+def q76(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same shapes with their outlines smoothed to a mean squared distance of about a tenth."""
+    bars = pixels(spark, sf_dir).groupBy("image_id", "y").agg(F.count(F.when(F.col("v") > 0, 1)).alias("n"))
+    shape = bars.select("image_id", "y", F.explode(F.sequence(F.lit(0).cast("long"), "n")).alias("x"))
+    return outlines.filled(outlines.smoothed(outlines.outlines(shape, ["image_id"]), ["image_id"], s=3.0, knots=16), ["image_id"])
