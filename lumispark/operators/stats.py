@@ -6,9 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Numbers below FINE are summed in whole steps of 1 / COARSE, the rest of each in steps of 1 / (COARSE * MIDDLE).
+FINE, COARSE, MIDDLE = float(1 << 20), float(1 << 12), float(1 << 28)
+
+
+def total(value: Column | str) -> Column:
+    """Sum of a column of numbers, null without any, the same in whatever order the rows come.
+
+    A number is cut into whole steps, which add up without rounding, and a remainder below 2^-40, whose
+    sum is too small for its rounding to show. Numbers of 2^20 or more and those that aren't finite are
+    summed plainly; a group may hold 2^31 rows. For aggregations, not for windows."""
+    number = (F.col(value) if isinstance(value, str) else value).cast("double")
+    steps = F.when(F.abs(number) < FINE, number) * COARSE
+    whole = steps.cast("long")
+    rest = (steps - whole) * MIDDLE
+    middle = rest.cast("long")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    small = (zero(middle) + zero(rest - middle)) / (COARSE * MIDDLE)
+    far = zero(F.when(~(F.abs(number) < FINE), number))
+    return F.when(F.count(number) > 0, far + (zero(whole) / COARSE + small))
+
+
+def mean(value: Column | str) -> Column:
+    """Mean of a column of numbers by their total: a cut-off or a place to round at that it meets exactly
+    is met in every run, whatever the order of rows."""
+    number = F.col(value) if isinstance(value, str) else value
+    return F.try_divide(total(number), F.count(number))
+
+
 def iqr_columns(value: Column, name: str) -> list[Column]:
     """Mean and outer quartiles; nulls are left out, null without a value."""
-    return [F.avg(value).alias(f"mean_{name}"), F.percentile(value, 0.25).alias(f"q1_{name}"), F.percentile(value, 0.75).alias(f"q3_{name}")]
+    return [mean(value).alias(f"mean_{name}"), F.percentile(value, 0.25).alias(f"q1_{name}"), F.percentile(value, 0.75).alias(f"q3_{name}")]
 
 
 def iqr_summary(wide: DataFrame, group: str, wells: list[str]) -> DataFrame:
@@ -29,7 +57,7 @@ def error_bars(summary: DataFrame, name: str) -> DataFrame:
 
 
 def mean_sd(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    return df.groupBy(*groups).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n"))
+    return df.groupBy(*groups).agg(mean(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n"))
 
 
 def box_stats(df: DataFrame, groups: list[str], value: str) -> DataFrame:
@@ -62,5 +90,5 @@ def normalised_profile(df: DataFrame, key: str, distance: str, intensity: str, b
 
 def mean_profile(normalised: DataFrame, group: str, window: int = 2) -> DataFrame:
     """Mean relative intensity by group and position, smoothed within each group."""
-    means = normalised.groupBy(group, "position").agg(F.avg("relative").alias("mean_relative"))
+    means = normalised.groupBy(group, "position").agg(mean("relative").alias("mean_relative"))
     return rolling_mean(means, [group], "position", "mean_relative", window, "smoothed")

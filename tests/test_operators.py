@@ -101,3 +101,11 @@ def test_palettes():
     colours = palette.label_colours(20)
     assert colours[0] == (0.0, 0.0, 0.0, 0.0) and set(range(21)) <= set(colours) and colours == palette.label_colours(20)
     assert palette.wide_shades("#FF0000")[7] != palette.wide_shades("#FF0000")[0]
+
+
+def test_means_do_not_depend_on_the_order_of_rows(spark):
+    """A cut-off that a mean meets exactly is met in every order, also by numbers of very different sizes."""
+    one = frame(spark, [("a", v) for v in (0.1, 0.2, 0.3, -0.3, -0.2, -0.1, 1e-9, 1e-9)] + [("b", 59.99), ("b", 60.01), ("c", None), ("d", float("nan")), ("d", 1.0), ("e", 1e300), ("e", 1e-300)] + [("f", v) for v in (0.1,) * 10] + [("g", -1e-20), ("g", 3.5)], "k string, v double").coalesce(1)
+    for rows in (one.sort("v"), one.sort(F.desc("v")), one.sort(F.abs("v"))):
+        got = {r.k: r.m for r in rows.coalesce(1).groupBy("k").agg(stats.mean("v").alias("m")).collect()}
+        assert got["a"] == 2.5e-10 and got["b"] == 60 and got["c"] is None and np.isnan(got["d"]) and got["e"] == 5e299 and got["f"] == 0.1 and got["g"] == 1.75
