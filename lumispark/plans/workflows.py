@@ -153,7 +153,7 @@ def cell_analytics(nucleus_cell: DataFrame, max_ratio: float = 0.95, radius_um:
     fit = own.filter((F.col("nucleus_cell_volume_ratio") < max_ratio) & (F.col("cell_volume_um") < sphere_volume(radius_um)))
     single = stats.with_group(fit, ["filename", "cell_label"], nuclei=F.count(F.lit(1))).filter("nuclei = 1")
     values = ["nucleus_cell_volume_ratio", "nucleus_volume_um", "cell_volume_um", "cell_roundness", "nucleus_roundness", "sum"]
-    means = single.groupBy("filename").agg(*(F.avg(v).alias(f"mean_{v}") for v in values))
+    means = single.groupBy("filename").agg(*(stats.mean(v).alias(f"mean_{v}") for v in values))
     counts = own.groupBy("filename").agg(F.count(F.lit(1)).alias("number_of_cells"))
     params = own.groupBy("filename", "protein_set", "treatment", "cell_line").agg(F.max("external").alias("external"), F.max("internal").alias("internal"))
     joined = params.join(counts, "filename").join(means, "filename")
@@ -310,7 +310,7 @@ def acinus_summary(acini: DataFrame) -> DataFrame:
     """Mean volume and roundness by key, day and condition of each acinus table row's group, once each."""
     named = acini.withColumn("protein_set", classify.protein_set(F.col("filename")))
     keyed = named.withColumn("key", F.concat("protein_set", F.lit(", well"), F.col("well").cast("string"))).filter(tables.differs(F.col("key"), "Lam_Pax, well1"))
-    means = keyed.groupBy("key", "protein_set", "well", "day", "condition").agg(F.avg("vol_um").alias("mean_vol_um"), F.avg("roundness").alias("mean_roundness"))
+    means = keyed.groupBy("key", "protein_set", "well", "day", "condition").agg(stats.mean("vol_um").alias("mean_vol_um"), stats.mean("roundness").alias("mean_roundness"))
     return tables.factorize(means.filter(tables.differs(F.col("protein_set"), "Ilk")), "key", "key_index")
 
 
