@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumispark.operators.stats import mean, total
+
 
 def long_tracks(df: DataFrame, keys: list[str], n_frames: int, percent: float) -> DataFrame:
     """Rows of labels with more rows than the percentage of all frames (strictly)."""
@@ -68,11 +70,11 @@ def death_curve(
 def brightness(pixels: DataFrame, keys: list[str], value: str, n_mean: int = 20) -> DataFrame:
     """Count, sum, mean and mean of the n brightest values of each group; a group of fewer than n
     counts the missing ones as 0."""
-    sums = pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("area"), F.sum(value).alias("amount"), F.avg(value).alias("mean"))
+    sums = pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("area"), total(value).alias("amount"), mean(value).alias("mean"))
     # a filter on the rank alone, so that tasks keep n values of a group before anything is sent
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(value)))
     top = pixels.select(*keys, value).withColumn("_nth", nth).filter(F.col("_nth") <= n_mean)
-    top = top.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg((F.coalesce(F.sum(value), F.lit(0.0)) / n_mean).alias("top_mean"))
+    top = top.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg((F.coalesce(total(value), F.lit(0.0)) / n_mean).alias("top_mean"))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     return sums.join(top, same).select(*keys, "area", "amount", "mean", "top_mean")
 

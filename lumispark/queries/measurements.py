@@ -85,7 +85,7 @@ def q04(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q05(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = tracks(spark, sf_dir).select("event_id", "label", "frame", "value")
-    props = points.groupBy("label", "frame").agg(F.avg("value").alias("mean"))
+    props = points.groupBy("label", "frame").agg(stats.mean("value").alias("mean"))
     return tracking.positive_labels(points.drop("value"), props, ["label", "frame"], "mean", 60)
 
 
@@ -112,7 +112,7 @@ def q06(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM d WINDOW w AS (PARTITION BY event_type ORDER BY frame ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)""",
 )
 def q07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = tracks(spark, sf_dir).groupBy("event_type", "frame").agg(F.avg("value").alias("m"))
+    daily = tracks(spark, sf_dir).groupBy("event_type", "frame").agg(stats.mean("value").alias("m"))
     return rounded(stats.rolling_mean(daily, ["event_type"], "frame", "m", 2, "smoothed"))
 
 
@@ -128,7 +128,7 @@ def q08(spark: SparkSession, sf_dir: str) -> DataFrame:
     matched = tables.natural_join(tables.natural_join(items, cells), nuclei)
     low, high = F.least("l_discount", "l_tax"), F.greatest("l_discount", "l_tax")
     out = matched.groupBy("s_nationkey", "p_brand").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.try_divide("l_quantity", F.col("p_size"))).alias("mean_ratio"), F.max(F.try_divide(low, high)).alias("max_roundness")
+        F.count(F.lit(1)).alias("n"), stats.mean(F.try_divide("l_quantity", F.col("p_size"))).alias("mean_ratio"), F.max(F.try_divide(low, high)).alias("max_roundness")
     )
     return rounded(out)
 
@@ -170,7 +170,7 @@ def q11(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     fit = items.filter((F.col("l_discount") < 0.95) & (F.col("l_quantity") * 200 < sphere_volume(13)))
     single = stats.with_group(fit, ["l_orderkey", "l_linenumber"], nuclei=F.count(F.lit(1))).filter("nuclei = 1")
-    means = single.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("kept"), F.avg("l_quantity").alias("mean_quantity"), F.avg("l_discount").alias("mean_ratio"))
+    means = single.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("kept"), stats.mean("l_quantity").alias("mean_quantity"), stats.mean("l_discount").alias("mean_ratio"))
     cells = items.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_cells"))  # of all, not of those that fit
     return rounded(means.join(cells, "l_orderkey"))
 
