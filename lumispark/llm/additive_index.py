@@ -3,11 +3,16 @@
 A unit vector is coded as the sum of one codeword from each of several full-dimensional codebooks,
 trained stage by stage on residuals of a bounded sample. Codes come from a beam search that keeps
 the best partial sums at each stage; the norm of the decoded sum is stored with the code. A query
-scores codes with lookup tables of its inner products with the codewords. The best rows over all
-blocks are then joined with their vectors once, and ranked by exact cosines in double precision.
+scores codes with lookup tables of its inner products with the codewords. How far such scores are off
+depends on the rows: 24 codewords say little of 256 even directions, or of rows unlike the sample. So
+what the sum of a row lacks is kept too, as one byte a dimension with the row's scale, a last term of
+the sum. Every row whose score, less than a margin, could reach the best is scored again with it; the
+margin follows from the error of each row and from how such errors show along the query at hand. The
+best rows over all blocks are then joined with their vectors once, and ranked by exact cosines in
+double precision.
 
 The stated queries meet all rows, in blocks: a block of queries and a block of the index meet by an
-equi-join on the block's number. Blocks hold codes of about 28 bytes a row, never vectors, so they
+equi-join on the block's number. Blocks hold codes of 36 bytes a row and one more a dimension, never vectors, so they
 are large and their meetings few; ids are spread over blocks by hash, so a block need only give the
 share of the best rows that can fall to it. No vector is collected and nothing that grows with the
 data is broadcast.
@@ -31,6 +36,10 @@ SAMPLE = 8192
 STAGES, CODEWORDS, BEAM = 24, 256, 4
 #: Rows of an index block, queries of a query block, and candidates of a query ranked exactly.
 BLOCK, QUERY_BLOCK, RERANK = 1 << 18, 1 << 12, 100
+#: Standard deviations of a row's error by which its score may fall short and still be looked at again.
+MARGIN = 4.0
+#: Bytes of an index block, at most about.
+BLOCK_BYTES = 1 << 26
 #: Rows of a block up to which it isn't split for the sake of idle cores.
 LEAST = 1 << 12
 
@@ -103,6 +112,12 @@ class AdditiveCodes:
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return sum(self.codebooks[s][codes[:, s].astype(np.int64)] for s in range(len(self.codebooks)))
 
+    def lacking(self, vectors: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, scales, lengths) of what the decoded sums lack of the vectors: about bytes * scale."""
+        left = np.asarray(vectors, np.float32) - self.decode(codes)
+        scales = np.maximum(np.abs(left).max(axis=1), np.float32(1e-30)) / np.float32(127)
+        return np.rint(left / scales[:, None]).astype(np.int8), scales, np.sqrt((left * left).sum(axis=1))
+
     def scores(self, queries: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
         """Approximate cosines (codes x queries) from lookup tables and stored norms."""
         tables = [np.ascontiguousarray((queries @ book.T).T) for book in self.codebooks]
@@ -130,6 +145,26 @@ def best_rows(scores: np.ndarray, many: int) -> np.ndarray:
     return np.concatenate([above, level[: many - len(above)]])
 
 
+def promising(rough: np.ndarray, query: np.ndarray, norms: np.ndarray, errors: np.ndarray, scales: np.ndarray, fine: np.ndarray, many: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, scores) of the `many` rows of a block with the highest scores by all terms.
+
+    rough: approximate cosines of the sums. Looked at are the best of them, and whichever other row comes
+    within the margin of the k-th best score found in those."""
+    sums = rough * norms
+    whole = lambda rows: sums[rows] + scales[rows] * (fine[rows].astype(np.float32) @ query)
+    some = np.arange(0, len(rough), max(1, len(rough) // 256))
+    off = (whole(some) - sums[some]) / np.maximum(errors[some], np.float32(1e-30))
+    first = best_rows(rough, many)
+    known = whole(first)
+    bound = np.partition(known, max(0, len(known) - k))[max(0, len(known) - k)]
+    may = sums + np.float32(MARGIN * math.sqrt(float((off * off).mean()))) * errors >= bound
+    may[first] = True
+    rows = np.flatnonzero(may)
+    scores = whole(rows)
+    best = best_rows(scores, many)
+    return rows[best], scores[best]
+
+
 def share_of(many: int, blocks: int) -> int:
     """How many of the best `many` rows one of `blocks` blocks may hold: six standard deviations over its share."""
     return min(many, math.ceil(many / blocks + 6 * math.sqrt(many / blocks)) + 10) if blocks > 1 else many
@@ -208,7 +243,8 @@ def nearest_neighbours(
         first = hash_sample(rows.select("vec_id", "vector"), "vec_id", sample).collect()
         model = spark.sparkContext.broadcast(AdditiveCodes.train(np.array([r.vector for r in first], np.float64)))
         counts = rows.agg(F.count(F.lit(1)).alias("all"), F.count_if("asks").alias("asking")).first()
-        block, blocks = _block_of(counts["all"], BLOCK, spark.sparkContext.defaultParallelism)
+        most = min(BLOCK, max(LEAST, BLOCK_BYTES // (lengths[0]["size"] + STAGES + 20)))
+        block, blocks = _block_of(counts["all"], most, spark.sparkContext.defaultParallelism)
         query_block, query_blocks = _block_of(counts["asking"], QUERY_BLOCK, 1)
         give = share_of(rerank + 1, blocks)  # the query itself may be among them
 
@@ -216,8 +252,11 @@ def nearest_neighbours(
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     part = batch.slice(at, 512)
-                    codes, norms = model.value.encode(unit(_matrix(part.column("vector"))).astype(np.float32))
-                    yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("block"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms, pa.float32())], ["vec_id", "block", "codes", "norms"])
+                    plain = unit(_matrix(part.column("vector"))).astype(np.float32)
+                    codes, norms = model.value.encode(plain)
+                    fine, scales, errors = model.value.lacking(plain, codes)
+                    blobs, floats = (pa.array([c.tobytes() for c in x], pa.binary()) for x in (codes, fine)), (pa.array(x, pa.float32()) for x in (norms, scales, errors))
+                    yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("block"), *blobs, *floats], ["vec_id", "block", "codes", "fine", "norms", "scales", "errors"])
 
         def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -226,8 +265,8 @@ def nearest_neighbours(
                     plain = unit(_matrix(part.column("vector"))).astype(np.float32)
                     yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("query_block"), pa.array([v.tobytes() for v in plain], pa.binary())], ["vec_id", "query_block", "units"])
 
-        coded = rows.select("vec_id", "vector", block.alias("block")).mapInArrow(encode, "vec_id long, block int, codes binary, norms float")
-        index, _ = written(_gathered(coded.withColumn("ids", F.col("vec_id")), "block", {"ids": np.int64, "codes": None, "norms": np.float32}), "index")
+        coded = rows.select("vec_id", "vector", block.alias("block")).mapInArrow(encode, "vec_id long, block int, codes binary, fine binary, norms float, scales float, errors float")
+        index, _ = written(_gathered(coded.withColumn("ids", F.col("vec_id")), "block", {"ids": np.int64, "codes": None, "fine": None, "norms": np.float32, "scales": np.float32, "errors": np.float32}), "index")
         asking = rows.filter("asks").select("vec_id", "vector", query_block.alias("query_block")).mapInArrow(units, "vec_id long, query_block int, units binary")
         asked, _ = written(_gathered(asking.withColumn("asked", F.col("vec_id")), "query_block", {"asked": np.int64, "units": None}), "queries")
         # numbers of partitions of our own: the blocks are few and small, but a meeting is much work
@@ -236,17 +275,20 @@ def nearest_neighbours(
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for meeting in range(batch.num_rows):
-                    ids, codes, norms, query_ids, plain = (np.frombuffer(batch.column(c)[meeting].as_buffer(), k) for c, k in (("ids", np.int64), ("codes", np.uint8), ("norms", np.float32), ("asked", np.int64), ("units", np.float32)))
-                    codes, plain = codes.reshape(len(ids), -1), plain.reshape(len(query_ids), -1)
+                    ids, query_ids, codes, fine = (np.frombuffer(batch.column(c)[meeting].as_buffer(), k) for c, k in (("ids", np.int64), ("asked", np.int64), ("codes", np.uint8), ("fine", np.int8)))
+                    norms, scales, errors, plain = (np.frombuffer(batch.column(c)[meeting].as_buffer(), np.float32) for c in ("norms", "scales", "errors", "units"))
+                    codes, fine, plain = codes.reshape(len(ids), -1), fine.reshape(len(ids), -1), plain.reshape(len(query_ids), -1)
                     step = max(1, (1 << 23) // max(1, len(ids)))
                     for at in range(0, len(query_ids), step):
                         rough = model.value.scores(plain[at : at + step], codes, norms)
-                        for query, column in zip(query_ids[at : at + step].tolist(), np.ascontiguousarray(rough.T)):
-                            best = best_rows(column, give)  # ids rise within a block, so equal scores keep the smaller ones
-                            best = best[ids[best] != query]
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), query)), pa.array(ids[best]), pa.array(column[best])], ["query_id", "vec_id", "rough"])
-
-        found = meetings.select("asked", "units", "ids", "codes", "norms").mapInArrow(search, "query_id long, vec_id long, rough float")
+                        for query, vector, column in zip(query_ids[at : at + step].tolist(), plain[at : at + step], np.ascontiguousarray(rough.T)):
+                            # ids rise within a block, so equal scores keep the smaller ones; the query itself may be among them
+                            best, score = promising(column, vector, norms, errors, scales, fine, give, k + 1)
+                            other = ids[best] != query
+                            best, score = best[other], score[other]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), query)), pa.array(ids[best]), pa.array(score)], ["query_id", "vec_id", "rough"])
+
+        found = meetings.select("asked", "units", "ids", "codes", "fine", "norms", "scales", "errors").mapInArrow(search, "query_id long, vec_id long, rough float")
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id"))
         best, _ = written(found.withColumn("place", place).filter(F.col("place") <= rerank).select("query_id", "vec_id"), "candidates")
         pairs = best.join(rows.select("vec_id", "vector"), "vec_id").join(rows.filter("asks").select(F.col("vec_id").alias("query_id"), F.col("vector").alias("asked")), "query_id")

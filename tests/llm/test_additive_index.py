@@ -85,3 +85,13 @@ def test_edges(spark):
             (6, [float("inf"), 1.0], None, None), (7, [0.0, 3.0], None, None), (None, [1.0, 1.0], None, None), (50, [0.0, 0.0], None, None), (1, [2.0, 0.0], None, None), (8, [1.0], None, None), (9, [], None, None)]
     got = nearest_neighbours(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 1, 1.0), (0, 2, 7, 0.0)]
+
+
+def test_recall_on_even_directions(spark, monkeypatch):
+    """256 directions without clusters: 24 codewords alone leave the nearest far down the list."""
+    monkeypatch.setattr(additive_index, "BLOCK", 3000)
+    x = np.random.default_rng(9).normal(size=(6000, 256)).astype(np.float32)
+    rows = [(i, v.tolist(), "r", 1) for i, v in enumerate(x)]
+    got = nearest_neighbours(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 100 == 0, rerank=30, sample=2000).collect()
+    want = brute(rows, 100)
+    assert sum(r.vec_id in dict(want[r.query_id]) for r in got) / 300 > 0.95
