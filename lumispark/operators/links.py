@@ -32,7 +32,7 @@ def candidates(points: DataFrame, keys: list[str], frame: str, axes: list[str],
     moved = points.select(*keys, F.col(frame).cast("long").alias("_frame"), F.col(point).alias("early"), *(a.alias(f"_a{k}") for k, a in enumerate(at)), *(c.alias(f"_c{k}") for k, c in enumerate(cells)), moves.alias("_move"))
     early = moved.select(*keys, (F.col("_frame") + F.col("_move")[0]).alias("late_frame"), "early", *(f"_a{k}" for k in range(len(axes))), *((F.col(f"_c{k}") + F.col("_move")[k + 1]).alias(f"_c{k}") for k in range(len(axes))))
     square = sum((F.col(f"_a{k}") - F.col(f"_b{k}")) * (F.col(f"_a{k}") - F.col(f"_b{k}")) for k in range(len(axes)))
-    met = early.join(late, [*keys, "late_frame", *(f"_c{k}" for k in range(len(axes)))])
+    met = early.join(late.hint("merge"), [*keys, "late_frame", *(f"_c{k}" for k in range(len(axes)))])
     return met.withColumn("square", square).filter(F.col("square") <= reach * reach).select("early", "late", "late_frame", "square")
 
 
@@ -56,12 +56,12 @@ def _in_turn(near: DataFrame, reach: float, memory: int, fit: int, keep: Keep) -
         open_ = pairs.filter(F.col("late_frame") == frame)
         before = [f"{base}/frame={f}" for f in frames if frame - memory <= f < frame]
         if before:
-            open_ = open_.join(spark.read.schema(PAIR).parquet(*before).select("early"), "early", "left_anti")
+            open_ = open_.join(spark.read.schema(PAIR).parquet(*before).select("early").hint("merge"), "early", "left_anti")
         open_ = keep(open_, "open")
         shares = -(-open_.count() // max(fit, 1))
         if shares > 1:
             roots = connected(open_.select(F.col("early").alias("a"), F.col("late").alias("b")))
-            named = open_.join(roots, F.col("early") == F.col("node"), "left").withColumn("_group", F.coalesce("root", "early"))
+            named = open_.join(roots.hint("merge"), F.col("early") == F.col("node"), "left").withColumn("_group", F.coalesce("root", "early"))
             share = F.pmod(F.xxhash64("_group"), F.lit(shares))
         else:
             named, share = open_, F.lit(0)
@@ -100,14 +100,14 @@ def linked(points: DataFrame, movie: str = "movie_id", frame: str = "frame", axe
             near = keep(candidates(long_ones, ["_movie"], "_frame", fields, "_id", reach, memory), "near")
             nodes = near.select(F.col("early").alias("_id")).union(near.select("late")).distinct()
             roots = connected(near.select(F.col("early").alias("a"), F.col("late").alias("b")))
-            groups = keep(nodes.join(roots, F.col("_id") == F.col("node"), "left").select("_id", F.coalesce("root", "_id").alias("_group")), "groups")
+            groups = keep(nodes.join(roots.hint("merge"), F.col("_id") == F.col("node"), "left").select("_id", F.coalesce("root", "_id").alias("_group")), "groups")
             large = keep(groups.groupBy("_group").count().filter(F.col("count") > fit).select("_group"), "large")
-            placed = long_ones.join(groups.join(large, "_group", "left_anti"), "_id")
+            placed = long_ones.join(groups.join(large, "_group", "left_anti").hint("merge"), "_id")
             shares = placed.groupBy("_movie").agg(F.ceil(F.count(F.lit(1)) / fit_).alias("_shares"))
             cut = placed.join(shares, "_movie").withColumn("_share", F.pmod(F.xxhash64("_group"), F.col("_shares")))
             dealt = dealt.drop("_many").unionByName(cut.drop("_group", "_shares"))
             if large.limit(1).count():
-                hard = near.join(groups.join(large, "_group", "left_semi").select(F.col("_id").alias("early")), "early", "left_semi")
+                hard = near.join(groups.join(large, "_group", "left_semi").select(F.col("_id").alias("early")).hint("merge"), "early", "left_semi")
                 in_turn = _in_turn(hard, reach, memory, fit, keep)
 
         def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -119,5 +119,5 @@ def linked(points: DataFrame, movie: str = "movie_id", frame: str = "frame", axe
         found = dealt.groupBy("_movie", "_share").applyInPandas(run, "_id long, particle long")
         if in_turn is not None:
             found = found.unionByName(in_turn.select(F.col("node").alias("_id"), F.col("root").alias("particle")))
-        out = rows.join(found, "_id", "left").withColumn("particle", F.coalesce("particle", "_id")).drop("_id")
+        out = rows.join(found.hint("merge"), "_id", "left").withColumn("particle", F.coalesce("particle", "_id")).drop("_id")
         return kept(out, "tracks")[0]

@@ -1,4 +1,7 @@
-"""Work in rounds: written intermediates, and connected components by hooking and jumping."""
+"""Work in rounds: written intermediates, and connected components by hooking and jumping.
+
+Joins on nodes are by merging: files of ids are far smaller than the ids, so by their size Spark would
+broadcast tables of millions of nodes, and the driver would hold them."""
 
 from __future__ import annotations
 
@@ -50,7 +53,7 @@ def roots_of(parents: DataFrame, keep: Keep) -> DataFrame:
     state = keep(parents.select("node", F.col("parent").alias("root")), "jump")
     while True:
         up = state.select(F.col("node").alias("root"), F.col("root").alias("_up"))
-        moved = state.join(up, "root", "left")
+        moved = state.join(up.hint("merge"), "root", "left")
         if not moved.filter(F.col("_up").isNotNull()).limit(1).count():
             return state
         state = keep(moved.select("node", F.coalesce("_up", "root").alias("root")), "jump")
@@ -68,9 +71,9 @@ def connected(links: DataFrame) -> DataFrame:
         known = now.select(F.col("high").alias("node"), F.col("low").alias("root")).limit(0)
         while now.limit(1).count():
             flat = roots_of(now.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("parent")), keep)
-            moved = known.join(flat.select(F.col("node").alias("root"), F.col("root").alias("_up")), "root", "left")
+            moved = known.join(flat.select(F.col("node").alias("root"), F.col("root").alias("_up")).hint("merge"), "root", "left")
             known = keep(moved.select("node", F.coalesce("_up", "root").alias("root")).unionByName(flat), "roots")
-            of = lambda side: flat.select(F.col("node").alias(side), F.col("root").alias(f"_{side}"))  # noqa: E731, B023
+            of = lambda side: flat.select(F.col("node").alias(side), F.col("root").alias(f"_{side}")).hint("merge")  # noqa: E731, B023
             ends = now.join(of("high"), "high", "left").join(of("low"), "low", "left").select(F.coalesce("_high", "high").alias("a"), F.coalesce("_low", "low").alias("b"))
             now = keep(ends.filter("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct(), "links")
         return kept(known, "components")[0]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lumispark.kernels import linking
-from lumispark.operators import links
+from lumispark.operators import links, rounds
 
 SCHEMA = "movie_id string, frame int, x double, y double, k long, particle string"
 
@@ -53,3 +53,25 @@ def test_pairs_meet_across_cells_and_frames(spark):
     rows = [("m", 0, 19.9, 0.0, 1, ""), ("m", 1, 39.9, 0.0, 2, ""), ("m", 2, -0.1, 0.0, 3, ""), ("m", 3, 19.9, 0.0, 4, ""), ("m", 1, 40.0, 0.0, 5, "")]
     got = {(r.early, r.late) for r in links.candidates(spark.createDataFrame(rows, SCHEMA), ["movie_id"], "frame", ["x", "y"], "k", 20.0, 1).collect()}
     assert got == {(1, 2), (1, 3), (2, 4), (3, 4)}  # not 1 to 4, three frames on, nor 5, too far
+
+
+def no_broadcast(monkeypatch, module, name):
+    """Has each table that `module` writes looked at: joins of what grows may not broadcast."""
+    write, seen = getattr(module, name), []
+
+    def look(df, tag):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        seen.append(tag)
+        assert "BroadcastHashJoin" not in plan or tag in ("points", "places"), (tag, plan)
+        return write(df, tag)
+
+    monkeypatch.setattr(module, name, look)
+    return seen
+
+
+def test_rounds_and_candidates_broadcast_nothing(spark, monkeypatch):
+    seen = no_broadcast(monkeypatch, rounds, "kept")
+    path = spark.range(50).selectExpr("id AS a", "id + 1 AS b")
+    assert {(r.node, r.root) for r in rounds.connected(path).collect()} == {(k, 0) for k in range(1, 51)} and "jump" in seen
+    points = spark.createDataFrame(movie("a", 1, 60, 40), SCHEMA)
+    assert "BroadcastHashJoin" not in links.candidates(points, ["movie_id"], "frame", ["x", "y"], "k", 9.0, 1)._jdf.queryExecution().executedPlan().toString()
