@@ -97,9 +97,9 @@ def q73(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = candidates(points, ["movie_id"], "frame", ["x", "y"], "event_id", 20.0, 0)
     ahead = near.groupBy(F.col("early").alias("event_id")).agg(F.count(F.lit(1)).alias("ahead"), F.max("late").alias("_late"))
     behind = near.groupBy(F.col("late").alias("_late")).agg(F.count(F.lit(1)).alias("behind"))
-    choice = ahead.join(behind, "_late").filter("ahead > 1 OR behind > 1").select("event_id")
+    choice = ahead.join(behind.hint("merge"), "_late").filter("ahead > 1 OR behind > 1").select("event_id")
     following = F.lead("event_id").over(Window.partitionBy("particle").orderBy("frame"))
-    return link_tracks(points, memory=0, point="event_id").select("event_id", following.alias("next_id")).join(choice, "event_id", "left_anti")
+    return link_tracks(points, memory=0, point="event_id").select("event_id", following.alias("next_id")).join(choice.hint("merge"), "event_id", "left_anti")
 
 
 @query(
