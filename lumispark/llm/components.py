@@ -4,7 +4,9 @@ Each round points every node at the smallest neighbour it knows, first among its
 then among its smaller ones; the rounds grow with the logarithm of the longest path. Every round is
 two grouped minima and two joins by key, written to the shared folder, so a lost executor costs one
 round at most and no link ever reaches the driver. The minima are written before they are joined:
-both sides are then plain exchanges, and the many links of a hub can be split over tasks.
+both sides are then plain exchanges, and the many links of a hub can be split over tasks. Joins are
+by merging: files of sorted ids are so much smaller than the ids that Spark would take minima of
+millions of nodes for a table to broadcast, and the driver would hold it.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ def _to_larger(links: DataFrame, used: list[str]) -> DataFrame:
     used.append(path)
     return (
         both.filter(F.col("low") > F.col("high"))
-        .join(best, "high")
+        .join(best.hint("merge"), "high")
         .select(F.col("low").alias("high"), F.col("_best").alias("low"))
         .distinct()
     )
@@ -32,7 +34,7 @@ def _to_smaller(links: DataFrame, used: list[str]) -> DataFrame:
     """Each node and its smaller neighbours linked with the smallest of those."""
     best, path = written(links.groupBy("high").agg(F.min("low").alias("_best")), "least-neighbours")
     used.append(path)
-    moved = links.join(best, "high").filter(F.col("low") != F.col("_best")).select(F.col("low").alias("high"), F.col("_best").alias("low"))
+    moved = links.join(best.hint("merge"), "high").filter(F.col("low") != F.col("_best")).select(F.col("low").alias("high"), F.col("_best").alias("low"))
     return moved.unionByName(best.select("high", F.col("_best").alias("low"))).distinct()
 
 

@@ -94,17 +94,17 @@ def fingerprint_links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     sizes = tables.groupBy("slot").agg(F.count(F.lit(1)).alias("many"))
     probes = fps.select("fp", F.explode(F.concat(_ball(low), F.transform(_ball(high), lambda v: v + own))).alias("slot"))
     alone = (F.col("many") == 1) & ((F.col("slot") == low) | (F.col("slot") == high + own))
-    hits, _ = written(probes.join(sizes, "slot").filter(~alone), "slot-hits")
+    hits, _ = written(probes.join(sizes.hint("merge"), "slot").filter(~alone), "slot-hits")
     filed = tables.withColumnRenamed("fp", "other")
-    pairs = hits.filter(F.col("many") <= hot).join(filed, "slot").select("fp", "other")
+    pairs = hits.filter(F.col("many") <= hot).join(filed.hint("merge"), "slot").select("fp", "other")
 
     def balls(rows: DataFrame, name: str) -> DataFrame:
         first, second = _segments(F.col(name))
         return rows.select(name, "slot", F.explode(_ball(F.when(F.col("slot") < own, second).otherwise(first))).alias("middle"))
 
     crowded = hits.filter(F.col("many") > hot)
-    in_crowd = filed.join(crowded.select("slot").distinct(), "slot", "left_semi")
-    met = balls(crowded.select("fp", "slot"), "fp").join(balls(in_crowd, "other"), ["slot", "middle"]).select("fp", "other")
+    in_crowd = filed.join(crowded.select("slot").distinct().hint("merge"), "slot", "left_semi")
+    met = balls(crowded.select("fp", "slot"), "fp").join(balls(in_crowd, "other").hint("merge"), ["slot", "middle"]).select("fp", "other")
     near = (F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2)
     return pairs.filter(near).unionByName(met.filter(near)).distinct()
 
@@ -123,12 +123,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         keep(path)
         nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
         roots, _ = written(components(fingerprint_links(nodes.select("fp")), "fp", "other"), "roots")
-        # written, so that both sides of the joins are plain exchanges and a hot root or fingerprint can be split
-        rooted, _ = written(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+        # merged, as no table here is small enough for the driver whatever its files weigh; written, so that both sides of the joins are plain exchanges and a hot root or fingerprint can be split
+        rooted, _ = written(nodes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
         least, _ = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-        of, path = written(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "components")
+        of, path = written(rooted.select("fp", "root").join(least.hint("merge"), "root").select("fp", "component_id"), "components")
         keep(path)
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(of.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

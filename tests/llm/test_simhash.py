@@ -113,3 +113,19 @@ def test_edges(spark):
     rows = spark.createDataFrame([(None, "same words here now", None, None), (5, "same words here now", None, None), (5, "same words here now", None, None)], SCHEMA)
     assert [r.component_id for r in near_duplicates(rows).collect()] == [5, 5, 5]
     assert near_duplicates(rows.filter(F.col("doc_id").isNull())).first().component_id is None
+
+
+def test_rounds_broadcast_nothing(spark, monkeypatch):
+    """Files of ids weigh little, but as broadcast tables they would grow with the corpus on the driver."""
+    from lumispark.llm import components as rounds
+    from lumispark.llm import simhash
+
+    def look(df, tag):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString(), tag
+        return write(df, tag)
+
+    write = rounds.written
+    for module in (rounds, simhash):
+        monkeypatch.setattr(module, "written", look)
+    docs = spark.createDataFrame([(k, f"a b c d e f {k // 2}") for k in range(20)], "doc_id long, text string")
+    assert all(r.component_id <= r.doc_id - r.doc_id % 2 for r in simhash.near_duplicates(docs).collect())
