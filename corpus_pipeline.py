@@ -14,10 +14,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumispark.llm.components import components
 from lumispark.llm.exact_dedup import drop_exact_duplicates
-from lumispark.llm.near_copies import drop_near_copies
+from lumispark.llm.near_copies import near_copies
 from lumispark.llm.packing import pack
 from lumispark.llm.shared import drop_path, scratch, written
+from lumispark.llm.simhash import near_duplicates
 from lumispark.llm.suffix_repeats import drop_repeats
 from lumispark.llm.toxicity import drop_toxic, fit_on_labels
 
@@ -38,11 +40,20 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word similarity of 0.8 or more), that with the
-    smallest id.
-
-    Null and empty texts are copies of each other; rows without an id stay. An empty table stays empty."""
-    return drop_near_copies(docs)
+    """One document of each group of near copies, that with the smallest id.
+
+    Near copies are texts whose SimHash fingerprints differ in 2 bits or fewer, and those of five-word
+    similarity of 0.8 or more, most of which lie further apart; groups follow links of both kinds. Null
+    and empty texts are copies of each other; rows without an id, and those that share one, stay. An
+    empty table stays empty."""
+    with scratch(spark) as keep:
+        found = near_duplicates(docs).select("doc_id", "component_id").unionByName(near_copies(docs).select("doc_id", "component_id"))
+        links, _ = written(found.filter("doc_id <> component_id").distinct(), "near-links")
+        roots, _ = written(components(links, "doc_id", "component_id").filter("node <> root"), "near-roots")
+        once = docs.groupBy("doc_id").count().filter("count = 1")
+        dropped, path = written(once.join(roots.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select("doc_id"), "near-dropped")
+        keep(path)
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

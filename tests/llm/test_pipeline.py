@@ -92,3 +92,13 @@ def test_nulls_empty_tables_and_repeated_rows(spark, folder):
 
 def test_it_is_at_the_top():
     assert os.path.dirname(os.path.abspath(pipeline.__file__)) == os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_near_dedup_links_by_simhash_and_by_shingles(spark):
+    """1 and 2 have one fingerprint and a similarity of 31 to 44; 2 and 3 are copies by their shingles, 3 far from 1's."""
+    base = " ".join([f"w{k}" for k in range(31)] * 50)
+    more = base + " " + " ".join(f"x{k}" for k in range(12))
+    rows = [(1, base), (2, more), (3, more + " y0 y1"), (4, "something else that stands alone here"), (None, base), (5, "one of two rows"), (5, "another of two rows")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pipeline.near_dedup(spark, docs, "")
+    assert sorted(r.doc_id or 0 for r in got.collect()) == [0, 1, 4, 5, 5] and got.columns == docs.columns
