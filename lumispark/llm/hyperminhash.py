@@ -8,12 +8,13 @@ too. A pair of similarity s shares a key with probability 1 - (1 - s ** ROWS) **
 but one in ten million pairs do.
 
 Of nodes with one key, each meets the NEIGHBOURS before it; where that leaves a key in several
-components, all pairs of the key in different ones are held against each other, in blocks of bounded
-size: first only to take the best partner of each node, then, when those have joined what is alike,
-to take every pair that is left. What their registers say, less the collisions that compressed
+components, the nodes outside the largest of them are held against all nodes of the key in other
+ones, in blocks of bounded size: first only to take the best partner of each node, then, when those
+have joined what is alike, to take every pair that is left. What their registers say, less the collisions that compressed
 registers of different shingles have, leaves out pairs six standard deviations below the percentage;
 so does the exact bound that bitmaps of the sets give. Pairs are verified on whole sets; of the first
-sieve the best of each node, then those still in different components.
+sieve the best of each node, then those still in different components. Texts
+move once, to write the sets of the nodes that share a key with another.
 
 Sets so small that similar ones differ in one shingle at most are linked exactly, without registers:
 one is the other less a shingle, so the names of those meet.
@@ -40,8 +41,9 @@ BUCKETS, EMPTY = BANDS * ROWS, 0xFFFF
 NEIGHBOURS = 2
 #: Bits of a set's bitmap.
 BITS = 4096
-#: Nodes of a block in which all pairs of a crowded key meet, and of a task in which each meets those before it.
-BLOCK, CHAIN = 256, 4096
+#: Nodes of a block outside the largest component of a crowded key, for how many of those a block of all its
+#: nodes is as large, and nodes of a task in which each meets those before it.
+BLOCK, WIDER, CHAIN = 256, 8, 4096
 _BORROW = np.argsort(np.random.default_rng(1).random((BUCKETS, BUCKETS)), axis=1)
 
 
@@ -175,31 +177,42 @@ def _matrix(held: list[bytes], kind: str = "<u2") -> np.ndarray:
     return np.frombuffer(b"".join(held), kind).reshape(len(held), -1)
 
 
-def across(by_key: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, best: bool) -> DataFrame:
-    """Pairs (a, b, estimate) with a key in common that lie in different components and could be similar.
+def crowded(by_key: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root, minor, asks, one, two): the nodes of keys in several components, dealt into the blocks they meet in.
 
-    best: of each node only the pair with the best estimate in a block. Keys whose nodes were all
-    compared already, or lie in one component, are left. The nodes of a key are dealt into blocks of
-    about BLOCK, and every two blocks meet in a group of their own."""
-    rooted = by_key.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    minor: outside the largest component of the key; asks: here as one of those that meet the others. A block
+    `one` has about BLOCK minor nodes that ask, a block `two` about WIDER times as many of all, and every `one`
+    meets every `two`. A key of one component but for few nodes takes about a row a node. Keys whose nodes were
+    all compared already, or lie in one component, are left."""
+    rooted = by_key.join(roots.hint("merge"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     rooted, _ = written(rooted, "rooted-keys")
-    mixed = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = mixed.filter((F.col("size") > NEIGHBOURS + 1) & (F.col("low") != F.col("high"))).select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    crowd, _ = written(rooted.join(mixed, "key"), "mixed-keys")
-    crowd = crowd.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = crowd.select("key", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    met = met.select("key", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "block", "node", "root")
-    met = met.join(nodes.select("node", "many", "registers", "bits"), "node")
+    parts = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+    mixed = parts.groupBy("key").agg(F.sum("size").alias("size"), F.max(F.struct("size", "root")).alias("main"))
+    mixed = mixed.filter((F.col("size") > NEIGHBOURS + 1) & (F.col("size") > F.col("main.size")))
+    blocks = lambda size, block: F.ceil(size / block).cast("int")
+    mixed = mixed.select("key", F.col("main.root").alias("main"), blocks(F.col("size") - F.col("main.size"), BLOCK).alias("ones"), blocks(F.col("size"), BLOCK * WIDER).alias("twos"))
+    crowd, _ = written(rooted.join(mixed.hint("merge"), "key").withColumn("minor", F.col("root") != F.col("main")), "mixed-keys")
+    place = lambda many: F.pmod(F.xxhash64("node"), F.col(many)).cast("int")
+    each = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    asks = crowd.filter("minor").select("key", "node", "root", "minor", F.lit(True).alias("asks"), place("ones").alias("one"), each("twos").alias("two"))
+    asked = crowd.select("key", "node", "root", "minor", F.lit(False).alias("asks"), each("ones").alias("one"), place("twos").alias("two"))
+    return asks.unionByName(asked)
+
+
+def across(by_key: DataFrame, held: DataFrame, roots: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs (a, b, estimate) with a key in common that lie in different components and could be similar.
+
+    best: of each node only the pair with the best estimate in a block. held: node, many, registers, bits."""
+    met = crowded(by_key, roots).join(held.select("node", "many", "registers", "bits").hint("merge"), "node")
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        one, two = key[1].as_py(), key[2].as_py()
-        node, root, many, block = (table.column(c).to_numpy() for c in ("node", "root", "many", "block"))
+        node, root, many, minor, asks = (table.column(c).to_numpy() for c in ("node", "root", "many", "minor", "asks"))
         held, bits = _matrix(table.column("registers").to_pylist()), _matrix(table.column("bits").to_pylist(), "<u8")
         found: list[tuple[int, int, float]] = []
-        right = np.flatnonzero(block == two)
-        for i in np.flatnonzero(block == one).tolist():
-            those = right[right > i] if one == two else right
-            those = those[(root[those] != root[i]) & (100 * np.minimum(many[those], many[i]) >= percent * np.maximum(many[those], many[i]))]
+        right = np.flatnonzero(~asks)
+        for i in np.flatnonzero(asks).tolist():
+            those = right[(root[right] != root[i]) & (~minor[right] | (node[right] > node[i]))]  # two minor nodes meet once
+            those = those[100 * np.minimum(many[those], many[i]) >= percent * np.maximum(many[those], many[i])]
             those = those[can_reach(bits[i], bits[those], many[i], many[those], percent)]
             if len(those):
                 value, some = estimates(held[i][None], held[those], np.full(len(those), many[i]), many[those])
@@ -214,9 +227,9 @@ def across(by_key: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int,
     return met.groupBy("key", "one", "two").applyInArrow(meet, "a long, b long, estimate double").dropDuplicates(["a", "b"])
 
 
-def sieved(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def sieved(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """pairs (a, b) with their estimate, without those that can't be similar."""
-    of = lambda side: nodes.select(F.col("node").alias(side), F.col("many").alias(f"many_{side}"), F.col("registers").alias(f"held_{side}"), F.col("bits").alias(f"bits_{side}"))
+    of = lambda side: held.select(F.col("node").alias(side), F.col("many").alias(f"many_{side}"), F.col("registers").alias(f"held_{side}"), F.col("bits").alias(f"bits_{side}")).hint("merge")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,23 +244,25 @@ def sieved(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long, estimate double")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    asked, _ = written(asked.join(nodes.select("node", "text_key"), "node"), "asked")
-    text = text_of(text_col)
-    texts = docs.select(F.unhex(F.md5(text)).alias("text_key"), text.cast("binary").alias("text")).join(asked.select("text_key"), "text_key", "left_semi")
+def shingle_sets(docs: DataFrame, nodes: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(node, shingles): the whole sets of nodes (node, text_key)."""
+    text, wanted = text_of(text_col), nodes.select("text_key", "node").hint("merge")
+    texts = docs.select(F.unhex(F.md5(text)).alias("text_key"), text.cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 sets = [shingle_set(t.as_py(), shingle).tobytes() for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("text_key"), pa.array(sets, pa.binary())], ["text_key", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    one = texts.groupBy("text_key").agg(F.min("text").alias("text")).join(wanted, "text_key").select("node", "text")
+    return one.mapInArrow(run, "node long, shingles binary")
+
 
-    one = texts.groupBy("text_key").agg(F.min("text").alias("text"))
-    sets, _ = written(one.mapInArrow(run, "text_key binary, shingles binary").join(asked, "text_key").select("node", "shingles"), "shingle-sets")
-    of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}"))
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar. sets: node, shingles."""
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}")).hint("merge")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,30 +300,39 @@ def hyperminhash_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     with scratch(spark) as keep:
         rows, path = written(signatures(docs, id_col, text_col, shingle, percent, band), "signatures")
         keep(path)
-        sets = rows.filter(F.col("many") > 0).groupBy("name").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), *(F.first(c).alias(c) for c in ("many", "registers", "bits", "keys", "less")))
-        nodes, _ = written(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        some = rows.filter(F.col("many") > 0)
+        one = some.groupBy("name").agg(F.min("doc_id").alias("least"), F.min("text_key").alias("text_key"), *(F.first(c).alias(c) for c in ("many", "keys", "less")))
+        nodes, _ = written(one.withColumn("node", F.monotonically_increasing_id()), "nodes")
         by_key = nodes.select("node", "many", F.explode("keys").alias("key"))
         sizes = by_key.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
-        by_key, _ = written(by_key.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHAIN))), "shared-keys")
+        by_key, _ = written(by_key.join(sizes.hint("merge"), "key").withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CHAIN))), "shared-keys")
+        shared, _ = written(nodes.select("node", "name", "text_key").join(by_key.select("node").distinct().hint("merge"), "node"), "shared-nodes")
+        whole = some.groupBy("name").agg(*(F.first(c).alias(c) for c in ("many", "registers", "bits")))
+        held, _ = written(whole.join(shared.select("name", "node").hint("merge"), "name").select("node", "many", "registers", "bits"), "held")
+        sets, _ = written(shingle_sets(docs, shared, text_col, shingle), "shingle-sets")
         small = nodes.select("node", F.explode("less").alias("name")).join(nodes.select(F.col("node").alias("other"), "name"), "name")
         links, _ = written(small.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")), "links")
         roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)  # none known yet
+        settled = False
 
         def joined(pairs: DataFrame, best_first: bool = False) -> None:
             """Add the similar ones of the pairs to the links and follow up with the components.
 
             best_first: the best pair of each node, then what still lies apart; else all pairs at once."""
-            nonlocal links, roots
+            nonlocal links, roots, settled
             with scratch(spark) as hold:
                 pairs, _ = written(pairs, "pairs")
 
                 def add(asked: DataFrame) -> None:
-                    nonlocal links, roots
-                    found, path = written(verified(docs, asked, nodes, text_col, shingle, percent), "links")
+                    nonlocal links, roots, settled
+                    found, path = written(verified(asked, sets, percent), "links")
                     hold(path)
+                    if settled and found.isEmpty():
+                        return  # the components are as they were
                     links = links.unionByName(found)
                     roots, path = written(components(links, "a", "b"), "roots")
                     hold(path)
+                    settled = True
 
                 if not best_first:
                     if not pairs.isEmpty():
@@ -322,16 +346,16 @@ def hyperminhash_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
                 if not rest.isEmpty():
                     add(rest)
 
-        joined(sieved(chained(by_key, percent), nodes, percent), True)
-        joined(across(by_key, nodes, roots, percent, True))
-        joined(across(by_key, nodes, roots, percent, False))
+        joined(sieved(chained(by_key, percent), held, percent), True)
+        joined(across(by_key, held, roots, percent, True))
+        joined(across(by_key, held, roots, percent, False))
         rooted, _ = written(nodes.select("node", "name", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
         least, _ = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
         of, path = written(rooted.join(least, "root").select("name", "component_id"), "components")
         keep(path)
-    some = rows.filter(F.col("many") > 0).select("doc_id", "many", "name").join(of, "name").select("doc_id", "many", "component_id")
+    found = some.select("doc_id", "many", "name").join(of, "name").select("doc_id", "many", "component_id")
     none = rows.filter(F.col("many") == 0).select("doc_id", "many", F.col("doc_id").alias("component_id"))
-    return some.unionByName(none).select("doc_id", F.col("many").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return found.unionByName(none).select("doc_id", F.col("many").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_hyperminhash_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

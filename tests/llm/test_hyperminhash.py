@@ -119,3 +119,23 @@ def test_bitmaps_never_leave_out_a_similar_pair():
             seen = bool(can_reach(*words, len(a), len(b), 80))
             assert seen or 100 * both < 80 * (len(a) + len(b) - both)
             assert not can_reach(words[0], np.frombuffer(bitmap(extra), "<u8"), len(a), len(extra), 80) or n == 9000
+
+
+def test_a_crowded_key_of_one_component_takes_about_a_row_a_node(spark):
+    many, lone = 20_000, 5
+    by_key = spark.range(many).selectExpr("id AS node", "7L AS key")
+    roots = spark.range(lone, many).selectExpr("id AS node", f"{lone}L AS root")
+    met = module.crowded(by_key, roots)
+    assert met.filter("NOT asks").count() == many  # blocks of equal size would take a row a node and block
+    assert met.filter("asks").count() == lone * -(-many // (module.BLOCK * module.WIDER))
+
+
+def test_of_two_blocks_each_pair_meets_once(spark, monkeypatch):
+    monkeypatch.setattr(module, "BLOCK", 4)
+    monkeypatch.setattr(module, "WIDER", 2)
+    root = lambda n: n if n < 30 else 30
+    by_key = spark.range(60).selectExpr("id AS node", "7L AS key")
+    roots = spark.createDataFrame([(n, root(n)) for n in range(60)], "node long, root long")
+    rows = [r.asDict() for r in module.crowded(by_key, roots).collect()]
+    met = [tuple(sorted((a["node"], b["node"]))) for a in rows if a["asks"] for b in rows if not b["asks"] and (a["one"], a["two"]) == (b["one"], b["two"]) and a["root"] != b["root"] and (not b["minor"] or b["node"] > a["node"])]
+    assert sorted(met) == [(a, b) for a in range(60) for b in range(a + 1, 60) if root(a) != root(b)]
