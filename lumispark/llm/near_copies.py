@@ -88,13 +88,19 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(run, "doc_id long, node long, many long, keys array<long>, orders array<long>, bits array<long>")
 
 
-def candidates(nodes: DataFrame, bound: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) near each other in a key's order whose sizes allow the bound."""
+def neighbours(nodes: DataFrame) -> DataFrame:
+    """(node, many, before): the NEIGHBOURS before each node of a key that others share, in the key's order."""
     by_key = nodes.select("node", "many", "orders", F.posexplode("keys").alias("band", "key"))
     by_key = by_key.select("node", "many", "key", F.col("orders")[F.col("band") % 2].alias("order"))
     over = Window.partitionBy("key").orderBy("order", "node")
     before = F.array_compact(F.array(*(F.lag(F.struct("node", "many"), k).over(over) for k in range(1, NEIGHBOURS + 1))))
-    pairs = by_key.select("node", "many", before.alias("before")).select("node", "many", F.explode("before").alias("other"))
+    placed = by_key.select("node", "many", before.alias("before"), F.lead("node").over(over).alias("_after"))
+    return placed.filter((F.size("before") > 0) | F.col("_after").isNotNull()).select("node", "many", "before")
+
+
+def candidates(near: DataFrame, bound: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of neighbours whose sizes allow the bound."""
+    pairs = near.select("node", "many", F.explode("before").alias("other"))
     fits = F.least("many", "other.many") >= F.greatest("many", "other.many") * (bound - 1e-9)
     return pairs.filter(fits).select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).distinct()
 
@@ -129,9 +135,8 @@ def across(nodes: DataFrame, roots: DataFrame, bound: float = SIMILARITY) -> Dat
     return one.join(two, same & different & sizes & fits).select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).distinct()
 
 
-def links(docs: DataFrame, pairs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, bound: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose texts' similarity is the bound or more."""
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def shingle_sets(docs: DataFrame, asked: DataFrame, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(node, shingles): the whole sets of the asked nodes, written once."""
     texts = docs.select(F.xxhash64(text_of(text_col)).alias("node"), text_of(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +144,19 @@ def links(docs: DataFrame, pairs: DataFrame, text_col: str = "text", shingle: in
             sets = [shingle_set(t.as_py(), shingle).view(np.int64) for t in part.column("text")]
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    sets, _ = written(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(run, "node long, shingles array<long>"), "shingle-sets")
-    of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}"))
+    one = texts.join(asked.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+    return written(one.mapInArrow(run, "node long, shingles array<long>"), "shingle-sets")[0]
+
+
+def links(docs: DataFrame, pairs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, bound: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose texts' similarity is the bound or more."""
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    return similar(pairs, shingle_sets(docs, asked, text_col, shingle), bound)
+
+
+def similar(pairs: DataFrame, sets: DataFrame, bound: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose similarity is the bound or more. sets: node, shingles."""
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}")).hint("merge")
     both = F.size(F.array_intersect("of_a", "of_b"))
     alike = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", both.alias("both"), (F.size("of_a") + F.size("of_b")).alias("many"))
     return alike.filter(F.col("both") >= (F.col("many") - F.col("both")) * F.lit(bound - 1e-9)).select("a", "b")
@@ -158,11 +174,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows, path = written(signatures(docs, id_col, text_col, shingle), "signatures")
         keep(path)
         nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.any_value(c).alias(c) for c in ("many", "keys", "orders", "bits")))
-        pairs, _ = written(candidates(nodes, bound), "candidates")
-        found, _ = written(links(docs, pairs, text_col, shingle, bound), "near-links")
+        near, _ = written(neighbours(nodes), "neighbours")
+        # texts move once: both rounds ask for texts that share a key only
+        sets = shingle_sets(docs, near.select("node").distinct(), text_col, shingle)
+        pairs, _ = written(candidates(near, bound), "candidates")
+        found, _ = written(similar(pairs, sets, bound), "near-links")
         roots, _ = written(components(found, "a", "b"), "roots")
         pairs, _ = written(across(nodes, roots, bound), "candidates")
-        more, _ = written(links(docs, pairs, text_col, shingle, bound), "near-links")
+        more, _ = written(similar(pairs, sets, bound), "near-links")
         if not more.isEmpty():
             roots, _ = written(components(found.unionByName(more), "a", "b"), "roots")
         rooted, _ = written(rows.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")

@@ -97,3 +97,10 @@ def test_a_crowd_that_shares_its_keys_loses_no_link(spark, monkeypatch):
     by_node = {r.node: r.doc_id for r in nodes.collect()}
     found = {frozenset((by_node[r.a], by_node[r.b])) for r in module.links(frame, pairs).collect()}
     assert found == {frozenset(p) for p in want.items() if p[0] != p[1]}
+
+
+def test_texts_are_read_for_their_sets_once(spark, rows, monkeypatch):
+    asked, whole = [], module.shingle_sets
+    monkeypatch.setattr(module, "shingle_sets", lambda docs, nodes, *more: asked.append(nodes.count()) or whole(docs, nodes, *more))
+    found = near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.count() and len(asked) == 1 and asked[0]
