@@ -18,6 +18,22 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataF
     return left.join(right, shared, how)
 
 
+#: Rows of the right table in a part of with_and_without.
+PART_ROWS = 1 << 20
+
+
+def with_and_without(left: DataFrame, right: DataFrame, key: str, side: str, present: str, absent: str) -> DataFrame:
+    """left with a column that says whether its key occurs in right (key); a null key doesn't.
+
+    Both answers come from one merge join with the different keys, in parts whose number follows the rows
+    of the larger table, so what a task holds doesn't grow with them, and no table is held for a broadcast."""
+    keys = right.select(key).filter(F.col(key).isNotNull())
+    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-max(left.count(), keys.count()) // PART_ROWS))
+    known = keys.repartition(parts, key).distinct().withColumn(side, F.lit(present))
+    met = left.repartition(parts, key).join(known.hint("merge"), key, "left")
+    return met.select(*left.columns, F.coalesce(F.col(side), F.lit(absent)).alias(side))
+
+
 def union_all(*parts: DataFrame) -> DataFrame:
     """Rows of all parts by column name; columns that a part lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

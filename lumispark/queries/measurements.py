@@ -263,8 +263,7 @@ def q15(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q16(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "5-LOW")).select("o_orderkey", "o_orderpriority")
-    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return some.join(items, "o_orderkey", "left_semi").withColumn("side", F.lit("with items")).unionByName(some.join(items, "o_orderkey", "left_anti").withColumn("side", F.lit("without")))
+    return tables.with_and_without(some, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "side", "with items", "without")
 
 
 @query(

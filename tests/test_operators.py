@@ -109,3 +109,12 @@ def test_means_do_not_depend_on_the_order_of_rows(spark):
     for rows in (one.sort("v"), one.sort(F.desc("v")), one.sort(F.abs("v"))):
         got = {r.k: r.m for r in rows.coalesce(1).groupBy("k").agg(stats.mean("v").alias("m")).collect()}
         assert got["a"] == 2.5e-10 and got["b"] == 60 and got["c"] is None and np.isnan(got["d"]) and got["e"] == 5e299 and got["f"] == 0.1 and got["g"] == 1.75
+
+
+def test_both_sides_of_a_key_come_from_one_join_in_parts_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(tables, "PART_ROWS", 50)
+    left = spark.createDataFrame([(k if k else None, f"r{k}") for k in range(2000)], "key long, name string")
+    right = spark.createDataFrame([(k,) for k in range(0, 3000, 3) for _ in range(3)] + [(None,)], "key long")
+    found = tables.with_and_without(left, right, "key", "side", "in", "out")
+    assert sorted((r.name, r.side) for r in found.collect()) == sorted((f"r{k}", "in" if k and k % 3 == 0 else "out") for k in range(2000))
+    assert found.rdd.getNumPartitions() == 60 and "Broadcast" not in found._jdf.queryExecution().toString()
