@@ -2,13 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Pieces of the spline, and the range of penalties that are tried.
-KNOTS, PENALTIES = 64, (1e-9, 1e12)
+#: Pieces of the spline, the range of penalties that are tried, and objects that are solved together.
+KNOTS, PENALTIES, TOGETHER = 64, (1e-9, 1e12), 256
+
+
+def _streamed(rows: DataFrame, keys: list[str], order: list[str], run: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """What run gives for the objects of the sorted rows: whole objects as they come, and where each begins.
+
+    A task holds one batch and the object it ends in; an object costs no call of its own."""
+
+    def tell(parts: list[pd.DataFrame], begins: np.ndarray) -> pd.DataFrame:
+        return run(pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0].reset_index(drop=True), begins)
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # of one object
+        for batch in batches:
+            if not len(batch):
+                continue
+            whole = pd.concat([held[-1].iloc[-1:], batch]) if held else batch
+            before, own = whole[keys].iloc[:-1].reset_index(drop=True), whole[keys].iloc[1:].reset_index(drop=True)
+            new = np.flatnonzero(~((before == own) | (before.isna() & own.isna())).all(axis=1).to_numpy()) + (0 if held else 1)
+            if len(new):
+                size = sum(map(len, held))
+                first = [0] if size or new[0] else []
+                done = [*held, batch.iloc[: new[-1]]]
+                yield tell([d for d in done if len(d)], np.concatenate([first, new[:-1] + size]).astype(np.int64))
+                held = [batch.iloc[new[-1] :]]
+            else:
+                held.append(batch)
+        if held:
+            yield tell(held, np.zeros(1, np.int64))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(stream, schema)
 
 
 def _walk(y: np.ndarray, x: np.ndarray, side: np.ndarray) -> np.ndarray:
@@ -42,15 +74,17 @@ def outlines(pixels: DataFrame, keys: list[str]) -> DataFrame:
     each = pixels.select(*keys, y.alias("y"), x.alias("x")).distinct().select(*keys, "y", "x", edges.alias("e"))
     lone = each.groupBy(*keys, "e.up", "e.a", "e.b").agg(F.count(F.lit(1)).alias("_n"), *(F.min(c).alias(n) for c, n in (("y", "y"), ("x", "x"), ("e.side", "side")))).filter("_n = 1")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["y", "x", "side"])
-        path = part.iloc[_walk(part["y"].to_numpy(), part["x"].to_numpy(), part["side"].to_numpy())]
+    def run(part: pd.DataFrame, begins: np.ndarray) -> pd.DataFrame:
+        own_y, own_x, own_side = (part[c].to_numpy() for c in ("y", "x", "side"))
+        walks = [_walk(own_y[a:b], own_x[a:b], own_side[a:b]) + a for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(part)])]
+        path = part.iloc[np.concatenate(walks)]
         s = path["side"].to_numpy()
         middle = {"y": path["y"] + np.array([-0.5, 0, 0.5, 0])[s], "x": path["x"] + np.array([0, 0.5, 0, -0.5])[s]}
-        return path[keys].assign(nth=np.arange(len(path)), **middle)
+        return path[keys].assign(nth=np.concatenate([np.arange(len(w)) for w in walks]), **middle)
 
     kinds = {f.name: f.dataType.simpleString() for f in pixels.schema}
-    return lone.select(*keys, "y", "x", "side").groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", nth int, y double, x double")
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", nth int, y double, x double"
+    return _streamed(lone.select(*keys, "y", "x", "side"), keys, ["y", "x", "side"], run, schema)
 
 
 def _following(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,25 +102,32 @@ def _weights(f: Column) -> list[Column]:
 def fitted(sums: np.ndarray, sides: np.ndarray, square: float, s: float) -> tuple[np.ndarray, float]:
     """(coefficients, sum of squared residuals) of the smoothest closed curve whose residual is s.
 
-    sums, sides: normal matrix and right sides of the points around their mean, square their squared sum.
+    sums, sides: normal matrix and right sides of the points around their mean, square their squared sum."""
+    c, residual = fitted_all(sums[None], sides[None], np.array([square]), s)
+    return c[0], float(residual[0])
+
+
+def fitted_all(sums: np.ndarray, sides: np.ndarray, square: np.ndarray, s: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many curves of as many knots.
+
     The penalty is on second differences; the residual rises with it, so it is found by bisection. Where
     even the least penalty leaves more than s, or the largest less, that end is taken."""
-    many = len(sums)
+    curves, many = sums.shape[:2]
     bend = np.eye(many) * -2 + np.roll(np.eye(many), 1, axis=0) + np.roll(np.eye(many), -1, axis=0)
     bend = bend.T @ bend
 
-    def at(log: float) -> tuple[np.ndarray, float]:
-        c = np.linalg.solve(sums + 10.0**log * bend, sides)
-        return c, float(square - 2 * (c * sides).sum() + (c * (sums @ c)).sum())
+    def at(log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = np.linalg.solve(sums + 10.0 ** log[:, None, None] * bend, sides)
+        return c, square - 2 * (c * sides).reshape(curves, -1).sum(axis=1) + (c * (sums @ c)).reshape(curves, -1).sum(axis=1)
 
-    low, high = np.log10(PENALTIES)
-    if at(low)[1] >= s:
-        return at(low)
-    if at(high)[1] <= s:
-        return at(high)
+    low, high = (np.full(curves, np.log10(p)) for p in PENALTIES)
+    least, most = at(low)[1] >= s, at(high)[1] <= s
+    low, high = np.where(most & ~least, high, low), np.where(least, low, high)
     for _ in range(60):
         middle = (low + high) / 2
-        low, high = (middle, high) if at(middle)[1] < s else (low, middle)
+        under = at(middle)[1] < s
+        fixed = least | most
+        low, high = np.where(under & ~fixed, middle, low), np.where(under | fixed, high, middle)
     return at(low)
 
 
@@ -111,19 +152,30 @@ def smoothed(points: DataFrame, keys: list[str], s: float = 5000.0, knots: int =
     right = [F.sum(w[a] * F.col(c)) for a in range(4) for c in "yx"]
     sums = based.groupBy(*keys, "_my", "_mx", "_n", "piece").agg(F.array(*products).alias("a"), F.array(*right).alias("b"), F.sum(F.col("y") * F.col("y") + F.col("x") * F.col("x")).alias("q"))
 
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("piece")  # sums in one order, whatever came first
-        matrix, sides = np.zeros((knots, knots)), np.zeros((knots, 2))
-        for piece, a, b in zip(part["piece"], part["a"], part["b"]):
-            own = (piece + np.arange(4)) % knots
-            np.add.at(matrix, (own[:, None], own[None, :]), np.reshape(a, (4, 4)))
-            np.add.at(sides, own, np.reshape(b, (4, 2)))
-        c, residual = fitted(matrix, sides, float(part["q"].sum()), s)
-        first = part.iloc[:1]
-        return first[keys].assign(many=int(first["_n"].iloc[0]), cy=[(c[:, 0] + first["_my"].iloc[0]).tolist()], cx=[(c[:, 1] + first["_mx"].iloc[0]).tolist()], residual=residual)
+    def solve(part: pd.DataFrame, begins: np.ndarray) -> pd.DataFrame:
+        first = part.iloc[begins].reset_index(drop=True)
+        object_of = np.repeat(np.arange(len(begins)), np.diff([*begins.tolist(), len(part)]))
+        own = (part["piece"].to_numpy()[:, None] + np.arange(4)) % knots
+        a, b = (np.array(part[c].tolist(), np.float64) for c in "ab")
+        many, coefficients, residuals = len(begins), [], []
+        square = np.zeros(many)
+        np.add.at(square, object_of, part["q"].to_numpy())
+        for at in range(0, many, TOGETHER):
+            those = (object_of >= at) & (object_of < at + TOGETHER)
+            k, to = object_of[those] - at, own[those]
+            matrix, sides = np.zeros((min(TOGETHER, many - at), knots, knots)), np.zeros((min(TOGETHER, many - at), knots, 2))
+            np.add.at(matrix, (k[:, None, None], to[:, :, None], to[:, None, :]), a[those].reshape(-1, 4, 4))
+            np.add.at(sides, (k[:, None], to), b[those].reshape(-1, 4, 2))
+            c, residual = fitted_all(matrix, sides, square[at : at + TOGETHER], s)
+            coefficients.append(c)
+            residuals.append(residual)
+        c = np.concatenate(coefficients)
+        places = {f"c{axis}": (c[:, :, k] + first[f"_m{axis}"].to_numpy()[:, None]).tolist() for k, axis in enumerate("yx")}
+        return first[keys].assign(many=first["_n"].astype(int), **places, residual=np.concatenate(residuals))
 
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
-    curves = sums.groupBy(*keys).applyInPandas(solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", many int, cy array<double>, cx array<double>, residual double")
+    # sums in one order, whatever came first
+    curves = _streamed(sums, keys, ["piece"], solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", many int, cy array<double>, cx array<double>, residual double")
     spread = curves.withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
     at = F.col("nth") / F.col("many") * knots
     piece, pieces = F.floor(at).cast("int"), _weights(at - F.floor(at))

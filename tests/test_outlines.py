@@ -1,6 +1,7 @@
 """Outlines: traced, smoothed and filled again, against plain shapes."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lumispark.operators import outlines
@@ -104,3 +105,22 @@ def test_q76_equals_a_plain_spline_of_each_outline(spark, tmp_path):
                 want |= {(i, gy, gx)} if sum((a[0] <= gy) != (c[0] <= gy) and gx < a[1] + (gy - a[0]) * (c[1] - a[1]) / (c[0] - a[0]) for a, c in ends) % 2 else set()
     got = {(r.image_id, r.y, x) for r in queries()["q76_smoothed_outlines"](spark, str(tmp_path)).collect() for x in range(r.x0, r.x1 + 1)}
     assert got == want and {i for i, *_ in got} == set(vectors)
+
+
+def test_objects_are_streamed_whole_in_few_calls(spark):
+    calls, rows = spark.sparkContext.accumulator(0), [(None if k == 3 else k, n) for k in range(40) for n in range(1 + k % 7)] + [(99, n) for n in range(500)]
+
+    def run(part, begins):
+        calls.add(1)
+        ends = [*begins[1:].tolist(), len(part)]
+        return pd.DataFrame({"key": part["key"].to_numpy()[begins], "many": np.array(ends) - begins, "right": [part["n"].iloc[a:b].tolist() == list(range(b - a)) for a, b in zip(begins.tolist(), ends)]})
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 60)
+        made = spark.createDataFrame(rows, "key long, n long").repartition(1)
+        got = outlines._streamed(made, ["key"], ["n"], run, "key double, many long, right boolean").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((-1 if r.key is None else int(r.key), r.many) for r in got) == sorted([(-1 if k == 3 else k, 1 + k % 7) for k in range(40)] + [(99, 500)])
+    assert all(r.right for r in got) and calls.value < 41
