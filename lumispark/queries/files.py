@@ -176,8 +176,7 @@ def q67(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = images.stack_files(rows.mapInPandas(planes, images.PLANE), "spacing=1.5\n")
     found = written.select(F.col("image_id").alias("path"), F.col("image_id").alias("filename"), "content")
     read, _ = images.planes(found, only={"c": {1}})
-    sizes = read.select("image_id", "z", "px_um", "pz_um")
-    return images.pixels(read).join(sizes, ["image_id", "z"]).select("image_id", "z", "c", "y", "x", "v", "px_um", "pz_um")
+    return images.pixels(read, ("px_um", "pz_um")).select("image_id", "z", "c", "y", "x", "v", "px_um", "pz_um")
 
 
 @query("q68_csv_round_trip", "SELECT 'supplier ' || l_suppkey AS identifier, l_linenumber AS frame, CAST(l_orderkey AS INT) AS label, CAST(l_partkey AS BIGINT) AS area, l_quantity AS amount_av, l_extendedprice AS amount_pi, l_discount AS mean_av, CASE WHEN l_returnflag <> 'N' THEN l_tax END AS mean_pi FROM lineitem")

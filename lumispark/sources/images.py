@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -119,18 +120,21 @@ def _stacked(parts: list[dict[str, np.ndarray]]) -> pd.DataFrame:
     return pd.DataFrame({k: np.concatenate([p[k] for p in parts]) for k in parts[0]})
 
 
-def pixels(planes_of: DataFrame) -> DataFrame:
-    """One row per pixel and sample: (image_id, t, z, c, y, x, v); samples of one page count as channels."""
+def pixels(planes_of: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row per pixel and sample: (image_id, t, z, c, y, x, v) and the plane's carried columns of doubles;
+    samples of one page count as channels."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            held, size = [], 0
+            held, size, shape = [], 0, None
             for row in batch.itertuples(index=False):
                 plane = np.frombuffer(row.data, row.dtype).reshape(row.height, row.width, row.samples)
-                y, x, s = (i.ravel() for i in np.indices(plane.shape))
+                if plane.shape != shape:
+                    shape = plane.shape
+                    y, x, s = (i.ravel() for i in np.indices(shape))
                 many = plane.size
                 head = {"image_id": np.full(many, row.image_id, object), "t": np.full(many, row.t), "z": np.full(many, row.z), "c": row.c + s if row.samples > 1 else np.full(many, row.c)}
-                held.append(head | {"y": y, "x": x, "v": plane.ravel().astype(float)})
+                held.append(head | {"y": y, "x": x, "v": plane.ravel().astype(float)} | {k: np.full(many, getattr(row, k), float) for k in carried})
                 size += many
                 if size >= SPREAD:
                     yield _stacked(held)
@@ -138,7 +142,8 @@ def pixels(planes_of: DataFrame) -> DataFrame:
             if held:
                 yield _stacked(held)
 
-    return planes_of.select("image_id", "t", "z", "c", "height", "width", "samples", "dtype", "data").mapInPandas(spread, "image_id string, t int, z int, c int, y int, x int, v double")
+    kept = planes_of.select("image_id", "t", "z", "c", "height", "width", "samples", "dtype", "data", *carried)
+    return kept.mapInPandas(spread, "image_id string, t int, z int, c int, y int, x int, v double" + "".join(f", {k} double" for k in carried))
 
 
 def as_movies(planes_of: DataFrame, marker: str = "T") -> DataFrame:
@@ -156,11 +161,14 @@ def stack_files(planes_of: DataFrame, text: str = "") -> DataFrame:
 
     One stack must fit a task's memory. Store content with the writer of your choice."""
 
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["t", "z", "c"])
-        stack = np.stack([to_array(r.dtype, r.height, r.width, r.samples, r.data) for r in part.itertuples()])
-        note = f"ImageJ=1.53\nimages={len(stack)}\nframes={part['t'].nunique()}\nslices={part['z'].nunique()}\nchannels={part['c'].nunique()}\n{text}"
-        px = part["px_um"].iloc[0]
-        return pd.DataFrame({"image_id": [part["image_id"].iloc[0]], "content": [tiff.write_stack(stack, note, None if pd.isna(px) else float(px))]})
-
-    return planes_of.groupBy("image_id").applyInPandas(pack, "image_id string, content binary")
+    def pack(part: pa.Table) -> pa.Table:
+        rows = sorted(part.to_pylist(), key=lambda r: (r["t"], r["z"], r["c"]))
+        stack = np.stack([to_array(r["dtype"], r["height"], r["width"], r["samples"], r["data"]) for r in rows])
+        frames, slices, channels = (len({r[k] for r in rows}) for k in "tzc")
+        note = f"ImageJ=1.53\nimages={len(stack)}\nframes={frames}\nslices={slices}\nchannels={channels}\n{text}"
+        px = rows[0]["px_um"]
+        file = tiff.write_stack(stack, note, None if px is None or np.isnan(px) else float(px))
+        return pa.table({"image_id": pa.array([rows[0]["image_id"]], pa.string()), "content": pa.array([file], pa.binary())})
+
+    parts = planes_of.select("image_id", "t", "z", "c", "height", "width", "samples", "dtype", "data", "px_um")
+    return parts.groupBy("image_id").applyInArrow(pack, "image_id string, content binary")

@@ -159,3 +159,12 @@ def test_a_stream_of_files_reads_each_once_over_restarts(spark, tmp_path):
     (seen / "d.tif").write_bytes(b"II*\0junk")
     failed = ("d.tif", None, "IMAGE FAILED")
     assert run() == sorted(pages("0.tif") + pages("a.tif") + pages("b.tif") + pages("c.tif") + [failed], key=str) == run()
+
+
+def test_pixels_carry_the_sizes_of_their_plane_without_a_join(spark):
+    made = [(f"f{k}", np.arange(6.0).reshape(2, 3) + k, 0.5 if k else None) for k in range(3)]
+    rows = [{"image_id": n, "path": n, "t": 0, "z": z, "c": 0, "height": 2, "width": 3, "samples": 1, "dtype": "<f8", "data": bytearray((a * (z + 1)).tobytes()), "px_um": px, "py_um": px, "pz_um": 1.5, "tags": {}} for n, a, px in made for z in (1, 0)]
+    stacks = images.stack_files(spark.createDataFrame(rows, images.PLANE), "spacing=1.5\n").selectExpr("image_id AS path", "image_id AS filename", "content")
+    read, _ = images.planes(stacks)
+    found = images.pixels(read, ("px_um", "pz_um"))
+    assert {(r.image_id, r.z, r.y, r.x): (r.v, r.px_um, r.pz_um) for r in found.collect()} == {(n, z, y, x): (a[y, x] * (z + 1), px, 1.5) for n, a, px in made for z in (0, 1) for y in (0, 1) for x in (0, 1, 2)}
