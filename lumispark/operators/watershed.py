@@ -17,12 +17,15 @@ from lumispark.operators.rounds import Keep, intermediates, kept, roots_of
 
 
 def _edges(nodes: DataFrame, keys: list[str], axes: list[str], height: str) -> DataFrame:
-    """(a, b, cost): pixels that share a face; cost orders the edges of an image without ties."""
+    """(a, b, cost, seeded_a, seeded_b): pixels that share a face, but for two with seeds; cost orders the edges of an image without ties.
+
+    nodes say whether they are seeded, so that no edge is moved to find out."""
     steps = F.array(*(F.struct(F.lit(k).alias("axis"), *((F.col(c) + int(c == a)).cast("int").alias(c) for c in axes)) for k, a in enumerate(axes)))
-    here = nodes.select(*keys, F.struct(*axes).alias("_at"), F.col("node").alias("a"), F.col(height).alias("_h"), F.explode(steps).alias("_s"))
-    here = here.select(*keys, "_at", "a", "_h", F.col("_s.axis").alias("axis"), *(F.col(f"_s.{c}").alias(c) for c in axes))
-    there = nodes.select(*keys, *(F.col(c).cast("int").alias(c) for c in axes), F.col("node").alias("b"), F.col(height).alias("_g"))
-    return here.join(there, [*keys, *axes]).select("a", "b", F.struct(F.greatest("_h", "_g").alias("top"), "_at", "axis").alias("cost"))
+    here = nodes.select(*keys, F.struct(*axes).alias("_at"), F.col("node").alias("a"), F.col("seeded").alias("seeded_a"), F.col(height).alias("_h"), F.explode(steps).alias("_s"))
+    here = here.select(*keys, "_at", "a", "seeded_a", "_h", F.col("_s.axis").alias("axis"), *(F.col(f"_s.{c}").alias(c) for c in axes))
+    there = nodes.select(*keys, *(F.col(c).cast("int").alias(c) for c in axes), F.col("node").alias("b"), F.col("seeded").alias("seeded_b"), F.col(height).alias("_g"))
+    met = here.join(there, [*keys, *axes]).filter("NOT (seeded_a AND seeded_b)")
+    return met.select("a", "b", F.struct(F.greatest("_h", "_g").alias("top"), "_at", "axis").alias("cost"), "seeded_a", "seeded_b")
 
 
 def _contracted(edges: DataFrame) -> DataFrame:
@@ -36,11 +39,8 @@ def _contracted(edges: DataFrame) -> DataFrame:
 
 
 def _forest(edges: DataFrame, seeds: DataFrame, keep: Keep) -> DataFrame:
-    """(node, root) of the nodes that trees took up. seeds: node of each pixel with a seed."""
-    marked = seeds.select("node").withColumn("_s", F.lit(True))
-    of = lambda side: marked.select(F.col("node").alias(side), F.col("_s").alias(f"_{side}"))
-    first = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    now = keep(_contracted(first.select("a", "b", "cost", F.coalesce("_a", F.lit(False)).alias("seeded_a"), F.coalesce("_b", F.lit(False)).alias("seeded_b"))), "edges")
+    """(node, root) of the nodes that trees took up. seeds: node of each pixel with a seed; edges: one for each two pixels, kept."""
+    marked, now = seeds.select(F.col("node").alias("root"), F.lit(True).alias("_seeded")), edges
     known = now.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
     while now.limit(1).count():
         ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("to"), F.col("seeded_a").alias("seeded")), F.struct(F.col("b").alias("node"), F.col("a").alias("to"), F.col("seeded_b").alias("seeded")))).alias("e"), "cost")
@@ -52,10 +52,11 @@ def _forest(edges: DataFrame, seeds: DataFrame, keep: Keep) -> DataFrame:
         flat = roots_of(tree.select("node", "parent"), keep)
         up = flat.select(F.col("node").alias("root"), F.col("root").alias("_up"))
         known = keep(known.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root")).unionByName(flat), "roots")
-        moved = lambda side: flat.select(F.col("node").alias(side), F.col("root").alias(f"_{side}"))  # noqa: E731, B023
-        rooted = now.join(moved("a"), "a", "left").join(moved("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"), "cost")
-        seen = rooted.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        now = keep(_contracted(seen.select("a", "b", "cost", F.coalesce("_a", F.lit(False)).alias("seeded_a"), F.coalesce("_b", F.lit(False)).alias("seeded_b"))), "edges")
+        # a tree that took an edge has the seed of its new root or none; others have what they had
+        grown = keep(flat.join(marked, "root", "left").select("node", "root", F.coalesce("_seeded", F.lit(False)).alias("seeded")), "grown")
+        moved = lambda side: grown.select(F.col("node").alias(side), F.col("root").alias(f"_{side}"), F.col("seeded").alias(f"_seeded_{side}"))  # noqa: E731, B023
+        rooted = now.join(moved("a"), "a", "left").join(moved("b"), "b", "left")
+        now = keep(_contracted(rooted.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"), "cost", *(F.coalesce(f"_{c}", c).alias(c) for c in ("seeded_a", "seeded_b")))), "edges")
     return known
 
 
@@ -68,7 +69,7 @@ def watershed(pixels: DataFrame, keys: list[str], axes: list[str], height: str,
     between basins."""
     with intermediates(pixels.sparkSession) as keep:
         rows = pixels.select(*keys, *axes, F.col(height).alias("_height"), F.when(F.col(seed) > 0, F.col(seed)).alias("_seed"))
-        nodes = keep(rows.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        nodes = keep(rows.withColumns({"node": F.monotonically_increasing_id(), "seeded": F.col("_seed").isNotNull()}), "nodes")
         seeds = nodes.filter(F.col("_seed").isNotNull()).select("node", "_seed")
         forest = _forest(keep(_edges(nodes.filter(F.col("_height").isNotNull()), keys, axes, "_height"), "faces"), seeds, keep)
         rooted = nodes.join(forest, "node", "left").select(*keys, *axes, F.coalesce("root", "node").alias("root"))

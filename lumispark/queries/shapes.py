@@ -219,7 +219,7 @@ def q55(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q71(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Basins of the pixels that are the lowest among their neighbours, flooded over the values."""
     near = lambda c, other: F.min(c).over(Window.partitionBy("image_id", other).orderBy("x" if other == "y" else "y").rowsBetween(-1, 1))
-    low = pixels(spark, sf_dir).withColumn("_row", near("v", "y")).withColumn("_low", near("_row", "x")).withColumn("pit", F.col("v") == F.col("_low"))
+    low = pixels(spark, sf_dir, apart=True).withColumn("_row", near("v", "y")).withColumn("_low", near("_row", "x")).withColumn("pit", F.col("v") == F.col("_low"))
     nth = F.row_number().over(Window.partitionBy("image_id", "pit").orderBy("y", "x"))
     return watershed(low.withColumn("seed", F.when(F.col("pit"), nth).otherwise(0)), IMAGE, ["y", "x"], "v", "seed")
 

@@ -17,9 +17,12 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", F.col("user_id").alias("label"), frame.alias("frame"), "event_type", "value", "ts")
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings as images: 64 values in rows of 8."""
+def pixels(spark: SparkSession, sf_dir: str, apart: bool = False) -> DataFrame:
+    """embeddings as images: 64 values in rows of 8. apart: dealt by image before pixels are made of them,
+    so that windows within an image move none."""
     vectors = table(spark, sf_dir, "embeddings")
+    if apart:
+        vectors = vectors.select("vec_id", "embedding").repartition("vec_id")
     long = vectors.select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("pos", "value"))
     return long.select("image_id", F.expr("pos DIV 8").cast("int").alias("y"), (F.col("pos") % 8).alias("x"), F.col("value").cast("double").alias("v"))
 

@@ -113,3 +113,11 @@ def test_ranks_by_range(spark):
     assert "SinglePartition" not in factorize(df, "v", "code")._jdf.queryExecution().toString()
     coded = factorize(df.withColumn("w", F.lit(1)), "v", "code")
     assert coded.columns == ["v", "w", "code"] and coded.count() == df.count() and coded.filter("v IS NULL AND code IS NULL").count() == 1
+
+
+def test_edges_know_the_seeds_of_their_ends(spark):
+    from lumispark.operators.watershed import _edges
+
+    nodes = spark.createDataFrame([(1, 0, x, x, 1.0 + x, x in (0, 1, 3)) for x in range(5)], "image_id int, y int, x int, node long, h double, seeded boolean")
+    got = {(r.a, r.b, r.cost.top, r.seeded_a, r.seeded_b) for r in _edges(nodes, ["image_id"], ["y", "x"], "h").collect()}
+    assert got == {(1, 2, 3.0, True, False), (2, 3, 4.0, False, True), (3, 4, 5.0, True, False)}  # 0 and 1 both have seeds
